@@ -1,0 +1 @@
+"""Every operator of this library is a batch job, so nothing is defined here."""
