@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -109,3 +111,17 @@ def bin_index(value: Column, low: float, high: float, bins: int) -> Column:
     index = F.floor((value - F.lit(float(low))) / F.lit(width)).cast("int")
     inside = (value >= F.lit(float(low))) & (value <= F.lit(float(high)))
     return F.when(inside, F.least(index, F.lit(bins - 1)))
+
+
+def label_months(event_date: Column, months: int, closed: bool = False) -> Column:
+    """Month starts d whose outcome window (d, d + months] holds the event; closed: [d, d + months]."""
+    stop = F.trunc(event_date if closed else F.date_sub(event_date, 1), "MM")
+    return F.sequence(F.add_months(month_ceil(event_date), -months), stop, F.expr("interval 1 month"))
+
+
+def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
+    """True where the text contains one of the phrases, ignoring case; wildcards are taken literally."""
+    if not phrases:
+        return F.lit(False)
+    lowered = F.lower(text)
+    return functools.reduce(lambda a, b: a | b, [lowered.contains(p.lower()) for p in phrases])

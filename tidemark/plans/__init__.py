@@ -1 +1,11 @@
+"""Queries of the library over the bound tables."""
 
+import importlib
+
+MODULES = ("cohort_queries",)
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    for module in MODULES:
+        importlib.import_module(f"tidemark.plans.{module}")
