@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import age_band
 from tidemark.functions.ranking import join_on
+from tidemark.session import materialize
 
 CELL = ("concept_id", "unit", "age_range", "gender_source_value")
 
@@ -96,7 +97,8 @@ def _near_donors(
     pairs are formed. Null keys never match and leave here.
     """
     other = [k for k in keys if k != "concept_id"]
-    step = F.floor(F.col("avg_value") / F.lit(threshold))
+    scaled = F.col("avg_value") / F.lit(float(threshold))
+    step = F.floor(scaled)
 
     def placed(df: DataFrame, is_donor: bool) -> DataFrame:
         around = F.explode(F.array(step - 1, step, step + 1)) if is_donor else step
@@ -104,13 +106,12 @@ def _near_donors(
             df.join(averages, list(keys))
             .withColumn("prefix", name_prefix(chars))
             .withColumn("is_donor", F.lit(is_donor))
+            .withColumn("scaled", scaled)
             .withColumn("step", around)
         )
 
     both = placed(need, False).unionByName(placed(donors, True), allowMissingColumns=True)
-    window = (
-        Window.partitionBy(*other, "prefix", "step").orderBy("avg_value").rangeBetween(-float(threshold), float(threshold))
-    )
+    window = Window.partitionBy(*other, "prefix", "step").orderBy("scaled").rangeBetween(-1, 1)
     return both, window
 
 
@@ -163,6 +164,28 @@ def borrow_reference(
     )
 
 
+def reference_facts(measurement: DataFrame, direction: str, keys: Sequence[str], exclude_zero: bool) -> DataFrame:
+    """One pass over the measurements: rows and value sums per key and given range, written once.
+
+    Keys, range counts and averages are all read from this small table.
+    """
+    value = F.when(F.col("value") != 0, F.col("value")) if exclude_zero else F.col("value")
+    facts = measurement.groupBy(*keys, f"range_{direction}").agg(
+        F.count(F.lit(1)).alias("reference_count"), F.sum(value).alias("value_sum"), F.count(value).alias("value_count")
+    )
+    return materialize(facts)
+
+
+def fact_counts(facts: DataFrame, direction: str, keys: Sequence[str]) -> DataFrame:
+    bound = f"range_{direction}"
+    return facts.where(F.col(bound).isNotNull()).select(*keys, bound, "reference_count")
+
+
+def fact_averages(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sums = facts.groupBy(*keys).agg(F.sum("value_sum").alias("s"), F.sum("value_count").alias("n"))
+    return sums.where("n > 0").select(*keys, (F.col("s") / F.col("n")).alias("avg_value"))
+
+
 def general_references(
     measurement: DataFrame,
     concept: DataFrame,
@@ -172,11 +195,13 @@ def general_references(
     threshold: float = MEAN_THRESHOLD,
 ) -> DataFrame:
     """Own ranges per concept, and borrowed ones for the concepts that have none."""
-    concepts = measured_concepts(concept, measurement)
-    own = most_frequent_reference(reference_counts(measurement, direction), direction, min_count=min_count)
+    key = ["concept_id"]
+    facts = reference_facts(measurement, direction, key, exclude_zero=True)
+    concepts = measured_concepts(concept, facts)
+    own = most_frequent_reference(fact_counts(facts, direction, key), direction, min_count=min_count)
     own = own.join(concepts, "concept_id")
     need = without_reference(concepts, own)
-    borrowed = borrow_reference(need, own, value_averages(measurement), direction, chars=chars, threshold=threshold)
+    borrowed = borrow_reference(need, own, fact_averages(facts, key), direction, chars=chars, threshold=threshold)
     listed = own.select(
         "concept_id",
         "concept_name",
@@ -184,7 +209,7 @@ def general_references(
         F.lit(None).cast("string").alias("similar_concept_name"),
         f"range_{direction}",
     )
-    return listed.unionByName(borrowed).distinct()
+    return materialize(listed.unionByName(borrowed).distinct())
 
 
 def zero_is_missing(measurement: DataFrame, low_references: DataFrame, threshold: float = ZERO_THRESHOLD) -> DataFrame:
@@ -226,15 +251,13 @@ def cell_references(banded: DataFrame, direction: str, min_count: int = MIN_REFE
 def cell_similar_references(
     cells: DataFrame,
     own: DataFrame,
-    banded: DataFrame,
+    averages: DataFrame,
     direction: str,
     chars: int = PREFIX_CHARS,
     threshold: float = CELL_MEAN_THRESHOLD,
-    exclude_zero: bool = False,
 ) -> DataFrame:
     """Borrow inside the same unit, band and gender; averages here keep zeros."""
     donors = own.join(cells, list(CELL))
-    averages = value_averages(banded, CELL, exclude_zero)
     return borrow_reference(without_reference(cells, own, CELL), donors, averages, direction, CELL, chars, threshold)
 
 
@@ -320,13 +343,13 @@ def cell_reference_table(
     min_count: int = MIN_REFERENCE_COUNT,
 ) -> DataFrame:
     """Reference range of every measured cell, with flags that tell where it came from."""
-    banded = banded_measurements(measurement, person)
-    cells = required_cells(banded, concept)
-    own = cell_references(banded, direction, min_count)
-    similar = cell_similar_references(cells, own, banded, direction)
-    found = references_so_far(cells, own, similar, direction)
+    facts = reference_facts(banded_measurements(measurement, person), direction, CELL, exclude_zero=False)
+    cells = required_cells(facts, concept)
+    own = most_frequent_reference(fact_counts(facts, direction, CELL), direction, CELL, min_count)
+    similar = cell_similar_references(cells, own, fact_averages(facts, CELL), direction)
+    found = materialize(references_so_far(cells, own, similar, direction))
     found = fill_from_other_gender(cells, found, direction)
-    return fill_from_general(fill_from_adjacent_band(cells, found, direction), general, direction)
+    return materialize(fill_from_general(fill_from_adjacent_band(cells, found, direction), general, direction))
 
 
 def standardize_references(

@@ -165,15 +165,17 @@ def top_abnormal_labs(
     months: int = LABEL_MONTHS,
 ) -> DataFrame:
     """The n (concept, direction) pairs that are abnormal in most person-months."""
-    served = [
-        _served(eligibility, abnormal_measurements(measurement, person, refs, d), months, ["concept_id"]).withColumn(
-            "direction", F.lit(d)
-        )
-        for d, refs in (("low", low), ("high", high))
-    ]
-    counts = served[0].unionByName(served[1]).groupBy("concept_id", "direction").agg(
-        F.count(F.lit(1)).alias("concept_count")
+    cell = ["concept_id", "unit", "age_range", "gender_source_value"]
+    bounds = _reference_columns(low, "low").withColumnRenamed("range_low", "_low").join(
+        _reference_columns(high, "high").withColumnRenamed("range_high", "_high"), cell, "full"
+    )
+    banded = banded_measurements(measurement.where("value IS NOT NULL"), person).join(bounds, cell)
+    beyond = F.array_compact(
+        F.array(F.when(F.col("value") < F.col("_low"), "low"), F.when(F.col("value") > F.col("_high"), "high"))
     )
+    abnormal = banded.select("person_id", "concept_id", "event_date", F.explode(beyond).alias("direction"))
+    served = _served(eligibility, abnormal, months, ["concept_id", "direction"])
+    counts = served.groupBy("concept_id", "direction").agg(F.count(F.lit(1)).alias("concept_count"))
     return counts.orderBy(F.desc("concept_count"), "concept_id", F.desc("direction")).limit(n)
 
 
@@ -235,16 +237,15 @@ def order_and_value_rate(
     """Orders per cohort person and the share with a value, by year."""
     in_scope = measurement.where((F.col("concept_id") == concept_id) & F.col("event_date").between(start, end))
     orders = in_scope.join(cohort.select("person_id").distinct(), "person_id", "left_semi")
-    size = cohort.agg(F.countDistinct("person_id").alias("num_persons"))
+    size = cohort.agg(F.countDistinct("person_id")).scalar()
     by_year = orders.groupBy(F.year("event_date").alias("year")).agg(
         F.count(F.lit(1)).alias("num_orders"), F.count("value").alias("num_valued")
     )
-    # one row against a handful of years
-    return by_year.join(size, F.lit(True)).select(
+    return by_year.select(
         "year",
         "num_orders",
         "num_valued",
-        ratio(F.col("num_orders"), F.col("num_persons")).alias("orders_per_person"),
+        ratio(F.col("num_orders"), size).alias("orders_per_person"),
         ratio(F.col("num_valued"), F.col("num_orders")).alias("value_rate"),
     )
 

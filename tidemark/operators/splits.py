@@ -78,11 +78,9 @@ def person_samples(samples: DataFrame, seed: int = 0) -> DataFrame:
     return ranked.groupBy("person_id", "year", "split").agg(positions.alias("sample_positions"))
 
 
-def balanced_weights(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Class weight n / (2 * n_class) on every sample, from one row of counts per group."""
-    y = F.col("y")
-    counts = samples.groupBy(*by).agg(F.sum(1 - y).alias("_n0"), F.sum(y).alias("_n1"))
-    total = F.col("_n0") + F.col("_n1")
-    weight = total.cast("double") / (2 * F.when(y == 1, F.col("_n1")).otherwise(F.col("_n0"))).cast("double")
-    joined = samples.join(counts, list(by)) if by else samples.join(counts, F.lit(True))
-    return joined.withColumn("weight", weight).drop("_n0", "_n1")
+def balanced_weights(samples: DataFrame) -> DataFrame:
+    """Class weight n / (2 * n_class) on every sample; the two class sizes are scalars."""
+    positives = samples.agg(F.sum("y")).scalar()
+    total = samples.agg(F.count(F.lit(1))).scalar()
+    in_class = F.when(F.col("y") == 1, positives).otherwise(total - positives)
+    return samples.withColumn("weight", total.cast("double") / (2 * in_class).cast("double"))

@@ -151,7 +151,7 @@ def _(r):
     return cohort.monthly_eligibility_eol(r["person"], r["payer_plan_period"], r["observation_period"], FIRST, LAST)
 
 
-_PLAN_NAMES = ("GERMANY", "FRANCE", "Drug 203")
+_PLAN_NAMES = ("Condition 3", "Procedure 105", "Drug 203")
 
 
 @query(

@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import materialize
 from tidemark.sources.tables import read_tables
 
 FIRST_DATE = dt.date(1996, 1, 1)
@@ -111,7 +112,9 @@ class Bound:
             if name in RELATIONS:
                 text = RELATIONS[name]
                 reads = {used: self[used] for used in _REFERENCE.findall(text)}
-                self._frames[name] = self.spark.sql(text, **reads)
+                frame = self.spark.sql(text, **reads)
+                # the concept dimension is read many times and is small: written once
+                self._frames[name] = materialize(frame) if name == "concept" else frame
             else:
                 self._frames[name] = read_tables(self.spark, self.folder, [name])[name]
         return self._frames[name]
