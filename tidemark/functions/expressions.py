@@ -19,7 +19,7 @@ MIN_COVERAGE = 0.95
 
 # Constants of the integer mixer below. Products stay under 2**62, so that the
 # same numbers come out of Spark, numpy and plain SQL.
-_PRIME = 2147483647
+PRIME = 2147483647
 _STEPS = (48271, 69621, 16807, 1103515245, 1664525)
 
 
@@ -44,27 +44,27 @@ def hash32_sql(seed: int, *ids: str) -> str:
 def mix(key: Column, replicate: Column, seed: int) -> Column:
     """Integer in [0, 2**31) drawn for one (key, replicate) pair."""
     a, b, c, d, e = _STEPS
-    x = (key * F.lit(a) + replicate.cast("bigint") * F.lit(b) + F.lit(seed * c + 1)) % _PRIME
-    x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(d)) % _PRIME
-    x = (x.bitwiseXOR(F.shiftright(x, 13)) * F.lit(e)) % _PRIME
+    x = (key * F.lit(a) + replicate.cast("bigint") * F.lit(b) + F.lit(seed * c + 1)) % PRIME
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(d)) % PRIME
+    x = (x.bitwiseXOR(F.shiftright(x, 13)) * F.lit(e)) % PRIME
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
 def mix_sql(key: str, replicate: str, seed: int) -> str:
     """The same draw as plain SQL text; the intermediate steps are repeated inline."""
     a, b, c, d, e = _STEPS
-    x = f"(({key} * {a} + CAST({replicate} AS BIGINT) * {b} + {seed * c + 1}) % {_PRIME})"
-    x = f"((xor({x}, {x} >> 15) * {d}) % {_PRIME})"
-    x = f"((xor({x}, {x} >> 13) * {e}) % {_PRIME})"
+    x = f"(({key} * {a} + CAST({replicate} AS BIGINT) * {b} + {seed * c + 1}) % {PRIME})"
+    x = f"((xor({x}, {x} >> 15) * {d}) % {PRIME})"
+    x = f"((xor({x}, {x} >> 13) * {e}) % {PRIME})"
     return f"xor({x}, {x} >> 16)"
 
 
 def mix_numpy(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """The same draw for every (key, replicate) pair, as a keys x replicates matrix."""
     a, b, c, d, e = _STEPS
-    x = (keys.astype(np.int64)[:, None] * a + replicates.astype(np.int64)[None, :] * b + seed * c + 1) % _PRIME
-    x = ((x ^ (x >> 15)) * d) % _PRIME
-    x = ((x ^ (x >> 13)) * e) % _PRIME
+    x = (keys.astype(np.int64)[:, None] * a + replicates.astype(np.int64)[None, :] * b + seed * c + 1) % PRIME
+    x = ((x ^ (x >> 15)) * d) % PRIME
+    x = ((x ^ (x >> 13)) * e) % PRIME
     return x ^ (x >> 16)
 
 
