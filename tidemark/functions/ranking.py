@@ -30,7 +30,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
         raise ValueError("join_on needs at least one key")
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def hash_rank(

@@ -97,7 +97,7 @@ def chi2_2x2(table: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
 # ----------------------------------------------------------- yearly checks
 
 
-def _shifted(facts: DataFrame, by: Sequence[str], prefix: str, years: int) -> DataFrame:
+def shifted(facts: DataFrame, by: Sequence[str], prefix: str, years: int) -> DataFrame:
     renamed = [F.col(c).alias(f"{prefix}_{c}") for c in facts.columns if c not in (*by, "year")]
     return facts.select(*by, (F.col("year") + years).alias("year"), *renamed)
 
@@ -122,7 +122,7 @@ def screen_facts(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 def yearly_pairs(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Facts of each year next to those of the year before."""
     facts = materialize(screen_facts(scores, by))
-    return join_on(_shifted(facts, by, "curr", 0), _shifted(facts, by, "prev", 1), [*by, "year"])
+    return join_on(shifted(facts, by, "curr", 0), shifted(facts, by, "prev", 1), [*by, "year"])
 
 
 def first_reason(rules: Sequence[tuple[Column, str]]) -> Column:
