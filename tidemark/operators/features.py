@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import age_band, month_starts
 from tidemark.functions.ranking import exact_percentiles, hash_rank
+from tidemark.session import materialize
 
 SEPARATOR = " - "
 
@@ -301,7 +302,8 @@ def keep_features(long: DataFrame, features: DataFrame) -> DataFrame:
 
 def age_scaling(samples: DataFrame) -> DataFrame:
     """Mean and population deviation of age on the training rows: one row."""
-    return samples.where("split = 'train'").agg(F.avg("age").alias("age_mean"), F.stddev_pop("age").alias("age_std"))
+    train = samples.where("split = 'train'")
+    return materialize(train.agg(F.avg("age").alias("age_mean"), F.stddev_pop("age").alias("age_std")))
 
 
 def standardize_age(samples: DataFrame, params: DataFrame) -> DataFrame:

@@ -56,6 +56,7 @@ def benjamini_hochberg(
 
     Everything up to the largest rank with p < critical is accepted.
     """
+    hypotheses = materialize(hypotheses)
     group = list(by)
     if not group:
         hypotheses, group = hypotheses.withColumn("_all", F.lit(1)), ["_all"]

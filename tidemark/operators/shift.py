@@ -62,8 +62,15 @@ def feature_frequency_shift(
     """Test frequency of each feature in two years with chi-squared, its p-value and false-discovery control."""
     years = F.col("year").isin(year_prev, year_curr)
 
+    in_test = F.col("split") == "test"
+    sizes = materialize(
+        samples.agg(
+            *[F.count(F.when(in_test & (F.col("year") == y), 1)).alias(f"n_{i}") for i, y in enumerate((year_prev, year_curr))]
+        )
+    )
+
     def size(year: int) -> Column:
-        return samples.where((F.col("year") == year) & (F.col("split") == "test")).agg(F.count(F.lit(1))).scalar()
+        return sizes.select("n_0" if year == year_prev else "n_1").scalar()
 
     def count(condition: Column) -> Column:
         return F.sum(F.when(condition, 1).otherwise(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash32
 from tidemark.functions.ranking import hash_rank
+from tidemark.session import materialize
 
 NEVER = "never"
 TEST_SHARE = 0.2
@@ -80,7 +81,7 @@ def person_samples(samples: DataFrame, seed: int = 0) -> DataFrame:
 
 def balanced_weights(samples: DataFrame) -> DataFrame:
     """Class weight n / (2 * n_class) on every sample; the two class sizes are scalars."""
-    positives = samples.agg(F.sum("y")).scalar()
-    total = samples.agg(F.count(F.lit(1))).scalar()
-    in_class = F.when(F.col("y") == 1, positives).otherwise(total - positives)
-    return samples.withColumn("weight", total.cast("double") / (2 * in_class).cast("double"))
+    sizes = materialize(samples.agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")))
+    n0, n1 = sizes.select("n0").scalar(), sizes.select("n1").scalar()
+    in_class = F.when(F.col("y") == 1, n1).otherwise(n0)
+    return samples.withColumn("weight", (n0 + n1).cast("double") / (2 * in_class).cast("double"))

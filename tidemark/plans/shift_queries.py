@@ -113,7 +113,7 @@ SQL_TASKS = (
     "tcoefs AS (SELECT task, feature, round(ln((a * d) / (b * c)), 6) AS coefficient FROM tcells)",
     """tyear AS (SELECT task, count(*) FILTER (year = 1998) AS n_prev, sum(y) FILTER (year = 1998) AS pos_prev,
         count(*) FILTER (year = 1999) AS n_curr, sum(y) FILTER (year = 1999) AS pos_curr FROM tsamples GROUP BY 1)""",
-    """ranked AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY coefficient DESC, feature) AS hi,
+    """by_coef AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY coefficient DESC, feature) AS hi,
         row_number() OVER (PARTITION BY task ORDER BY coefficient, feature DESC) AS lo FROM tcoefs)""",
     """shifted AS (SELECT task, n_prev, pos_prev, n_curr, pos_curr, CAST(n_prev + n_curr AS DOUBLE) * power(greatest(
         abs(CAST(n_prev - pos_prev AS DOUBLE) * pos_curr - CAST(n_curr - pos_curr AS DOUBLE) * pos_prev) - (n_prev + n_curr) / 2.0E0, 0), 2)
@@ -127,7 +127,7 @@ SQL_TASKS = (
         *SQL_TASKS,
         # 3.841458820694124 is the point with an upper tail of .05
         select="""SELECT task, n_prev, CAST(pos_prev AS BIGINT) AS pos_prev, n_curr, CAST(pos_curr AS BIGINT) AS pos_curr FROM shifted s
-        WHERE chi2 < 3.841458820694124E0 AND EXISTS (SELECT 1 FROM ranked r WHERE r.task = s.task AND least(hi, lo) <= 6
+        WHERE chi2 < 3.841458820694124E0 AND EXISTS (SELECT 1 FROM by_coef r WHERE r.task = s.task AND least(hi, lo) <= 6
         AND split_part(r.feature, ' - ', 2) = 'condition' AND abs(r.coefficient) > 0.01E0)""",
     ),
 )
@@ -597,12 +597,23 @@ def _(r):
     "x27_significant_sign_changes",
     sql(
         *SQL_COEFS,
-        select=f"""SELECT {_CI4}, CASE WHEN a.ci_low > 0 THEN 'falls' ELSE 'rises' END AS direction {_JOIN}
+        # the intervals are narrowed to a tenth, so that the few features here give some changes
+        """tight AS (SELECT year, feature, round(coefficient - (coefficient - ci_low) / 10, 6) AS ci_low,
+        round(coefficient + (ci_high - coefficient) / 10, 6) AS ci_high FROM coefs)""",
+        select=f"""SELECT {_CI4}, CASE WHEN a.ci_low > 0 THEN 'falls' ELSE 'rises' END AS direction
+        FROM tight a JOIN tight b ON a.feature = b.feature AND a.year = 1998 AND b.year = 1999
         WHERE (a.ci_low > 0 AND b.ci_high < 0) OR (a.ci_high < 0 AND b.ci_low > 0)""",
     ),
 )
 def _(r):
-    return shift.significant_sign_changes(*two_years(r))
+    middle = F.col("coefficient")
+    tight = [
+        t.withColumn("ci_low", F.round(middle - (middle - F.col("ci_low")) / 10, 6)).withColumn(
+            "ci_high", F.round(middle + (F.col("ci_high") - middle) / 10, 6)
+        )
+        for t in two_years(r)
+    ]
+    return shift.significant_sign_changes(*tight)
 
 
 # ------------------------------------------------------------ distributions
