@@ -336,13 +336,19 @@ def feature_set(long: DataFrame, name: str) -> DataFrame:
     return long.where(~typed | name_part(2, "feature").isin(*FEATURE_SETS[name]))
 
 
-def assemble(samples: DataFrame, long: DataFrame, vocabulary: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
+def assemble(
+    samples: DataFrame,
+    long: DataFrame,
+    vocabulary: Sequence[str],
+    numeric: Sequence[str] = (),
+    keys: Sequence[str] = ("person_id", "end_date"),
+) -> DataFrame:
     """One sparse vector per sample in a fixed column order: present features, then numeric columns.
 
     The vocabulary is the list of frequent features, as long as the model's own
     coefficient vector; features of one sample are bounded by it.
     """
-    key = ["person_id", "end_date"]
+    key = list(keys)
     present = long.where(F.col("feature").isNotNull()).groupBy(*key).agg(F.collect_set("feature").alias("present"))
     joined = samples.join(present, key, "left")
     joined = joined.withColumn("present", F.coalesce("present", F.array().cast("array<string>")))

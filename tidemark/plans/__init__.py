@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("cohort_queries", "lab_queries", "outcome_queries", "feature_queries", "metric_queries", "region_queries", "shift_queries", "summary_queries", "source_queries")
+MODULES = ("cohort_queries", "lab_queries", "outcome_queries", "feature_queries", "metric_queries", "region_queries", "shift_queries", "summary_queries", "source_queries", "model_queries")
 
 
 def load_all() -> None:
