@@ -35,7 +35,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def hash_rank(
-    df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed: int = 0, buckets: int = 256
+    df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed: int = 0, buckets: int = 1024
 ) -> DataFrame:
     """Add ``rank`` (1-based, in hash order within ``by``) and ``group_size``.
 

@@ -20,9 +20,10 @@ from tidemark.operators.cohort import LABEL_MONTHS, align_to_cohort, date_matrix
 from tidemark.operators.labs import banded_measurements
 
 
-def _person_months(eligibility: DataFrame, cohort: DataFrame) -> DataFrame:
+def _person_months(eligibility: DataFrame, cohort: DataFrame | None) -> DataFrame:
+    """Eligible person-months, of the cohort's persons if a cohort narrows them."""
     rows = eligibility.select("person_id", "end_date").distinct()
-    return rows.join(cohort.select("person_id"), "person_id", "left_semi")
+    return rows if cohort is None else rows.join(cohort.select("person_id"), "person_id", "left_semi")
 
 
 def _labelled(rows: DataFrame, events: DataFrame, months: int) -> DataFrame:
@@ -43,7 +44,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def recurrent_outcome(
     eligibility: DataFrame,
-    cohort: DataFrame,
+    cohort: DataFrame | None,
     events: DataFrame,
     concepts: Sequence[int] | None = None,
     months: int = LABEL_MONTHS,
@@ -58,7 +59,7 @@ def recurrent_outcome(
 
 def first_diagnosis_outcome(
     eligibility: DataFrame,
-    cohort: DataFrame,
+    cohort: DataFrame | None,
     events: DataFrame,
     concepts: Sequence[int],
     months: int = LABEL_MONTHS,
@@ -98,7 +99,7 @@ def abnormal_measurements(
 
 def abnormal_lab_outcome(
     eligibility: DataFrame,
-    cohort: DataFrame,
+    cohort: DataFrame | None,
     measurement: DataFrame,
     person: DataFrame,
     references: DataFrame,
@@ -216,7 +217,7 @@ def concept_group(counts: DataFrame, include: Sequence[str], exclude: Sequence[s
 
 
 def lab_frequency_over_time(
-    cohort: DataFrame,
+    cohort: DataFrame | None,
     eligibility: DataFrame,
     measurement: DataFrame,
     dates: DataFrame,

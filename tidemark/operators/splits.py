@@ -39,7 +39,7 @@ def split_people(
     Ranks come from hash slices, so the stratum that holds nearly everybody is
     never sorted in one task.
     """
-    ranked = hash_rank(strata, ["person_id"], by=["stratum"], seed=seed)
+    ranked = hash_rank(materialize(strata), ["person_id"], by=["stratum"], seed=seed)
     tiny = (F.col("stratum") != NEVER) & (F.col("group_size") < folds + 1)
     held = F.ceil(F.col("group_size") * F.lit(test_share)) if with_test else F.lit(0)
     is_test = ~tiny & (F.col("rank") <= held)

@@ -21,6 +21,7 @@ from tidemark.plans.common import (
     SQL_LABELS,
     SQL_OBSERVED,
     eligibility,
+    eligible_months,
     people,
     sql_eligibility,
 )
@@ -116,7 +117,7 @@ def _(r):
 
 @query("c09_monthly_eligibility", sql(*SQL_ELIGIBLE, select=f"{_LABELS}, num_days FROM eligibility"))
 def _(r):
-    return eligibility(r)
+    return eligible_months(r)
 
 
 @query(
@@ -124,7 +125,7 @@ def _(r):
     sql(*SQL_ELIGIBLE[:-1], sql_eligibility(3), select=f"{_LABELS}, num_days FROM eligibility"),
 )
 def _(r):
-    return eligibility(r, years=3)
+    return eligible_months(r, years=3)
 
 
 @query(
@@ -217,7 +218,7 @@ def _(r):
     from tidemark.operators.outcomes import first_diagnosis_outcome
 
     elig = eligibility(r)
-    return cohort.condition_eligibility(first_diagnosis_outcome(elig, elig, r["condition_occurrence"], [7], numbered=False))
+    return cohort.condition_eligibility(first_diagnosis_outcome(elig, None, r["condition_occurrence"], [7], numbered=False))
 
 
 @query(

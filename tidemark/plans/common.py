@@ -13,12 +13,17 @@ FIRST, LAST = FIRST_DATE, LAST_DATE
 DATES = cohort.months_between(FIRST, LAST)
 
 
-def eligibility(r: Bound, years: int = 1) -> DataFrame:
+def eligible_months(r: Bound, years: int = 1) -> DataFrame:
     return cohort.monthly_eligibility(r["person"], r["observation_period"], FIRST, LAST, years)
 
 
+def eligibility(r: Bound, years: int = 1) -> DataFrame:
+    """The eligibility table as a stage that labels, cohorts and discovery read."""
+    return r.stage(f"eligibility_{years}", lambda: eligible_months(r, years))
+
+
 def people(r: Bound) -> DataFrame:
-    return cohort.person_cohort(eligibility(r), LAST)
+    return r.stage("people", lambda: cohort.person_cohort(eligibility(r), LAST))
 
 
 SQL_DATES = """dates AS (

@@ -148,7 +148,8 @@ SQL_RANGED = (
 
 
 def measured(r):
-    return features.cohort_measurements(people(r), clean(r), r["concept"])
+    """Cohort measurements as a stage: quartiles, trends and states each read them."""
+    return r.stage("measured", lambda: features.cohort_measurements(people(r), clean(r), r["concept"]))
 
 
 @query("f07_lab_ordered", sql(*SQL_LABS, f"out AS (SELECT DISTINCT * FROM ({_ORDERED}))", select=f"SELECT {_EVENT} FROM out"))
@@ -174,7 +175,7 @@ def _(r):
 
 @query("f11_lab_range_state", sql(*SQL_RANGED, f"out AS ({_RANGE})", select=f"SELECT {_EVENT} FROM out"))
 def _(r):
-    return features.lab_range_state(measured(r), r["person"], references(r, "low"), references(r, "high"))
+    return features.lab_range_state(measured(r), r.stored("person"), references(r, "low"), references(r, "high"))
 
 
 @query(
@@ -184,7 +185,7 @@ def _(r):
 def _(r):
     rows = measured(r)
     return features.lab_features(
-        rows, r["person"], features.lab_quartiles(rows), references(r, "low"), references(r, "high")
+        rows, r.stored("person"), features.lab_quartiles(rows), references(r, "low"), references(r, "high")
     )
 
 
@@ -385,7 +386,7 @@ _OTHER_FOLD = "CASE WHEN s.is_test = 1 THEN 'test' WHEN s.fold = 1 THEN 'valid'
 def _(r):
     from tidemark.plans.outcome_queries import procedure_outcome, split
 
-    labelled = procedure_outcome(r, numbered=False)
+    labelled = procedure_outcome(r)
     parts = split(r, labelled)
     fitted = features.frequent_features(long_samples(r), 300)
     other = splits.yearly_samples(labelled, parts, fold=1)
@@ -447,7 +448,7 @@ _CATALOG = """SELECT feature, CAST(split_part(feature, ' - ', 1) AS BIGINT) AS c
 def _(r):
     rows = measured(r)
     lab = features.lab_features(
-        rows, r["person"], features.lab_quartiles(rows), references(r, "low"), references(r, "high")
+        rows, r.stored("person"), features.lab_quartiles(rows), references(r, "low"), references(r, "high")
     )
     events = features.event_timeline([lab, features.condition_events(people(r), r["condition_occurrence"], r["concept"])])
     names = events.select(F.concat("concept_name", F.lit(" - 30 days")).alias("feature"))

@@ -12,12 +12,20 @@ _CELL_LOW = (*ls.CELLS, *ls.general("low"), *ls.cells("low"))
 
 
 def clean(r):
-    return labs.standardized_measurements(r["measurement"], r["concept"], r["units_to_drop"], r["out_of_range"])
+    return labs.standardized_measurements(r.stored("measurement"), r["concept"], r["units_to_drop"], r["out_of_range"])
 
 
 def references(r, direction):
-    return labs.standardized_references(
-        r["measurement"], r["person"], r["concept"], r["unit_thresholds"], r["source_thresholds"], direction
+    return r.shared(
+        f"references_{direction}",
+        lambda: labs.standardized_references(
+            r.stored("measurement"),
+            r.stored("person"),
+            r["concept"],
+            r["unit_thresholds"],
+            r["source_thresholds"],
+            direction,
+        ),
     )
 
 
@@ -119,7 +127,7 @@ def _(r):
 
 
 def cell_stages(r, direction="low"):
-    banded = labs.banded_measurements(r["measurement"], r["person"])
+    banded = labs.banded_measurements(r.stored("measurement"), r.stored("person"))
     cells = labs.required_cells(banded, r["concept"])
     own = labs.cell_references(banded, direction)
     averages = labs.value_averages(banded, labs.CELL, exclude_zero=False)
@@ -164,8 +172,9 @@ def _(r):
 
 @query("l18_cell_reference_table", sql(*_CELL_LOW, select="SELECT * FROM cell_refs_low"))
 def _(r):
-    general = labs.general_references(r["measurement"], r["concept"], "low")
-    return labs.cell_reference_table(r["measurement"], r["person"], r["concept"], general, "low")
+    measurement = r.stored("measurement")
+    general = labs.general_references(measurement, r["concept"], "low")
+    return labs.cell_reference_table(measurement, r.stored("person"), r["concept"], general, "low")
 
 
 @query("l19_standardize_references", sql(*_CELL_LOW, select="SELECT * FROM refs_low"))

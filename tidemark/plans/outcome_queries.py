@@ -37,9 +37,12 @@ SQL_PROCEDURES = f"proc_events AS (SELECT person_id, event_date FROM procedure_o
 SQL_OUTCOME = (*SQL_COHORT, SQL_PROCEDURES, *sql_outcome("proc_events"))
 
 
-def procedure_outcome(r, numbered=True):
-    elig = eligibility(r)
-    return outcomes.recurrent_outcome(elig, elig, r["procedure_occurrence"], PROCEDURES, numbered=numbered)
+def procedure_outcome(r):
+    """Labels of every eligible person-month, as a stage that splits and samples read."""
+    return r.stage(
+        "outcome",
+        lambda: outcomes.recurrent_outcome(eligibility(r), None, r["procedure_occurrence"], PROCEDURES, numbered=False),
+    )
 
 
 @query(
@@ -58,7 +61,7 @@ def _(r):
 
 @query("o02_recurrent_outcome", sql(*SQL_OUTCOME, select=f"{_ROWS} FROM outcome"))
 def _(r):
-    return procedure_outcome(r)
+    return outcomes.recurrent_outcome(eligibility(r), None, r["procedure_occurrence"], PROCEDURES)
 
 
 def _sql_abnormal(name: str, d: str, where: str) -> str:
@@ -81,7 +84,7 @@ def _sql_abnormal(name: str, d: str, where: str) -> str:
 )
 def _(r):
     elig = eligibility(r)
-    return outcomes.abnormal_lab_outcome(elig, elig, clean(r), r["person"], references(r, "low"), [300], "low")
+    return outcomes.abnormal_lab_outcome(elig, None, clean(r), r.stored("person"), references(r, "low"), [300], "low")
 
 
 @query(
@@ -97,7 +100,7 @@ def _(r):
 def _(r):
     elig = eligibility(r)
     return outcomes.abnormal_lab_outcome(
-        elig, elig, clean(r), r["person"], references(r, "high"), [301, 303, 304], "high"
+        elig, None, clean(r), r.stored("person"), references(r, "high"), [301, 303, 304], "high"
     )
 
 
@@ -127,7 +130,7 @@ _CELLS = ",\n".join(
     ),
 )
 def _(r):
-    return outcomes.outcome_matrix(procedure_outcome(r, numbered=False), DATES, people(r))
+    return outcomes.outcome_matrix(procedure_outcome(r), DATES, people(r))
 
 
 @query(
@@ -193,7 +196,7 @@ SQL_TOP_LABS = (
 
 def top_labs(r):
     meas, low, high = clean(r), references(r, "low"), references(r, "high")
-    return outcomes.top_abnormal_labs(eligibility(r), meas, r["person"], low, high, 8), meas, low, high
+    return outcomes.top_abnormal_labs(eligibility(r), meas, r.stored("person"), low, high, 8), meas, low, high
 
 
 @query("o10_top_abnormal_labs", sql(*SQL_TOP_LABS, select="SELECT * FROM top_labs"))
@@ -254,7 +257,7 @@ def _(r):
 def _(r):
     elig = eligibility(r)
     calendar = cohort.index_dates(r.spark, FIRST, LAST)
-    return outcomes.lab_frequency_over_time(elig, elig, clean(r), calendar, [300, 301])
+    return outcomes.lab_frequency_over_time(elig, None, clean(r), calendar, [300, 301])
 
 
 @query(
@@ -283,7 +286,7 @@ SQL_YEARLY = """yearly AS (SELECT year(end_date) AS year, count(*) AS num_sample
     sql(*SQL_OUTCOME, SQL_YEARLY, select="SELECT year, num_samples, num_positive, round(rate, 6) AS rate FROM yearly"),
 )
 def _(r):
-    return outcomes.cohort_size_and_rate(procedure_outcome(r, numbered=False))
+    return outcomes.cohort_size_and_rate(procedure_outcome(r))
 
 
 def outcomes_by_concept(r, concepts):
@@ -291,7 +294,7 @@ def outcomes_by_concept(r, concepts):
     elig = eligibility(r)
     stacked = None
     for c in concepts:
-        rows = outcomes.recurrent_outcome(elig, elig, r["procedure_occurrence"], [c], numbered=False)
+        rows = outcomes.recurrent_outcome(elig, None, r["procedure_occurrence"], [c], numbered=False)
         rows = rows.withColumn("outcome", F.lit(f"procedure_{c}"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
     return stacked
@@ -367,28 +370,28 @@ SQL_SAMPLED = (*SQL_OUTCOME, *SQL_SPLIT, SQL_SAMPLES)
 
 
 def split(r, labelled=None):
-    labelled = procedure_outcome(r, numbered=False) if labelled is None else labelled
+    labelled = procedure_outcome(r) if labelled is None else labelled
     return splits.split_people(splits.outcome_stratum(labelled), SPLIT_SEED)
 
 
 def samples(r):
-    labelled = procedure_outcome(r, numbered=False)
-    return splits.yearly_samples(labelled, split(r, labelled), fold=0)
+    labelled = procedure_outcome(r)
+    return r.stage("samples", lambda: splits.yearly_samples(labelled, split(r, labelled), fold=0))
 
 
 @query("d01_outcome_stratum", sql(*SQL_OUTCOME, SQL_STRATA, select="SELECT * FROM strata"))
 def _(r):
-    return splits.outcome_stratum(procedure_outcome(r, numbered=False))
+    return splits.outcome_stratum(procedure_outcome(r))
 
 
 @query("d02_test_split", sql(*SQL_OUTCOME, *SQL_SPLIT, select="SELECT person_id, stratum, is_test FROM tested"))
 def _(r):
-    return splits.test_split(splits.outcome_stratum(procedure_outcome(r, numbered=False)), SPLIT_SEED)
+    return splits.test_split(splits.outcome_stratum(procedure_outcome(r)), SPLIT_SEED)
 
 
 @query("d03_k_folds", sql(*SQL_OUTCOME, *SQL_SPLIT, select="SELECT person_id, stratum, fold FROM folded"))
 def _(r):
-    return splits.k_folds(splits.outcome_stratum(procedure_outcome(r, numbered=False)), SPLIT_SEED)
+    return splits.k_folds(splits.outcome_stratum(procedure_outcome(r)), SPLIT_SEED)
 
 
 _SAMPLE = "person_id, CAST(end_date AS VARCHAR) AS end_date, year, split, y"

@@ -10,6 +10,7 @@ from tidemark.plans.outcome_queries import SQL_COUNTS, SQL_SAMPLED, procedure_co
 from tidemark.plans.common import SQL_ELIGIBLE
 from tidemark.plans.registry import query, sql
 from tidemark.plans.summary_queries import KEYS, SQL_MAIN, YEARS, results
+from tidemark.session import scratch_path
 from tidemark.sources import files
 from tidemark.sources.tables import read_tables, write_table
 
@@ -39,7 +40,7 @@ def _(r):
         F.lit(None).cast("double").alias("female_range_low"),
         (F.max("range_high") - 1).alias("female_range_high"),
     )
-    path = files.scratch_path(r.spark, "reference")
+    path = scratch_path(r.spark, "reference")
     files.write_reference_csv(derived, path)
     return files.read_reference_csv(r.spark, path, files.REFERENCE_SCHEMAS["unit_thresholds"])
 
@@ -49,7 +50,7 @@ def _(r):
     sql(select="SELECT concept_id, count(*) AS num_events FROM procedure_occurrence WHERE year(event_date) = 1998 GROUP BY 1"),
 )
 def _(r):
-    path = files.scratch_path(r.spark, "procedures")
+    path = scratch_path(r.spark, "procedures")
     write_table(r["procedure_occurrence"].withColumn("year", F.year("event_date")), path, ["year"])
     back = r.spark.read.parquet(path).where("year = 1998")
     return back.groupBy("concept_id").agg(F.count(F.lit(1)).alias("num_events"))
@@ -62,7 +63,7 @@ def _(r):
 )
 def _(r):
     events = r["drug_exposure"].withColumn("concept", F.concat(F.col("concept_id").cast("string"), F.lit(" - drug")))
-    path = files.scratch_path(r.spark, "timelines")
+    path = scratch_path(r.spark, "timelines")
     files.write_timelines(events, path)
     return files.read_timelines(r.spark, path)
 
@@ -78,7 +79,7 @@ def _(r):
 )
 def _(r):
     events = r["drug_exposure"].withColumn("concept", F.col("concept_id").cast("string"))
-    path = files.scratch_path(r.spark, "timelines")
+    path = scratch_path(r.spark, "timelines")
     files.write_timelines(events, path)
     people = r.spark.read.schema(files.TIMELINE_SCHEMA).json(path)
     visits = F.array_join(F.transform("visits", lambda v: F.array_join(v, ",")), ";")
@@ -90,7 +91,7 @@ def _(r):
     sql(*SQL_SAMPLED, select="SELECT person_id, CAST(end_date AS VARCHAR) AS end_date, y FROM samples WHERE year = 1999 AND split = 'valid'"),
 )
 def _(r):
-    path = files.scratch_path(r.spark, "samples")
+    path = scratch_path(r.spark, "samples")
     files.write_samples(samples(r), path)
     return files.read_samples(r.spark, path, 1999, "valid").select("person_id", "end_date", "y")
 
@@ -114,7 +115,7 @@ def metric_rows(r):
 
 @query("s07_read_metrics_json", sql(*SQL_METRIC_ROWS, select="SELECT * FROM metric_rows"))
 def _(r):
-    path = files.scratch_path(r.spark, "metrics")
+    path = scratch_path(r.spark, "metrics")
     documents = files.metrics_json(metric_rows(r), ["split"])
     documents.write.partitionBy("split").text(path)
     back = files.read_metrics_json(r.spark, f"{path}/*/*.txt")
@@ -144,7 +145,7 @@ _WIDE = ", ".join(f'round("{y}", 6) AS "{y}"' for y in YEARS)
 )
 def _(r):
     table = results(r, F.col("y"))
-    path = files.scratch_path(r.spark, "results")
+    path = scratch_path(r.spark, "results")
     table.withColumn("task", F.col("experiment")).write.partitionBy("task").option("header", True).csv(path)
     schema = ", ".join([f"{k} string" for k in KEYS] + [f"`{y}` double" for y in YEARS])
     excluded = r.spark.range(1).select(F.lit("lab_1").alias("task"))
@@ -158,7 +159,7 @@ def _(r):
     sql(*SQL_ELIGIBLE, SQL_COUNTS, select="SELECT concat(CAST(concept_id AS VARCHAR), ' - ', concept_name, ' - ', CAST(concept_count AS VARCHAR)) AS value FROM counts"),
 )
 def _(r):
-    path = files.scratch_path(r.spark, "lines")
+    path = scratch_path(r.spark, "lines")
     files.write_delimited(procedure_counts(r), path, ["concept_id", "concept_name", "concept_count"])
     return r.spark.read.text(path)
 

@@ -1,19 +1,19 @@
-"""Session helpers: reliable checkpoints in the folder that the cluster names."""
+"""Session helpers: stage tables in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Folder for checkpoints: the cluster's own, or a scratch folder in local mode only."""
+    """Shared folder for stage tables: the cluster's own, or a scratch folder in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if named:
-        context.setCheckpointDir(named)
         return named
+    context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     if context.master.startswith("local"):
@@ -22,12 +22,25 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once with ``checkpoint()`` so that several jobs can read it.
+    """Write ``df`` once as a table in the shared folder, so that several jobs can read it.
 
-    Without a shared folder the plan is returned as it is: it is then computed
-    again by every job, which is slower but never wrong.
+    The lineage ends there: a lost executor costs a read, not the whole plan. The
+    table knows its size and columns, so later joins can broadcast it when it is
+    small and read only what they need. Without a shared folder the plan is
+    returned as it is and computed by every job, which is slower but never wrong.
     """
-    if checkpoint_dir(df.sparkSession) is None:
+    spark = df.sparkSession
+    if checkpoint_dir(spark) is None:
         return df
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,6 +107,23 @@ class Bound:
         self.spark = spark
         self.folder = folder
         self._frames: dict[str, DataFrame] = {}
+        self._stages: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several later steps read: built and written once."""
+        if name not in self._stages:
+            self._stages[name] = materialize(build())
+        return self._stages[name]
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A plan that several steps use, built once but not written."""
+        if name not in self._stages:
+            self._stages[name] = build()
+        return self._stages[name]
+
+    def stored(self, name: str) -> DataFrame:
+        """A relation as a stored table, for pipelines that scan it many times."""
+        return self.stage(f"stored_{name}", lambda: self[name])
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:

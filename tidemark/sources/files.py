@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import running_sums
-from tidemark.session import checkpoint_dir
 
 # Columns of the four reference files.
 REFERENCE_SCHEMAS = {
@@ -27,14 +25,6 @@ REFERENCE_SCHEMAS = {
 METRICS_TYPE = "map<string, map<string, map<string, double>>>"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path next to the checkpoints, in the folder that all executors share."""
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def read_reference_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed CSV with a header; empty fields are null."""
     return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
