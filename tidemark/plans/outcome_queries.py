@@ -257,7 +257,7 @@ def _(r):
 def _(r):
     elig = eligibility(r)
     calendar = cohort.index_dates(r.spark, FIRST, LAST)
-    return outcomes.lab_frequency_over_time(elig, None, clean(r), calendar, [300, 301])
+    return outcomes.lab_frequency_over_time(None, elig, clean(r), calendar, [300, 301])
 
 
 @query(

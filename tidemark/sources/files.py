@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import running_sums
+from tidemark.sources.tables import write_table
 
 # Columns of the four reference files.
 REFERENCE_SCHEMAS = {
@@ -68,10 +69,8 @@ def write_timelines(events: DataFrame, path: str) -> None:
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """Samples in one folder per year and split."""
-    samples.repartition("year", "split", F.pmod(F.xxhash64("person_id"), F.lit(16))).write.mode("overwrite").partitionBy(
-        "year", "split"
-    ).parquet(path)
+    """Samples in one folder per year and split, in files of even size."""
+    write_table(samples, path, ["year", "split"])
 
 
 def read_samples(spark: SparkSession, path: str, year: int | None = None, split: str | None = None) -> DataFrame:

@@ -13,5 +13,13 @@ def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[
 
 
 def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
-    """Replace a derived table."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace a derived table.
+
+    Rows of one folder are brought together before writing; adaptive execution
+    splits folders that are large and merges small ones, so that file sizes stay
+    even when one folder holds most rows.
+    """
+    folders = list(partition_by)
+    if folders:
+        df = df.hint("rebalance", *folders)
+    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
