@@ -12,7 +12,7 @@ Every draw is a pure function of seed, replicate and person.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.expressions import PRIME, hash32, mix, mix_numpy
+from tidemark.functions.expressions import PRIME, hash32, mix_numpy
 from tidemark.functions.ranking import hash_rank, join_on, quantile_splits, with_range
 from tidemark.session import materialize
 
 REPLICATES = 2000
 ROWS_PER_TASK = 100_000
+BLOCK = 4096  # persons whose draws are counted together
 _CELLS = 4_000_000  # entries x replicates held at once in a task
 
 
@@ -83,17 +84,20 @@ def _replicate_sums(entries: DataFrame, by: Sequence[str], n: int, seed: int, sw
         drawn = None if swap else np.frombuffer(b"".join(pdf["weights"]), dtype=np.uint8).reshape(len(pdf), n)
         step = max(1, _CELLS // len(pdf))
         parts = []
-        for start in range(1, n + 1, step):
-            replicates = np.arange(start, min(n, start + step - 1) + 1)
+        for start in range(0, n, step):
+            replicates = np.arange(start + 1, min(n, start + step) + 1)
             if swap:
                 coins = ((mix_numpy(people, replicates, seed) >> 9) & 1)[inverse]
                 arms = coins ^ arm[:, None]
-                weights = [(arms == a).astype(np.float64) for a in (0, 1)]
-            else:
-                counts = drawn[:, replicates - 1].astype(np.float64)
-                weights = [counts * (arm == a)[:, None] for a in (0, 1)]
             for a in (0, 1):
-                pos, neg, concordant = _range_sums(values, weights[a] * y, weights[a] * (1 - y))
+                if swap:
+                    rows, weight = slice(None), (arms == a).astype(np.float64)
+                else:
+                    rows = arm == a
+                    weight = drawn[rows, start : start + step].astype(np.float64)
+                if not len(weight):
+                    continue
+                pos, neg, concordant = _range_sums(values[rows], weight * y[rows], weight * (1 - y[rows]))
                 parts.append(
                     pd.DataFrame({"arm": a, "replicate": replicates, "pos": pos, "neg": neg, "concordant": concordant})
                 )
@@ -139,20 +143,50 @@ def _replicate_aucs(
     return paired.withColumn("auc_diff", F.col("auc_1") - F.col("auc_2"))
 
 
-def _packed_counts(n: int):
-    """Pack the list of drawn replicates into one byte per replicate."""
-
-    @F.pandas_udf(T.BinaryType())
-    def packed(drawn: pd.Series) -> pd.Series:
-        def one(replicates: np.ndarray) -> bytes:
-            counts = np.bincount(np.asarray(replicates, dtype=np.int64), minlength=n + 1)[1:]
-            if counts.max() > 255:
-                raise ValueError("a person was drawn more than 255 times in one replicate")
-            return counts.astype(np.uint8).tobytes()
-
-        return drawn.map(one)
-
-    return packed
+def _spread_draws(n: int, seed: int, group: Sequence[str]):
+    """Draws of a batch of persons, packed per block of drawn numbers."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        replicates = np.arange(1, n + 1)
+        step = max(1, _CELLS // n)
+        for batch in batches:
+            for _, part in batch.groupby(list(group), dropna=False, sort=False):
+                keys, size = part["_key"].to_numpy(), int(part["group_size"].iloc[0])
+                head = {c: part[c].iloc[0] for c in group}
+                for start in range(0, len(keys), step):
+                    chunk = keys[start : start + step]
+                    drawn = ((mix_numpy(chunk, replicates, seed) * size) >> 31).ravel()
+                    order = np.argsort(drawn, kind="stable")
+                    drawn = drawn[order]
+                    which = np.tile(replicates - 1, len(chunk))[order].astype(np.uint16)
+                    blocks, starts = np.unique(drawn // BLOCK, return_index=True)
+                    places = (drawn % BLOCK).astype(np.uint16)
+                    rows = {
+                        "_block": blocks,
+                        "_places": [x.tobytes() for x in np.split(places, starts[1:])],
+                        "_which": [x.tobytes() for x in np.split(which, starts[1:])],
+                    }
+                    yield pd.DataFrame({**{c: [v] * len(blocks) for c, v in head.items()}, **rows})
+
+    return spread
+
+
+def _count_draws(n: int, group: Sequence[str]):
+    """How often each person of a block was drawn, one byte per replicate."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = np.frombuffer(b"".join(pdf["_places"]), dtype=np.uint16).astype(np.int64)
+        which = np.frombuffer(b"".join(pdf["_which"]), dtype=np.uint16)
+        counts = np.bincount(places * n + which, minlength=BLOCK * n).reshape(BLOCK, n)
+        if counts.max() > 255:
+            raise ValueError("a person was drawn more than 255 times in one replicate")
+        hit = np.flatnonzero(counts.any(axis=1))
+        out = {c: [pdf[c].iloc[0]] * len(hit) for c in group}
+        out["rank"] = pdf["_block"].iloc[0] * BLOCK + hit + 1
+        out["weights"] = [row.tobytes() for row in counts[hit].astype(np.uint8)]
+        return pd.DataFrame(out)
+
+    return count
 
 
 def bootstrap_draws(entries: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -161,20 +195,24 @@ def bootstrap_draws(entries: DataFrame, by: Sequence[str], n: int, seed: int) ->
     Persons who are ever positive and persons who never are form two strata, and
     each replicate draws as many persons from a stratum as it has, with
     replacement. Person number i of a stratum makes the i-th draw of every
-    replicate; the drawn number is a hash of (i, stratum, replicate).
+    replicate; the drawn number is a hash of (i, stratum, replicate). Draws travel
+    packed, four bytes each, to the block of persons they hit.
     """
+    if n > 65535:
+        raise ValueError("at most 65,535 replicates at a time; use several seeds for more")
     people = entries.groupBy(*by, "person_id").agg(F.max("y").alias("stratum"))
-    ranked = hash_rank(people, ["person_id"], by=[*by, "stratum"], seed=seed)
+    ranked = materialize(hash_rank(people, ["person_id"], by=[*by, "stratum"], seed=seed))
+    group = [*by, "stratum"]
     key = (F.col("rank") * 2 + F.col("stratum")) % F.lit(PRIME)
-    draws = ranked.select(*by, "stratum", "group_size", key.alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
-    number = F.shiftright(mix(F.col("_key"), F.col("replicate"), seed) * F.col("group_size"), 31) + 1
-    drawn = (
-        draws.select(*by, "stratum", number.alias("rank"), "replicate")
-        .groupBy(*by, "stratum", "rank")
-        .agg(F.collect_list("replicate").alias("drawn"))
+    drawers = ranked.select(*group, "group_size", key.alias("_key"))
+    fields = [ranked.schema[c] for c in group]
+    packed = T.StructType(
+        [*fields, T.StructField("_block", T.LongType()), T.StructField("_places", T.BinaryType()), T.StructField("_which", T.BinaryType())]
     )
-    counts = _packed_counts(n)(F.col("drawn")).alias("weights")
-    return join_on(ranked, drawn, [*by, "stratum", "rank"]).select(*by, "person_id", counts)
+    counted = T.StructType([*fields, T.StructField("rank", T.LongType()), T.StructField("weights", T.BinaryType())])
+    draws = drawers.mapInPandas(_spread_draws(n, seed, group), packed)
+    counts = draws.groupBy(*group, "_block").applyInPandas(_count_draws(n, group), counted)
+    return join_on(ranked, counts, [*group, "rank"]).select(*by, "person_id", "weights")
 
 
 def bootstrap_aucs(

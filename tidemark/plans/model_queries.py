@@ -181,7 +181,7 @@ def year_pair(data, prev=1998, curr=1999):
 
 @query("x02_domain_classifier")
 def _(r):
-    data, names, _ = assembled(r, windows=(30,))
+    data, names, _ = assembled(r, min_count=20, windows=(30,))
     pair = year_pair(data)
     model, _, _ = models.train_logreg(
         pair.where("split = 'train'"), pair.where("split = 'valid'"), penalty="l1", cs=(10.0, 1.0)

@@ -264,7 +264,7 @@ _METRICS = """SELECT m.year, m.region, round(CAST(p AS DOUBLE), 6) AS num_positi
     FROM m JOIN a ON a.year = m.year AND a.region = m.region"""
 
 
-@query("r12_region_metrics", sql(*SQL_REGION, "x AS (SELECT *, s_curr AS score FROM rs)", *_sql_metrics("x", "y", "(1 - y)"), select=_METRICS))
+@query("r12_region_metrics", sql(*SQL_REGION, "x AS (SELECT *, s_curr AS score FROM rs)", *_sql_metrics("x", "y", "(1 - y)"), select=_METRICS.replace("round(CAST(p AS DOUBLE), 6)", "CAST(p AS BIGINT)").replace("round(CAST(n AS DOUBLE), 6)", "CAST(n AS BIGINT)")))
 def _(r):
     return regions.region_metrics(region_scores(r).withColumn("score", F.col("s_curr")), ["year"])
 
