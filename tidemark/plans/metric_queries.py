@@ -422,7 +422,7 @@ def return_tables(r):
     return rates.select("brand", "size", "a", "b", (all_a - F.col("a")).alias("c"), (all_b - F.col("b")).alias("d"))
 
 
-# a p-value in closed form keeps the two engines comparable: exp(-chi2 / 2) stands in for the tail
+# SQL has no erfc: a decreasing function of the statistic stands in for the p-value, so that SQL can repeat it
 @query(
     "h10_benjamini_hochberg",
     sql(
