@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import benchmark_matches
 from tidemark.llm.exact_dedup import exact_duplicates, marked
+from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filter import judge_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +105,19 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digests.join(groups, same[0] & same[1] & same[2]).select(
         digests["doc_id"], "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
