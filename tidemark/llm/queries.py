@@ -11,6 +11,7 @@ from tidemark.llm.decontamination import benchmark_matches
 from tidemark.llm.exact_dedup import exact_duplicates, marked
 from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
+from tidemark.llm.quality_crf import held_out, score_documents, train
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filter import judge_urls, rule_table
 
@@ -121,3 +122,12 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    params = train(docs, table(spark, folder, "labels"))
+    return score_documents(docs, params).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.col("good").cast("int").alias("predicted")
+    )
