@@ -11,6 +11,7 @@ documents of a fixed size per label and runs in one task on their features.
 from __future__ import annotations
 
 import functools
+import operator
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import text_slices
 
 SAMPLE_PER_LABEL = 2000
-SAMPLE_LINES = 200
+SAMPLE_LINES = 64
 THRESHOLD = 0.3
 FOLDS = 5
-STEPS = 150
+STEPS = 300
 RATE = 0.15
-PENALTY = 1e-3
+PENALTY = 1e-5
 
-OWN = 16
+OWN = 17
 WIDTH = 3 * OWN + 3  # own, before, after; first, last, always
 
 # classes of bytes
@@ -68,13 +69,14 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
                     1 - len(distinct) / n if n else 0.0,
                     seen[line] > 1 and len(line) >= 20,
                     len(distinct & before) / len(distinct) if n else 0.0,
+                    sum(map(operator.eq, words, words[1:])) / n if n else 0.0,
                 )
             )
             before = distinct
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     data = np.frombuffer(b"".join(lines), np.uint8)
     kinds = np.bincount(np.repeat(np.arange(len(lines)) * 10, sizes) + KIND[data], minlength=10 * len(lines)).reshape(-1, 10)
-    more = np.array(extra, np.float64).reshape(-1, 4)
+    more = np.array(extra, np.float64).reshape(-1, 5)
     size = np.maximum(1, sizes)[:, None]
     share = kinds / size
     letters = np.maximum(1, kinds[:, UPPER] + kinds[:, LOWER])
@@ -91,6 +93,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own[:, 13] = more[:, 3]
     own[:, 14] = sizes < 20
     own[:, 15] = sizes == 0
+    own[:, 16] = np.minimum(1, 2 * more[:, 4])
     x = np.zeros((len(lines), WIDTH))
     x[:, :OWN] = own
     ends = np.cumsum(counts)
@@ -145,6 +148,9 @@ def marginals(unary: np.ndarray, counts: np.ndarray, links: np.ndarray) -> np.nd
 def fit(x: np.ndarray, counts: np.ndarray, good: np.ndarray) -> np.ndarray:
     """Weights and the four link scores that maximise the likelihood of the documents' line labels (Adam steps)."""
     lines = np.repeat(good, counts).astype(float)
+    scale = np.maximum(x.std(axis=0), 1e-3)
+    scale[-1] = 1.0
+    x = x / scale
     params = np.zeros(WIDTH + 4)
     mean, square = np.zeros_like(params), np.zeros_like(params)
     ends = np.cumsum(counts)
@@ -169,6 +175,7 @@ def fit(x: np.ndarray, counts: np.ndarray, good: np.ndarray) -> np.ndarray:
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
         params += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    params[:WIDTH] /= scale
     return params
 
 
