@@ -13,7 +13,9 @@ from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
 from tidemark.llm.quality_crf import held_out, score_documents, train
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.substring_dedup import drop_repeated_passages
 from tidemark.llm.url_filter import judge_urls, rule_table
+from tidemark.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +133,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(docs, params).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.col("good").cast("int").alias("predicted")
     )
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_passages(table(spark, folder, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    return kept.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_warc_index_merge")
+def op5_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    # pages have no capture time: one second a page from the first of 2020, within a year
+    when = F.lit(1577836800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31536000))
+    index = archive_pages(table(spark, folder, "pages"), captured=when)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
