@@ -11,6 +11,7 @@ from tidemark.llm.decontamination import benchmark_matches
 from tidemark.llm.exact_dedup import exact_duplicates, marked
 from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
+from tidemark.llm.mixing import mix
 from tidemark.llm.quality_crf import held_out, score_documents, train
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import drop_repeated_passages
@@ -148,3 +149,8 @@ def op5_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     when = F.lit(1577836800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31536000))
     index = archive_pages(table(spark, folder, "pages"), captured=when)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
