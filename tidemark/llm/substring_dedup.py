@@ -34,7 +34,7 @@ from tidemark.session import materialize
 
 WINDOW = 13
 PART = 5
-HOT_DOCS = 10_000
+HOT_DOCS = 200_000
 SHARD_UNITS = 20_000
 LAST_ID = 2**63 - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -315,7 +315,8 @@ def drop_repeated_passages(
 
     def units(of: DataFrame, hot: bool, schema: str) -> DataFrame:
         wanted = of.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-        joined = given.join(wanted, "doc").select("doc", "row", "text", "marks")
+        # the same columns as in the last join, so that both use one shuffle of the texts
+        joined = given.join(wanted, "doc").select("doc", "row", "text", "marks", "doc_id")
         return joined.mapInArrow(functools.partial(_units, window=window, part=part, hot=hot), schema)
 
     cold = candidates.join(hot, "mark", "left_anti") if any_hot else candidates
