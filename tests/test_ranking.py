@@ -43,12 +43,12 @@ def test_null_groups_stay_together(spark):
         assert out[out["g"].isna()].sort_values("x")["n_below"].tolist() == [0, 2]
 
 
-def test_hot_values_get_their_own_range(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 600, 0.5).otherwise(F.col("id") / 1000.0).alias("x"))
-    splits, hot = ranking.quantile_splits(df, "x", rows_per_range=50)
-    assert hot == [0.5]
-    ranged = ranking.with_range(df, "x", splits).groupBy("_range").agg(F.countDistinct("x").alias("d"), F.count("x").alias("n")).toPandas()
-    assert ranged[ranged["n"] >= 600]["d"].tolist() == [1]
+def test_string_date_and_null_keys_are_ranked(spark):
+    for kind, values in (("string", ["b", None, "a10", "a9"]), ("date", ["2001-01-02", "1999-05-05", None]), ("boolean", [True, False])):
+        df = spark.createDataFrame([(v if v is None else str(v),) for v in values], "x string").select(F.col("x").cast(kind), F.lit(2).alias("n"))
+        for rows in (None, 1):
+            out = ranking.running_sums(df, "x", ["n"], rows_per_range=rows).orderBy(F.col("x").asc_nulls_first()).collect()
+            assert [r.n_below for r in out] == [2 * i for i in range(len(values))]
 
 
 def test_ordered_index_follows_key_order(spark):

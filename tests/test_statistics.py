@@ -66,21 +66,24 @@ def test_permutations_by_brute_force_and_in_small_ranges(frame):
 def test_bootstrap_draws_keep_stratum_sizes(frame):
     _, df = frame
     entries = rs.two_models(df, ["year"])
-    draws = rs.bootstrap_draws(entries, ["year"], 50, 3).toPandas()
+    draws = rs.bootstrap_draws(rs.ranked_persons(entries, ["year"], 3), ["year"], 1, 50, 3).toPandas()
     strata = entries.groupBy("person_id").agg(F.max("y").alias("s")).toPandas().set_index("person_id")["s"]
-    counts = pd.DataFrame([np.frombuffer(w, dtype=np.uint8) for w in draws["weights"]], index=draws["person_id"])
+    counts = pd.DataFrame([np.frombuffer(w, dtype=np.uint16) for w in draws["weights"]], index=draws["person_id"])
     for s, size in strata.value_counts().items():
         assert (counts[counts.index.map(strata) == s].sum() == size).all()
 
 
-def test_bootstrap_by_brute_force_and_in_small_ranges(frame):
+def test_bootstrap_by_brute_force_and_in_small_ranges(frame, monkeypatch):
     pdf, df = frame
     entries = rs.two_models(df, ["year"])
     whole = rs.bootstrap_aucs(entries, ["year"], 20, 3).toPandas().set_index("replicate").sort_index()
     cut = rs.bootstrap_aucs(entries, ["year"], 20, 3, rows_per_task=30).toPandas().set_index("replicate").sort_index()
     np.testing.assert_allclose(whole["auc_diff"], cut["auc_diff"])
-    draws = rs.bootstrap_draws(entries, ["year"], 20, 3).toPandas().set_index("person_id")["weights"]
-    weights = {p: np.frombuffer(w, dtype=np.uint8) for p, w in draws.items()}
+    monkeypatch.setattr(rs, "REPLICATE_BLOCK", 7)
+    blocks = rs.bootstrap_aucs(entries, ["year"], 20, 3).toPandas().set_index("replicate").sort_index()
+    np.testing.assert_allclose(whole["auc_diff"], blocks["auc_diff"])
+    draws = rs.bootstrap_draws(rs.ranked_persons(entries, ["year"], 3), ["year"], 1, 20, 3).toPandas().set_index("person_id")["weights"]
+    weights = {p: np.frombuffer(w, dtype=np.uint16) for p, w in draws.items()}
     for r in (1, 20):
         times = pdf["person_id"].map(lambda p: int(weights[p][r - 1]) if p in weights else 0).to_numpy()
         rows = pdf.loc[pdf.index.repeat(times)]
@@ -171,10 +174,28 @@ def test_co_occurrence_matches_pairs_across_blocks(spark, monkeypatch):
 def test_prune_keeps_a_feature_whose_better_partner_is_out(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "feature string")
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "feature_1 string, feature_2 string")
-    kept = {r.feature for r in shift.correlated_pairs_prune(names, pairs).collect()}
+    sizes = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7), ("d", 7)], "feature string, f int")
+    kept = {r.feature for r in shift.correlated_pairs_prune(names, pairs, sizes).collect()}
     assert kept == {"a", "c", "d"}
 
 
+def test_prune_ends_when_the_order_of_two_features_flips_between_years(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "feature string")
+    pairs = spark.createDataFrame([(1998, "a", "b"), (1999, "b", "a")], "year int, feature_1 string, feature_2 string")
+    sizes = spark.createDataFrame([("a", 5), ("b", 7), ("a", 7), ("b", 6)], "feature string, f int")
+    assert [r.feature for r in shift.correlated_pairs_prune(names, pairs, sizes).collect()] == ["b"]
+
+
+def test_chi2_tail_is_accurate_and_needs_no_python(spark):
+    xs = [0.0, 1e-6, 0.1, 1.0, 3.841458820694124, 10.0, 50.0, 300.0, 1200.0]
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").withColumn("p", hy.chi2_p_value("x"))
+    got = {r.x: r.p for r in df.collect()}
+    for x in xs:
+        assert math.isclose(got[x], math.erfc(math.sqrt(x / 2)), rel_tol=1e-10, abs_tol=1e-250)
+    assert got[None] is None
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def test_appearing_coefficients_by_prefix_and_word(spark):
     before = spark.createDataFrame([("1 - condition - Asthma severe - 30 days", 0.2), ("9 - drug - metformin 5 mg tablet - 30 days", 0.3)], "feature string, coefficient double")
     after = spark.createDataFrame(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -125,3 +126,38 @@ def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
         return F.lit(False)
     lowered = F.lower(text)
     return functools.reduce(lambda a, b: a | b, [lowered.contains(p.lower()) for p in phrases])
+
+
+# ------------------------------------------------------------------- tails
+
+
+def _scaled_erfc(z: float) -> float:
+    """exp(z * z) * erfc(z)."""
+    if z < 6:
+        return math.exp(z * z) * math.erfc(z)
+    rest = 0.0
+    for k in range(60, 0, -1):
+        rest = k / 2 / (z + rest)
+    return 1 / (z + rest) / math.sqrt(math.pi)
+
+
+@functools.cache
+def _tail_polynomial(degree: int = 24) -> tuple[float, ...]:
+    """ln(scaled erfc(z) / t) as a polynomial in 2 t - 1, for t = 2 / (2 + z): 13 digits for every z from 0 up."""
+
+    def exact(y: np.ndarray) -> np.ndarray:
+        t = (y + 1) / 2
+        return np.array([math.log(_scaled_erfc(2 / x - 2) / x) for x in t])
+
+    return tuple(np.polynomial.chebyshev.cheb2poly(np.polynomial.chebyshev.chebinterpolate(exact, degree)))
+
+
+def chi2_p_sql(x: str) -> str:
+    """SQL text of the upper tail of chi-squared with one degree of freedom, erfc(sqrt(x / 2)); null for null."""
+    t = f"(2.0E0 / (2.0E0 + sqrt(({x}) / 2.0E0)))"
+    y = f"(2.0E0 * {t} - 1.0E0)"
+    terms = _tail_polynomial()
+    acc = f"{terms[-1]:.17E}"
+    for c in reversed(terms[:-1]):
+        acc = f"({acc}) * {y} + ({c:.17E})"
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN least(1.0E0, {t} * exp({acc} - ({x}) / 2.0E0)) END)"

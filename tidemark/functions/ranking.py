@@ -12,16 +12,13 @@ import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash32
 from tidemark.session import materialize
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1024
-_ACCURACY = 100 * MAX_RANGES
+ROWS_PER_SLICE = 100_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,15 +32,19 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def hash_rank(
-    df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed: int = 0, buckets: int = 1024
+    df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed: int = 0, buckets: int | None = None
 ) -> DataFrame:
     """Add ``rank`` (1-based, in hash order within ``by``) and ``group_size``.
 
     The hash is uniform, so equal slices of it hold equal shares of any group:
     each slice is sorted on its own and only the slice sizes are summed up. The
-    result depends on the seed and the ids alone, so that lost tasks can be
-    computed again.
+    number of slices follows the number of rows unless ``buckets`` (a power of two)
+    is given. The result depends on the seed and the ids alone, so that lost tasks
+    can be computed again.
     """
+    df = materialize(df)
+    if buckets is None:
+        buckets = 1 << min(31, max(0, (df.count() - 1) // ROWS_PER_SLICE).bit_length())
     shift = 32 - int(math.log2(buckets))
     keyed = df.withColumn("_hash", hash32(seed, *ids)).withColumn("_slice", F.shiftright("_hash", shift))
     group = list(by)
@@ -65,36 +66,6 @@ def hash_rank(
     )
 
 
-def quantile_splits(df: DataFrame, column: str, rows_per_range: int | None = None) -> tuple[list[float], list[float]]:
-    """Split points that cut ``column`` into ranges of bounded size, and its hot values.
-
-    A value that fills more than one range by itself is hot: it gets a range of
-    its own, which the caller may salt. One aggregation; at most MAX_RANGES
-    numbers reach the driver.
-    """
-    per_range = rows_per_range or ROWS_PER_RANGE
-    probabilities = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    row = df.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(F.col(column).cast("double"), probabilities, _ACCURACY).alias("q"),
-    ).first()
-    ranges = min(MAX_RANGES, math.ceil(row["n"] / per_range))
-    if ranges <= 1:
-        return [], []
-    picked = [row["q"][round(i * MAX_RANGES / ranges) - 1] for i in range(1, ranges)]
-    hot = sorted({a for a, b in zip(picked, picked[1:]) if a == b})
-    splits = sorted(set(picked) | {math.nextafter(v, math.inf) for v in hot})
-    return splits, hot
-
-
-def with_range(df: DataFrame, column: str, splits: Sequence[float], name: str = "_range") -> DataFrame:
-    if not splits:
-        return df.withColumn(name, F.lit(0.0))
-    bounds = [-math.inf, *splits, math.inf]
-    held = df.withColumn("_as_double", F.col(column).cast("double"))
-    return Bucketizer(splits=bounds, inputCol="_as_double", outputCol=name).transform(held).drop("_as_double")
-
-
 def running_sums(
     df: DataFrame,
     order: str,
@@ -104,33 +75,35 @@ def running_sums(
 ) -> DataFrame:
     """Add ``<s>_below`` (sum over strictly smaller ``order``) and ``<s>_total`` within ``by``.
 
-    ``df`` holds one row per (by, order). Small inputs use one window per group;
-    larger ones are cut by value into ranges of bounded size.
+    ``df`` holds one row per (by, order); ``order`` may have any type that sorts, null
+    comes first. Rows are range-partitioned by (by, order), so a large group spans many
+    ranges and small groups share one. A range is summed on its own, and the totals of
+    the ranges before are added. Spark chooses the number of ranges from the data
+    unless ``rows_per_range`` fixes their size.
     """
     group = list(by)
-    df = materialize(df)
-    splits, _ = quantile_splits(df, order, rows_per_range)
+    columns = df.columns
+    keys = [*group, order]
+    if rows_per_range:
+        df = materialize(df)
+        ranged = df.repartitionByRange(max(1, math.ceil(df.count() / rows_per_range)), *keys)
+    else:
+        ranged = df.repartitionByRange(*keys)
+    # written, because the bounds of the ranges must be the same for both uses below
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
 
-    def sums_over(frame: DataFrame, ordering: str, window: Window, names: dict[str, str]) -> list[Column]:
+    def sums_over(ordering: str, window: Window, names: dict[str, str]) -> list[Column]:
         before = window.orderBy(ordering).rowsBetween(Window.unboundedPreceding, -1)
         return [F.coalesce(F.sum(s).over(before), F.lit(0)).alias(n) for s, n in names.items()]
 
     totals = [F.sum(s).over(whole).alias(f"{s}_total") for s in sums]
-    if not splits:
-        return df.select("*", *sums_over(df, order, whole, {s: f"{s}_below" for s in sums}), *totals)
-
-    ranged = with_range(df, order, splits)
     parts = ranged.groupBy(*group, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    offsets = parts.select(
-        *group, "_range", *sums_over(parts, "_range", whole, {s: f"_{s}_before" for s in sums}), *totals
-    )
+    offsets = parts.select(*group, "_range", *sums_over("_range", whole, {s: f"_{s}_before" for s in sums}), *totals)
     inside = Window.partitionBy(*group, "_range")
-    inner = ranged.select("*", *sums_over(ranged, order, inside, {s: f"_{s}_inner" for s in sums}))
-    joined = join_on(inner, offsets, [*group, "_range"])
-    kept = [c for c in df.columns]
-    return joined.select(
-        *kept,
+    inner = ranged.select("*", *sums_over(order, inside, {s: f"_{s}_inner" for s in sums}))
+    return join_on(inner, offsets, [*group, "_range"]).select(
+        *columns,
         *[(F.col(f"_{s}_before") + F.col(f"_{s}_inner")).alias(f"{s}_below") for s in sums],
         *[f"{s}_total" for s in sums],
     )

@@ -7,15 +7,12 @@ permutation test on test data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.expressions import ratio
+from tidemark.functions.expressions import chi2_p_sql, ratio
 from tidemark.functions.ranking import join_on, running_sums
 from tidemark.operators import resampling as rs
 from tidemark.operators.metrics import auc
@@ -84,10 +81,9 @@ def chi2_statistic(a: str, b: str, c: str, d: str) -> Column:
     return F.when(margins > 0, total * (gap - half) * (gap - half) / margins)
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_p_value(statistic: pd.Series) -> pd.Series:
+def chi2_p_value(statistic: str) -> Column:
     """Upper tail of chi-squared with one degree of freedom."""
-    return statistic.map(lambda x: None if pd.isna(x) else math.erfc(math.sqrt(x / 2)))
+    return F.expr(chi2_p_sql(statistic))
 
 
 def chi2_2x2(table: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:

@@ -36,7 +36,8 @@ FOREST_LEAVES = (10, 25, 100)
 SCAN_FOREST_TREES = (10, 100, 1000)
 SCAN_FOREST_LEAVES = (100, 1000, 10000)
 BOOST_TREES = (10, 25, 100)
-BOOST_DEPTHS = (3, 5)
+BOOST_DEPTHS = (3, 6, 10)
+SCAN_BOOST_TREES = (5, 10, 50)
 MAX_DEPTH = 30
 MAX_ITERATIONS = 1000
 PARALLEL_FITS = 4
@@ -135,16 +136,21 @@ def train_forest(
 
 
 def train_boosted(
-    train: DataFrame, valid: DataFrame, trees: Sequence[int] = BOOST_TREES, depths: Sequence[int] = BOOST_DEPTHS
+    train: DataFrame,
+    valid: DataFrame,
+    trees: Sequence[int] = BOOST_TREES,
+    depths: Sequence[int] = BOOST_DEPTHS,
+    weight_col: str | None = None,
 ) -> tuple[Model, int, float]:
-    """Boosted trees with positives weighted by negatives over positives."""
-    sizes = train.agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).first()
+    """Boosted trees with positives weighted by negatives over positives, times the sample weight if there is one."""
+    given = F.lit(1.0) if weight_col is None else F.col(weight_col)
+    sizes = train.agg(F.sum((1 - F.col("y")) * given).alias("n0"), F.sum(F.col("y") * given).alias("n1")).first()
     weight = F.when(F.col("y") == 1, sizes["n0"] / sizes["n1"]).otherwise(1.0)
-    weighted = materialize(train.withColumn("weight", weight))
+    weighted = materialize(train.withColumn("_weight", weight * given))
     estimators = [
-        GBTClassifier(labelCol="y", weightCol="weight", maxIter=t, maxDepth=d, seed=0) for t in trees for d in depths
+        GBTClassifier(labelCol="y", weightCol="_weight", maxIter=t, maxDepth=d, seed=0) for t in trees for d in depths
     ]
-    return choose(estimators, weighted, valid)
+    return choose(estimators, weighted, valid, weight_col)
 
 
 def models_per_year(

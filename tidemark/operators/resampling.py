@@ -1,17 +1,19 @@
 """Person-level bootstraps and permutations of AUC differences.
 
-All replicates are computed side by side. Entries (one per sample and arm) are
-cut by score into ranges of bounded size; a task holds one range, draws the
-replicates as a matrix with numpy, and returns only sums per replicate. Ranges
-are put together with a running sum, so the shuffle after the draw carries
-ranges x replicates rows instead of samples x replicates. A score shared by very
-many samples has a range of its own, which is salted over many tasks.
+Replicates are computed side by side, a block of them at a time. Samples of a person
+with the same arm, outcome and score are one entry with a multiplicity. The entries of
+each group are cut by score into ranges of bounded size, so a small group is one range;
+a task holds one range, draws the replicates as a matrix with numpy, and returns only
+sums per replicate. Ranges are put together with a running sum, so the shuffle after
+the draw carries ranges x replicates rows instead of samples x replicates. A score
+shared by very many entries has a range of its own, which is salted over many tasks.
 
 Every draw is a pure function of seed, replicate and person.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import PRIME, hash32, mix_numpy
-from tidemark.functions.ranking import hash_rank, join_on, quantile_splits, with_range
+from tidemark.functions.ranking import hash_rank, join_on, running_sums
 from tidemark.session import materialize
 
 REPLICATES = 2000
 ROWS_PER_TASK = 100_000
 BLOCK = 4096  # persons whose draws are counted together
+REPLICATE_BLOCK = 500  # replicates whose draws travel in one row
 _CELLS = 4_000_000  # entries x replicates held at once in a task
 
 
@@ -62,9 +65,9 @@ def _range_sums(values: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[n
     return pos.sum(axis=0), neg.sum(axis=0), (pos * (below + neg / 2)).sum(axis=0)
 
 
-def _replicate_sums(entries: DataFrame, by: Sequence[str], n: int, seed: int, swap: bool) -> DataFrame:
-    """Per (by, range, salt, arm, replicate): pos, neg and concordant pairs within the range."""
-    fields = [entries.schema[c] for c in [*by, "_range", "_salt"]]
+def _replicate_sums(entries: DataFrame, by: Sequence[str], first: int, last: int, seed: int, swap: bool) -> DataFrame:
+    """Per (by, range, salt, arm, replicate): pos, neg and concordant pairs within the range, for replicates first..last."""
+    fields = [entries.schema[c] for c in [*by, "_range", "_hot", "_salt"]]
     schema = T.StructType(
         [
             *fields,
@@ -76,25 +79,27 @@ def _replicate_sums(entries: DataFrame, by: Sequence[str], n: int, seed: int, sw
         ]
     )
     names = [f.name for f in fields]
+    n = last - first + 1
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value", kind="stable")
         values, y, arm = pdf["value"].to_numpy(), pdf["y"].to_numpy(dtype=np.float64)[:, None], pdf["arm"].to_numpy()
+        times = pdf["times"].to_numpy(dtype=np.float64)[:, None]
         people, inverse = np.unique(pdf["person_key"].to_numpy(), return_inverse=True)
-        drawn = None if swap else np.frombuffer(b"".join(pdf["weights"]), dtype=np.uint8).reshape(len(pdf), n)
+        drawn = None if swap else np.frombuffer(b"".join(pdf["weights"]), dtype=np.uint16).reshape(len(pdf), n)
         step = max(1, _CELLS // len(pdf))
         parts = []
         for start in range(0, n, step):
-            replicates = np.arange(start + 1, min(n, start + step) + 1)
+            replicates = np.arange(first + start, min(last + 1, first + start + step))
             if swap:
                 coins = ((mix_numpy(people, replicates, seed) >> 9) & 1)[inverse]
                 arms = coins ^ arm[:, None]
             for a in (0, 1):
                 if swap:
-                    rows, weight = slice(None), (arms == a).astype(np.float64)
+                    rows, weight = slice(None), (arms == a) * times
                 else:
                     rows = arm == a
-                    weight = drawn[rows, start : start + step].astype(np.float64)
+                    weight = drawn[rows, start : start + step] * times[rows]
                 if not len(weight):
                     continue
                 pos, neg, concordant = _range_sums(values[rows], weight * y[rows], weight * (1 - y[rows]))
@@ -109,32 +114,41 @@ def _replicate_sums(entries: DataFrame, by: Sequence[str], n: int, seed: int, sw
     return entries.groupBy(*names).applyInPandas(draw, schema)
 
 
-def _replicate_aucs(
-    entries: DataFrame, by: Sequence[str], n: int, seed: int, swap: bool, rows_per_task: int
-) -> DataFrame:
-    """AUC of both arms and their difference per (by, replicate)."""
-    splits, hot = quantile_splits(entries, "value", rows_per_task)
-    ranged = with_range(entries, "value", splits)
-    salts = max(1, len(splits))
-    is_hot = F.col("value").isin(*hot) if hot else F.lit(False)
-    ranged = ranged.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64("person_key", "arm"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).withColumn("_hot", is_hot)
-    hot_ranges = ranged.where("_hot").select("_range").distinct().withColumn("_hot", F.lit(True)) if hot else None
-    sums = _replicate_sums(ranged.drop("_hot"), by, n, seed, swap)
+def _merged(entries: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
+    """Entries with multiplicity (times) and person_key."""
+    rows = entries.groupBy(*by, "person_id", "arm", "y", "value").agg(F.count(F.lit(1)).alias("times"))
+    return rows.withColumn("person_key", person_key(seed))
+
+
+def _ranged(entries: DataFrame, by: Sequence[str], rows_per_task: int) -> DataFrame:
+    """Entries with their group's score range; a score of more than a range's entries is hot and salted."""
+    counts = entries.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_n"))
+    run = running_sums(counts, order="value", sums=["_n"], by=by)
+    marks = run.select(
+        *by,
+        "value",
+        F.floor(F.col("_n_below") / rows_per_task).alias("_range"),
+        (F.col("_n") > rows_per_task).alias("_hot"),
+        F.ceil(F.col("_n") / rows_per_task).alias("_salts"),
+    )
+    joined = join_on(entries, materialize(marks), [*by, "value"])
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("person_key", "arm"), F.col("_salts"))).otherwise(F.lit(0))
+    return joined.withColumn("_salt", salt.cast("int")).drop("_salts")
+
+
+def _aucs(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """AUC of both arms and their difference per (by, replicate) from the sums of the ranges."""
     keys = [*by, "arm", "replicate"]
-    merged = sums.groupBy(*keys, "_range").agg(
+    merged = sums.groupBy(*keys, "_range", "_hot").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("concordant").alias("concordant")
     )
-    if hot_ranges is not None:
-        # a salted range holds one value only: all its pairs are ties
-        merged = merged.join(hot_ranges, "_range", "left").withColumn(
-            "concordant", F.when(F.col("_hot"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("concordant"))
-        )
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a hot range holds one value only: all its pairs are ties
+    inner = F.when(F.col("_hot"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("concordant"))
+    before = Window.partitionBy(*keys).orderBy("_range", "_hot").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
-    pairs = F.sum(F.col("concordant") + F.col("pos") * F.col("_below"))
-    aucs = merged.withColumn("_below", below).groupBy(*keys).agg((pairs / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    ranged = merged.withColumn("_inner", inner).withColumn("_below", below)
+    pairs = F.sum(F.col("_inner") + F.col("pos") * F.col("_below"))
+    aucs = ranged.groupBy(*keys).agg((pairs / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
     def arm(a: int) -> Column:
         return F.max(F.when(F.col("arm") == a, F.col("auc"))).alias(f"auc_{a + 1}")
@@ -143,12 +157,12 @@ def _replicate_aucs(
     return paired.withColumn("auc_diff", F.col("auc_1") - F.col("auc_2"))
 
 
-def _spread_draws(n: int, seed: int, group: Sequence[str]):
+def _spread_draws(first: int, last: int, seed: int, group: Sequence[str]):
     """Draws of a batch of persons, packed per block of drawn numbers."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replicates = np.arange(1, n + 1)
-        step = max(1, _CELLS // n)
+        replicates = np.arange(first, last + 1)
+        step = max(1, _CELLS // len(replicates))
         for batch in batches:
             for _, part in batch.groupby(list(group), dropna=False, sort=False):
                 keys, size = part["_key"].to_numpy(), int(part["group_size"].iloc[0])
@@ -158,7 +172,7 @@ def _spread_draws(n: int, seed: int, group: Sequence[str]):
                     drawn = ((mix_numpy(chunk, replicates, seed) * size) >> 31).ravel()
                     order = np.argsort(drawn, kind="stable")
                     drawn = drawn[order]
-                    which = np.tile(replicates - 1, len(chunk))[order].astype(np.uint16)
+                    which = np.tile(replicates - first, len(chunk))[order].astype(np.uint16)
                     blocks, starts = np.unique(drawn // BLOCK, return_index=True)
                     places = (drawn % BLOCK).astype(np.uint16)
                     rows = {
@@ -172,36 +186,35 @@ def _spread_draws(n: int, seed: int, group: Sequence[str]):
 
 
 def _count_draws(n: int, group: Sequence[str]):
-    """How often each person of a block was drawn, one byte per replicate."""
+    """How often each person of a block was drawn, two bytes per replicate."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         places = np.frombuffer(b"".join(pdf["_places"]), dtype=np.uint16).astype(np.int64)
         which = np.frombuffer(b"".join(pdf["_which"]), dtype=np.uint16)
         counts = np.bincount(places * n + which, minlength=BLOCK * n).reshape(BLOCK, n)
-        if counts.max() > 255:
-            raise ValueError("a person was drawn more than 255 times in one replicate")
         hit = np.flatnonzero(counts.any(axis=1))
         out = {c: [pdf[c].iloc[0]] * len(hit) for c in group}
         out["rank"] = pdf["_block"].iloc[0] * BLOCK + hit + 1
-        out["weights"] = [row.tobytes() for row in counts[hit].astype(np.uint8)]
+        out["weights"] = [row.tobytes() for row in counts[hit].astype(np.uint16)]
         return pd.DataFrame(out)
 
     return count
 
 
-def bootstrap_draws(entries: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
-    """For each person, how often each replicate drew them, one byte per replicate.
+def ranked_persons(entries: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
+    """Persons numbered within two strata per group: those who are ever positive and those who never are."""
+    people = entries.groupBy(*by, "person_id").agg(F.max("y").alias("stratum"))
+    return materialize(hash_rank(people, ["person_id"], by=[*by, "stratum"], seed=seed))
+
+
+def bootstrap_draws(ranked: DataFrame, by: Sequence[str], first: int, last: int, seed: int) -> DataFrame:
+    """For each person, how often each of the replicates first..last drew them, two bytes per replicate.
 
-    Persons who are ever positive and persons who never are form two strata, and
-    each replicate draws as many persons from a stratum as it has, with
-    replacement. Person number i of a stratum makes the i-th draw of every
-    replicate; the drawn number is a hash of (i, stratum, replicate). Draws travel
-    packed, four bytes each, to the block of persons they hit.
+    Each replicate draws as many persons from a stratum as it has, with replacement.
+    Person number i of a stratum makes the i-th draw of every replicate; the drawn
+    number is a hash of (i, stratum, replicate). Draws travel packed, four bytes
+    each, to the block of persons they hit.
     """
-    if n > 65535:
-        raise ValueError("at most 65,535 replicates at a time; use several seeds for more")
-    people = entries.groupBy(*by, "person_id").agg(F.max("y").alias("stratum"))
-    ranked = materialize(hash_rank(people, ["person_id"], by=[*by, "stratum"], seed=seed))
     group = [*by, "stratum"]
     key = (F.col("rank") * 2 + F.col("stratum")) % F.lit(PRIME)
     drawers = ranked.select(*group, "group_size", key.alias("_key"))
@@ -210,28 +223,36 @@ def bootstrap_draws(entries: DataFrame, by: Sequence[str], n: int, seed: int) ->
         [*fields, T.StructField("_block", T.LongType()), T.StructField("_places", T.BinaryType()), T.StructField("_which", T.BinaryType())]
     )
     counted = T.StructType([*fields, T.StructField("rank", T.LongType()), T.StructField("weights", T.BinaryType())])
-    draws = drawers.mapInPandas(_spread_draws(n, seed, group), packed)
-    counts = draws.groupBy(*group, "_block").applyInPandas(_count_draws(n, group), counted)
+    draws = drawers.mapInPandas(_spread_draws(first, last, seed, group), packed)
+    counts = draws.groupBy(*group, "_block").applyInPandas(_count_draws(last - first + 1, group), counted)
     return join_on(ranked, counts, [*group, "rank"]).select(*by, "person_id", "weights")
 
 
+def _in_blocks(n: int) -> list[tuple[int, int]]:
+    return [(k + 1, min(n, k + REPLICATE_BLOCK)) for k in range(0, n, REPLICATE_BLOCK)]
+
+
 def bootstrap_aucs(
     entries: DataFrame, by: Sequence[str] = (), n: int = REPLICATES, seed: int = 0, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """AUC of both arms per stratified person-level bootstrap replicate."""
-    entries = materialize(entries)
-    draws = bootstrap_draws(entries, by, n, seed)
-    keyed = join_on(entries, draws, [*by, "person_id"]).withColumn("person_key", person_key(seed))
-    # a person that no replicate drew weighs nothing, so the inner join loses nothing
-    return _replicate_aucs(keyed, by, n, seed, False, rows_per_task)
+    merged = materialize(_merged(entries, by, seed))
+    ranged = materialize(_ranged(merged, by, rows_per_task))
+    ranked = ranked_persons(merged, by, seed)
+    sums = []
+    for first, last in _in_blocks(n):
+        # a person that no replicate of the block drew weighs nothing, so the inner join loses nothing
+        weighed = join_on(ranged, bootstrap_draws(ranked, by, first, last, seed), [*by, "person_id"])
+        sums.append(_replicate_sums(weighed, by, first, last, seed, False))
+    return _aucs(functools.reduce(DataFrame.unionByName, sums), by)
 
 
 def permutation_aucs(
     entries: DataFrame, by: Sequence[str] = (), n: int = REPLICATES, seed: int = 0, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """AUC of both arms when a fair coin per person and replicate swaps the person's arms."""
-    keyed = materialize(entries.withColumn("person_key", person_key(seed)))
-    return _replicate_aucs(keyed, by, n, seed, True, rows_per_task)
+    ranged = _ranged(materialize(_merged(entries, by, seed)), by, rows_per_task)
+    return _aucs(_replicate_sums(ranged, by, 1, n, seed, True), by)
 
 
 def actual_difference(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -394,26 +394,37 @@ def correlated_pairs(
     return close.select(by, kept.alias("feature_1"), left_out.alias("feature_2"), "n_both", "correlation")
 
 
-def correlated_pairs_prune(features: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Features that remain: one is left out if a more frequent partner remains.
+def correlated_pairs_prune(features: DataFrame, pairs: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Features that remain: one is left out if a partner that is better over all years remains.
 
-    Decided in rounds. A feature without an undecided or remaining better partner
-    remains; one with a remaining better partner is left out. Each round decides
-    at least the best undecided feature of every chain.
+    ``frequencies`` has feature and f, its number of samples over all years. Of two
+    partners the more frequent one is better, by name on ties: one order for all years,
+    so that features whose order flips between years cannot block each other. Decided
+    in rounds; each decides at least the best undecided feature.
     """
-    better = materialize(pairs.select(F.col("feature_1").alias("partner"), F.col("feature_2").alias("feature")).distinct())
+    sizes = frequencies.groupBy("feature").agg(F.sum("f").alias("f"))
+
+    def named(tag: str) -> DataFrame:
+        return sizes.select(F.col("feature").alias(f"feature_{tag}"), F.col("f").alias(f"f{tag}"))
+
+    linked = pairs.select("feature_1", "feature_2").distinct().join(named("1"), "feature_1").join(named("2"), "feature_2")
+    first = (F.col("f1") > F.col("f2")) | ((F.col("f1") == F.col("f2")) & (F.col("feature_1") < F.col("feature_2")))
+    partner = F.when(first, F.col("feature_1")).otherwise(F.col("feature_2"))
+    worse = F.when(first, F.col("feature_2")).otherwise(F.col("feature_1"))
+    better = materialize(linked.select(partner.alias("partner"), worse.alias("feature")).distinct())
     undecided = materialize(features.select("feature").distinct())
-    remaining = None
-    while True:
+    open_count = undecided.count()
+    remaining = undecided.limit(0)
+    while open_count:
         blocked = better.join(undecided.select(F.col("feature").alias("partner")), "partner", "left_semi")
         free = undecided.join(blocked.select("feature"), "feature", "left_anti")
-        remaining = free if remaining is None else remaining.unionByName(free)
-        remaining = materialize(remaining)
+        remaining = materialize(remaining.unionByName(free))
         beaten = better.join(remaining.select(F.col("feature").alias("partner")), "partner", "left_semi").select("feature")
-        left = undecided.join(remaining, "feature", "left_anti").join(beaten, "feature", "left_anti")
-        undecided = materialize(left)
-        if undecided.isEmpty():
-            return remaining
+        undecided = materialize(undecided.join(remaining, "feature", "left_anti").join(beaten, "feature", "left_anti"))
+        before, open_count = open_count, undecided.count()
+        if open_count == before:
+            raise ValueError("the order of the features has a cycle")
+    return remaining
 
 
 def _named_coefficients(coefficients: DataFrame) -> DataFrame:

@@ -354,8 +354,7 @@ def _(r):
     "f21_standardize_age",
     sql(
         *SQL_AGED,
-        select=f"""SELECT {_KEY}, split, age, round((age - (SELECT age_mean FROM age_params)) / (SELECT age_std FROM age_params), 6)
-        AS age_scaled FROM aged""",
+        select=f"""SELECT {_KEY}, split, age, round((age - age_mean) / age_std, 6) AS age_scaled FROM aged, age_params""",
     ),
 )
 def _(r):

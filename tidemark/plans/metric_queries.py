@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import PRIME, hash32_sql, mix_sql
+from tidemark.functions.expressions import PRIME, chi2_p_sql, hash32_sql, mix_sql
 from tidemark.operators import hypothesis as hy
 from tidemark.operators import metrics as me
 from tidemark.operators import resampling as rs
 from tidemark.plans.registry import query, sql
 
 BY = ["year", "split"]
-REPLICATES = 40
+REPLICATES = rs.REPLICATES
 SEED = 11
-FIRST_YEAR, LAST_YEAR = 1996, 2000
 
 
 def scores(r):
-    """Scores of the full years."""
-    return r["scores"].where(F.col("year").between(FIRST_YEAR, LAST_YEAR))
+    return r["scores"]
 
 
 def weighted(r):
     return scores(r).withColumn("w", (F.col("person_id") % 3 + 1))
 
 
-SQL_SCORES = f"sc AS (SELECT *, person_id % 3 + 1 AS w FROM scores WHERE year BETWEEN {FIRST_YEAR} AND {LAST_YEAR})"
+SQL_SCORES = "sc AS MATERIALIZED (SELECT *, person_id % 3 + 1 AS w FROM scores)"
 
 
 def sql_auc(name: str, source: str, by: str, value: str, pos: str = "y", neg: str = "(1 - y)") -> tuple[str, ...]:
@@ -252,7 +250,8 @@ def sql_bootstrap(name: str, entries: str, by: str, n: int = REPLICATES, seed: i
         f"""{name}_drawn AS (SELECT {by}, stratum, replicate, (({mix_sql('k', 'replicate', seed)} * n) >> 31) + 1 AS rk, count(*) AS w
             FROM {name}_keys CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate) GROUP BY ALL)""",
         f"""{name}_weights AS (SELECT q.*, d.replicate, d.w FROM {name}_ranked q JOIN {name}_drawn d USING ({by}, stratum, rk))""",
-        f"""{name}_rows AS (SELECT e.*, d.replicate, d.w FROM {entries} e JOIN {name}_weights d USING ({by}, person_id))""",
+        f"""{name}_same AS MATERIALIZED (SELECT {by}, person_id, arm, y, value, count(*) AS times FROM {entries} GROUP BY ALL)""",
+        f"""{name}_rows AS (SELECT e.*, d.replicate, d.w * e.times AS w FROM {name}_same e JOIN {name}_weights d USING ({by}, person_id))""",
         *sql_auc(f"{name}_auc", f"{name}_rows", f"{by}, replicate, arm", "value", "w * y", "w * (1 - y)"),
         _sql_paired(name, by),
     )
@@ -260,10 +259,10 @@ def sql_bootstrap(name: str, entries: str, by: str, n: int = REPLICATES, seed: i
 
 def sql_permutation(name: str, entries: str, by: str, n: int = REPLICATES, seed: int = SEED) -> tuple[str, ...]:
     return (
-        f"""{name}_keyed AS (SELECT *, {hash32_sql(seed, 'person_id')} % {PRIME} AS k FROM {entries})""",
-        f"""{name}_rows AS (SELECT {by}, y, value, replicate, xor(arm, CAST(({mix_sql('k', 'replicate', seed)} >> 9) & 1 AS INT)) AS arm
+        f"""{name}_keyed AS MATERIALIZED (SELECT {by}, arm, y, value, {hash32_sql(seed, 'person_id')} % {PRIME} AS k, count(*) AS times FROM {entries} GROUP BY ALL)""",
+        f"""{name}_rows AS (SELECT {by}, y, value, times, replicate, xor(arm, CAST(({mix_sql('k', 'replicate', seed)} >> 9) & 1 AS INT)) AS arm
             FROM {name}_keyed CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate))""",
-        *sql_auc(f"{name}_auc", f"{name}_rows", f"{by}, replicate, arm", "value"),
+        *sql_auc(f"{name}_auc", f"{name}_rows", f"{by}, replicate, arm", "value", "times * y", "times * (1 - y)"),
         _sql_paired(name, by),
     )
 
@@ -298,10 +297,12 @@ def sql_ranked(name: str, entries: str, by: str) -> str:
 _VALID = "(SELECT * FROM sc WHERE split = 'valid')"
 _TEST = "(SELECT * FROM sc WHERE split = 'test')"
 SQL_BOOT_MODELS = (SQL_SCORES, sql_entries_models("e", _VALID, "year"), *sql_bootstrap("b", "e", "year"))
+# only years that have a year before can be compared with it
+SQL_BOTH_YEARS = "e AS (SELECT * FROM e0 WHERE year IN (SELECT year FROM sc) AND year - 1 IN (SELECT year FROM sc))"
 SQL_BOOT_DATASETS = (
     SQL_SCORES,
     sql_entries_datasets("e0", _VALID),
-    f"e AS (SELECT * FROM e0 WHERE year BETWEEN {FIRST_YEAR + 1} AND {LAST_YEAR})",
+    SQL_BOTH_YEARS,
     *sql_bootstrap("b", "e", "year"),
 )
 _REPS = "SELECT year, replicate, round(auc_1, 6) AS auc_1, round(auc_2, 6) AS auc_2, round(auc_diff, 6) AS auc_diff FROM"
@@ -313,7 +314,10 @@ def valid_entries(r):
 
 def dataset_entries(r, split):
     rows = scores(r).where(F.col("split") == split)
-    return hy.year_entries(rows, [], True).where(F.col("year").between(FIRST_YEAR + 1, LAST_YEAR))
+    entries = hy.year_entries(rows, [], True)
+    years = rows.select("year").distinct()
+    both = years.join(years.select((F.col("year") + 1).alias("year")), "year", "left_semi")
+    return entries.join(both, "year", "left_semi")
 
 
 @query("h03_bootstrap_auc_diff_models", sql(*SQL_BOOT_MODELS, select=f"{_REPS} b"))
@@ -386,7 +390,7 @@ def _(r):
     sql(
         SQL_SCORES,
         sql_entries_datasets("e0", _TEST),
-        f"e AS (SELECT * FROM e0 WHERE year BETWEEN {FIRST_YEAR + 1} AND {LAST_YEAR})",
+        SQL_BOTH_YEARS,
         *sql_permutation("pm", "e", "year"),
         *sql_actual("act", "e", "year"),
         sql_p("pv", "pm", "act", "year"),
@@ -422,14 +426,13 @@ def return_tables(r):
     return rates.select("brand", "size", "a", "b", (all_a - F.col("a")).alias("c"), (all_b - F.col("b")).alias("d"))
 
 
-# SQL has no erfc: a decreasing function of the statistic stands in for the p-value, so that SQL can repeat it
 @query(
     "h10_benjamini_hochberg",
     sql(
         SQL_YEAR_RATES,
         SQL_TABLES,
         SQL_CHI,
-        "hyp AS (SELECT brand, size, round(exp(-chi2 * 2), 9) AS p_value FROM chi)",
+        f"hyp AS (SELECT brand, size, round({chi2_p_sql('chi2')}, 9) AS p_value FROM chi)",
         """ranked AS (SELECT *, rank() OVER (ORDER BY p_value) AS rank,
         rank() OVER (ORDER BY p_value) / CAST(count(*) OVER () AS DOUBLE) * 0.05E0 AS critical FROM hyp)""",
         """lastr AS (SELECT max(rank) AS last FROM ranked WHERE p_value < critical)""",
@@ -438,9 +441,8 @@ def return_tables(r):
     ),
 )
 def _(r):
-    tables = return_tables(r).withColumn("chi2", hy.chi2_statistic("a", "b", "c", "d"))
-    hypotheses = tables.select("brand", "size", F.round(F.exp(-2 * F.col("chi2")), 9).alias("p_value"))
-    return hy.benjamini_hochberg(hypotheses)
+    tested = hy.chi2_2x2(return_tables(r), "a", "b", "c", "d")
+    return hy.benjamini_hochberg(tested.select("brand", "size", F.round("chi2_p_value", 9).alias("p_value")))
 
 
 @query(
@@ -449,53 +451,56 @@ def _(r):
         SQL_YEAR_RATES,
         SQL_TABLES,
         SQL_CHI,
-        select="SELECT brand, size, a, b, c, d, round(chi2, 6) AS chi2 FROM chi",
+        select=f"""SELECT brand, size, a, b, c, d, round(chi2, 6) AS chi2, round({chi2_p_sql('chi2')}, 6) AS chi2_p_value FROM chi""",
     ),
 )
 def _(r):
-    return hy.chi2_2x2(return_tables(r), "a", "b", "c", "d").drop("chi2_p_value")
+    return hy.chi2_2x2(return_tables(r), "a", "b", "c", "d")
 
 
 # ------------------------------------------------------------ yearly checks
 
 
-def sql_check(baseline: bool, source: str = "sc", by: str = "") -> tuple[str, ...]:
-    """The yearly check as SQL; every screen is computed for every year and the first failing one is named."""
+def sql_check(baseline: bool, source: str = "sc", by: str = "", n: int = REPLICATES, x: str = "") -> tuple[str, ...]:
+    """The yearly check as SQL; every screen is computed for every year and the first failing one is named.
+
+    ``x`` goes before the names of all its tables, so that two checks fit into one query.
+    """
     keys = f"{by}, year" if by else "year"
     extra = f"{by}, " if by else ""
     on_prev = " AND ".join([*[f"p.{b} = c.{b}" for b in by.split(", ") if by], "p.year = c.year - 1"])
     valid, test = (f"(SELECT * FROM {source} WHERE split = '{s}')" for s in ("valid", "test"))
     entries = (
-        (sql_entries_datasets("ve", valid, by), sql_entries_datasets("te", test, by))
+        (sql_entries_datasets(f"{x}ve", valid, by), sql_entries_datasets(f"{x}te", test, by))
         if baseline
         else (
-            sql_entries_models("ve", valid, keys),
-            sql_entries_models("te0", test, keys),
-            sql_ranked("te", "te0", keys),
+            sql_entries_models(f"{x}ve", valid, keys),
+            sql_entries_models(f"{x}te0", test, keys),
+            sql_ranked(f"{x}te", f"{x}te0", keys),
         )
     )
     curr_rule = "" if baseline else "WHEN coalesce(c.auc, 0) < 0.5E0 THEN 'low AUC of current model'"
     prev_rule = "WHEN p.test_pos < 20 THEN 'few test outcomes in previous year'" if baseline else ""
     return (
         *entries,
-        f"""persons AS (SELECT {keys}, count(DISTINCT CASE WHEN y = 1 AND split = 'valid' THEN person_id END) AS valid_pos,
+        f"""{x}persons AS (SELECT {keys}, count(DISTINCT CASE WHEN y = 1 AND split = 'valid' THEN person_id END) AS valid_pos,
             count(DISTINCT CASE WHEN y = 1 AND split = 'test' THEN person_id END) AS test_pos FROM {source} GROUP BY {keys})""",
-        *sql_auc("va", valid, keys, "s_curr"),
-        f"facts AS (SELECT persons.*, va.auc FROM persons LEFT JOIN va USING ({keys}))",
-        *sql_bootstrap("vb", "ve", keys),
-        *sql_actual("vact", "ve", keys),
-        sql_ci("vci", "vb", "vact", keys),
-        *sql_permutation("tp", "te", keys),
-        *sql_actual("tact", "te", keys),
-        sql_p("tpv", "tp", "tact", keys),
-        f"""staged AS (SELECT {', '.join(f'c.{b}' for b in by.split(', ')) + ', ' if by else ''}c.year, CASE WHEN p.valid_pos < 25 THEN 'few validation outcomes in previous year'
+        *sql_auc(f"{x}va", valid, keys, "s_curr"),
+        f"{x}facts AS (SELECT q.*, v.auc FROM {x}persons q LEFT JOIN {x}va v USING ({keys}))",
+        *sql_bootstrap(f"{x}vb", f"{x}ve", keys, n),
+        *sql_actual(f"{x}vact", f"{x}ve", keys),
+        sql_ci(f"{x}vci", f"{x}vb", f"{x}vact", keys),
+        *sql_permutation(f"{x}tp", f"{x}te", keys, n),
+        *sql_actual(f"{x}tact", f"{x}te", keys),
+        sql_p(f"{x}tpv", f"{x}tp", f"{x}tact", keys),
+        f"""{x}staged AS (SELECT {', '.join(f'c.{b}' for b in by.split(', ')) + ', ' if by else ''}c.year, CASE WHEN p.valid_pos < 25 THEN 'few validation outcomes in previous year'
             WHEN c.valid_pos < 25 THEN 'few validation outcomes in current year'
             WHEN coalesce(p.auc, 0) < 0.5E0 THEN 'low AUC of previous model' {curr_rule} END AS screen,
             CASE WHEN c.test_pos < 20 THEN 'few test outcomes in current year' {prev_rule} END AS few
-            FROM facts c JOIN facts p ON {on_prev})""",
-        f"""checked AS (SELECT {extra}year, CASE WHEN screen IS NOT NULL THEN screen WHEN NOT coalesce(above_zero, FALSE) THEN 'interval not above 0'
+            FROM {x}facts c JOIN {x}facts p ON {on_prev})""",
+        f"""{x}checked AS (SELECT {extra}year, CASE WHEN screen IS NOT NULL THEN screen WHEN NOT coalesce(above_zero, FALSE) THEN 'interval not above 0'
             WHEN few IS NOT NULL THEN few ELSE 'tested' END AS status, CASE WHEN screen IS NULL THEN ci_low END AS ci_low, p_value AS p
-            FROM staged LEFT JOIN vci USING ({keys}) LEFT JOIN tpv USING ({keys}))""",
+            FROM {x}staged LEFT JOIN {x}vci USING ({keys}) LEFT JOIN {x}tpv USING ({keys}))""",
     )
 
 

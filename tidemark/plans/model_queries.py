@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import features, models, regions, shift
 from tidemark.operators import metrics as me
 from tidemark.plans.feature_queries import SQL_LONG, long_samples
-from tidemark.plans.metric_queries import SEED, scores
+from tidemark.plans.metric_queries import REPLICATES, SEED, scores
 from tidemark.plans.outcome_queries import samples
 from tidemark.plans.registry import query, sql
 from tidemark.session import materialize
 
-CS = (1.0, 0.01)
-SCAN_REPLICATES = 40
-
 
 def assembled(r, min_count=300, windows=(30, 365)):
     """Samples with a sparse vector of the frequent features, and the feature names in column order."""
@@ -63,15 +60,15 @@ def _fit_query(name, fit):
         return found.select("year", F.lit(position).alias("grid_position"), F.lit(valid_auc).alias("valid_auc"), F.col("auc").alias("test_auc"))
 
 
-_fit_query("m01_train_logreg", functools.partial(models.train_logreg, cs=CS))
-_fit_query("m01_train_logreg_l1", functools.partial(models.train_logreg, cs=CS, penalty="l1"))
+_fit_query("m01_train_logreg", models.train_logreg)
+_fit_query("m01_train_logreg_l1", functools.partial(models.train_logreg, penalty="l1"))
 _fit_query("m02_train_decision_tree", functools.partial(models.train_decision_tree, leaves=(25, 100), max_depth=8))
 _fit_query("m03_train_forest", functools.partial(models.train_forest, trees=(5, 10), leaves=(25,), max_depth=8))
 _fit_query("m04_train_boosted", functools.partial(models.train_boosted, trees=(5,), depths=(3, 5)))
 
 
 def yearly_models(data, years=(1998, 1999)):
-    fit = functools.partial(models.train_logreg, cs=CS)
+    fit = models.train_logreg
     return models.models_per_year(data, years, fit)
 
 
@@ -87,7 +84,7 @@ def _(r):
 def _(r):
     data, names, _ = assembled(r)
     train, valid, _ = one_year(data)
-    model, _, _ = models.train_logreg(train, valid, cs=CS)
+    model, _, _ = models.train_logreg(train, valid)
     return models.coefficient_table(model, names, data)
 
 
@@ -102,7 +99,7 @@ def _(r):
 def _(r):
     data, _, _ = assembled(r)
     train, valid, test = one_year(data)
-    model, _, _ = models.train_logreg(train, valid, cs=CS)
+    model, _, _ = models.train_logreg(train, valid)
     return models.score(model, test).select("person_id", "end_date", "y", "score")
 
 
@@ -167,7 +164,7 @@ def _(r):
             marked = regions.model_region(rows, "region_score").withColumn("region_year", F.lit(year))
             parts.append(marked.select("sample_id", "person_id", "year", "split", "y", "s_prev", "s_curr", "region", "region_year"))
     stacked = materialize(functools.reduce(lambda a, b: a.unionByName(b), parts))
-    return regions.region_nonstationarity_check(stacked, ["region_year"], SCAN_REPLICATES, SEED)
+    return regions.region_nonstationarity_check(stacked, ["region_year"], REPLICATES, SEED)
 
 
 # -------------------------------------------------------------------- shift
@@ -193,13 +190,13 @@ def _(r):
 def _(r):
     data, _, _ = assembled(r)
     pair = year_pair(data)
-    domain, _, _ = models.train_logreg(pair.where("split = 'train'"), pair.where("split = 'valid'"), cs=CS)
+    domain, _, _ = models.train_logreg(pair.where("split = 'train'"), pair.where("split = 'valid'"))
     scored = models.score(domain, data.where("year = 1998"), "p_year")
     weighted = materialize(shift.importance_weights(scored, "p_year").drop("p_year"))
     model, _, valid_auc = models.train_logreg(
-        weighted.where("split = 'train'"), weighted.where("split = 'valid'"), cs=CS, weight_col="weight"
+        weighted.where("split = 'train'"), weighted.where("split = 'valid'"), weight_col="weight"
     )
-    plain, _, _ = models.train_logreg(*one_year(data, 1998)[:2], cs=CS)
+    plain, _, _ = models.train_logreg(*one_year(data, 1998)[:2])
     target = data.where("year = 1999 AND split = 'test'")
     variants = [
         models.score(m, target).select("year", "y", "score", F.lit(n).alias("variant"))
@@ -212,7 +209,7 @@ def _(r):
 @query("x21_robust_feature_retrain")
 def _(r):
     data, names, long = assembled(r)
-    fit = functools.partial(models.train_logreg, cs=CS)
+    fit = models.train_logreg
     fitted = models.models_per_year(data, (1998, 1999), fit)
     tables = [models.coefficient_table(fitted[y], names, data) for y in (1998, 1999)]
     stable = sorted(row["feature"] for row in shift.sign_stable_features(*tables).collect())

@@ -119,8 +119,9 @@ _KEY = "person_id, CAST(end_date AS VARCHAR) AS end_date"
     "r08_single_feature_region",
     sql(
         *SQL_LONG[:-2],
-        select=f"""SELECT {_KEY}, year, CASE WHEN EXISTS (SELECT 1 FROM long_all l WHERE l.person_id = s.person_id
-        AND l.end_date = s.end_date AND l.feature = '{_FEATURE}') THEN 0 ELSE 1 END AS region FROM samples s""",
+        f"holders AS (SELECT DISTINCT person_id, end_date, 1 AS present FROM long_all WHERE feature = '{_FEATURE}')",
+        select="""SELECT s.person_id, CAST(s.end_date AS VARCHAR) AS end_date, s.year, 1 - coalesce(h.present, 0) AS region
+        FROM samples s LEFT JOIN holders h ON h.person_id = s.person_id AND h.end_date = s.end_date""",
     ),
 )
 def _(r):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,14 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
+def _once(cte: str) -> str:
+    """The CTE computed once, however often it is read; tables of all replicates are streamed instead."""
+    return cte if "replicate" in cte else re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", cte)
+
+
 def sql(*ctes: str, select: str) -> str:
     """SQL text over the bound relations: the given CTEs follow those of the relations."""
-    return "WITH " + ",\n".join([*relation_ctes(), *ctes]) + "\n" + select
+    return "WITH " + ",\n".join(_once(c) for c in [*relation_ctes(), *ctes]) + "\n" + select
 
 
 def query(name: str, check: str | None = None) -> Callable:

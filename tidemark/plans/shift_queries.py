@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import hash32_sql
+from tidemark.functions.expressions import chi2_p_sql, hash32_sql
 from tidemark.operators import features, shift
 from tidemark.operators import metrics as me
 from tidemark.plans.common import FIRST, LAST
@@ -74,13 +74,17 @@ def frequencies(r):
     "x03_feature_frequency_shift",
     sql(
         *SQL_FREQ,
+        f"fp AS (SELECT *, {chi2_p_sql('chi2')} AS p FROM freq)",
+        """ranked AS (SELECT *, rank() OVER (ORDER BY p) AS rank, rank() OVER (ORDER BY p) / CAST(count(*) OVER () AS DOUBLE) * 0.05E0
+            AS critical FROM fp)""",
         select="""SELECT feature, with_prev, without_prev, with_curr, without_curr, round(freq_prev, 6) AS freq_prev,
-        round(freq_curr, 6) AS freq_curr, round(freq_prev + freq_curr, 6) AS freq_sum, round(chi2, 6) AS chi2 FROM freq""",
+        round(freq_curr, 6) AS freq_curr, round(freq_prev + freq_curr, 6) AS freq_sum, round(chi2, 6) AS chi2, round(p, 6) AS chi2_p_value,
+        rank, round(critical, 6) AS critical,
+        coalesce(CASE WHEN rank <= (SELECT max(rank) FROM ranked WHERE p < critical) THEN 1 ELSE 0 END, 0) AS accepted FROM ranked""",
     ),
 )
 def _(r):
-    # the tail probability has no counterpart in plain SQL: acceptance is tested on its own
-    return frequencies(r).drop("chi2_p_value", "rank", "critical", "accepted")
+    return frequencies(r)
 
 
 @query(
@@ -125,9 +129,8 @@ SQL_TASKS = (
     "x05_condition_dependent_tasks",
     sql(
         *SQL_TASKS,
-        # 3.841458820694124 is the point with an upper tail of .05
-        select="""SELECT task, n_prev, CAST(pos_prev AS BIGINT) AS pos_prev, n_curr, CAST(pos_curr AS BIGINT) AS pos_curr FROM shifted s
-        WHERE chi2 < 3.841458820694124E0 AND EXISTS (SELECT 1 FROM by_coef r WHERE r.task = s.task AND least(hi, lo) <= 6
+        select=f"""SELECT task, n_prev, CAST(pos_prev AS BIGINT) AS pos_prev, n_curr, CAST(pos_curr AS BIGINT) AS pos_curr FROM shifted s
+        WHERE {chi2_p_sql('chi2')} > 0.05E0 AND EXISTS (SELECT 1 FROM by_coef r WHERE r.task = s.task AND least(hi, lo) <= 6
         AND split_part(r.feature, ' - ', 2) = 'condition' AND abs(r.coefficient) > 0.01E0)""",
     ),
 )
@@ -160,10 +163,11 @@ def _(r):
 _F30, _F365 = PROC.format(103, 30), PROC.format(103, 365)
 SQL_IMPUTED = (
     *SQL_LONG[:-2],
-    f"""flagged AS (SELECT s.person_id, s.end_date, s.year, s.split, s.y,
-        CASE WHEN EXISTS (SELECT 1 FROM long_all l WHERE l.person_id = s.person_id AND l.end_date = s.end_date AND l.feature = '{_F30}') THEN 1 ELSE 0 END AS seen,
-        CASE WHEN EXISTS (SELECT 1 FROM long_all l WHERE l.person_id = s.person_id AND l.end_date = s.end_date AND l.feature = '{_F365}')
-            THEN 0.8E0 ELSE 0.1E0 END AS predicted FROM samples s)""",
+    f"""marks AS (SELECT person_id, end_date, max(CASE WHEN feature = '{_F30}' THEN 1 ELSE 0 END) AS f30,
+        max(CASE WHEN feature = '{_F365}' THEN 1 ELSE 0 END) AS f365 FROM long_all WHERE feature IN ('{_F30}', '{_F365}') GROUP BY 1, 2)""",
+    """flagged AS (SELECT s.person_id, s.end_date, s.year, s.split, s.y, coalesce(m.f30, 0) AS seen,
+        CASE WHEN m.f365 = 1 THEN 0.8E0 ELSE 0.1E0 END AS predicted
+        FROM samples s LEFT JOIN marks m ON m.person_id = s.person_id AND m.end_date = s.end_date)""",
     "imputed AS (SELECT *, CASE WHEN seen = 1 OR predicted >= 0.5E0 THEN 1 ELSE 0 END AS seen_imputed FROM flagged)",
 )
 
@@ -523,7 +527,10 @@ def _(r):
     "x25_correlated_pairs_prune",
     sql(
         *SQL_PAIRS,
-        "better AS (SELECT DISTINCT feature_1, feature_2 FROM high)",
+        "ft AS (SELECT feature, sum(f) AS f FROM fr GROUP BY 1)",
+        """better AS (SELECT DISTINCT CASE WHEN a.f > b.f OR (a.f = b.f AND a.feature < b.feature) THEN a.feature ELSE b.feature END AS feature_1,
+            CASE WHEN a.f > b.f OR (a.f = b.f AND a.feature < b.feature) THEN b.feature ELSE a.feature END AS feature_2
+            FROM high h JOIN ft a ON a.feature = h.feature_1 JOIN ft b ON b.feature = h.feature_2)""",
         "names AS (SELECT DISTINCT feature FROM win)",
         "kept1 AS (SELECT feature FROM names WHERE feature NOT IN (SELECT feature_2 FROM better))",
         "out1 AS (SELECT DISTINCT feature_2 AS feature FROM better WHERE feature_1 IN (SELECT feature FROM kept1))",
@@ -537,7 +544,8 @@ def _(r):
 )
 def _(r):
     rows, long, names = near_windows(r)
-    return shift.correlated_pairs_prune(names, shift.correlated_pairs(long, rows, names))
+    totals = long.groupBy("feature").agg(F.count(F.lit(1)).alias("f"))
+    return shift.correlated_pairs_prune(names, shift.correlated_pairs(long, rows, names), totals)
 
 
 SQL_DRUG_COEFS = (

@@ -10,7 +10,7 @@ from tidemark.plans.outcome_queries import SQL_COUNTS, SQL_SAMPLED, procedure_co
 from tidemark.plans.common import SQL_ELIGIBLE
 from tidemark.plans.registry import query, sql
 from tidemark.plans.summary_queries import KEYS, SQL_MAIN, YEARS, results
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import files
 from tidemark.sources.tables import read_tables, write_table
 
@@ -116,8 +116,7 @@ def metric_rows(r):
 @query("s07_read_metrics_json", sql(*SQL_METRIC_ROWS, select="SELECT * FROM metric_rows"))
 def _(r):
     path = scratch_path(r.spark, "metrics")
-    documents = files.metrics_json(metric_rows(r), ["split"])
-    documents.write.partitionBy("split").text(path)
+    files.write_metrics_json(metric_rows(r), path, ["split"])
     back = files.read_metrics_json(r.spark, f"{path}/*/*.txt")
     return back.withColumn("split", F.regexp_extract("source", "split=([a-z]+)", 1)).drop("source")
 
@@ -130,7 +129,9 @@ def _(r):
     ),
 )
 def _(r):
-    parsed = files.parse_metrics(files.metrics_json(metric_rows(r), ["split"]), "metrics_json", ["split"])
+    path = scratch_path(r.spark, "metrics")
+    files.write_metrics_json(metric_rows(r), path, ["split"])
+    parsed = files.parse_metrics(r.spark.read.option("wholetext", True).text(path), "value", ["split"])
     return parsed.groupBy("split", "model_year", "eval_year").agg(
         F.count(F.lit(1)).alias("num_metrics"), F.sum("value").alias("value_sum")
     )
@@ -141,14 +142,14 @@ _WIDE = ", ".join(f'round("{y}", 6) AS "{y}"' for y in YEARS)
 
 @query(
     "s09_collect_results",
-    sql(*SQL_MAIN, select=f"SELECT experiment AS task_folder, experiment, outcome_name, region_name, {_WIDE} FROM res WHERE experiment <> 'lab_1'"),
+    sql(*SQL_MAIN, select=f"SELECT experiment AS task_folder, experiment, outcome_name, region_name, {_WIDE} FROM res WHERE experiment <> 'lab_furniture'"),
 )
 def _(r):
-    table = results(r, F.col("y"))
+    table = materialize(results(r))
     path = scratch_path(r.spark, "results")
     table.withColumn("task", F.col("experiment")).write.partitionBy("task").option("header", True).csv(path)
     schema = ", ".join([f"{k} string" for k in KEYS] + [f"`{y}` double" for y in YEARS])
-    excluded = r.spark.range(1).select(F.lit("lab_1").alias("task"))
+    excluded = r.spark.range(1).select(F.lit("lab_furniture").alias("task"))
     expected = table.select(F.col("experiment").alias("task")).distinct()
     collected = files.collect_results(r.spark, f"{path}/*/*.csv", schema, excluded, expected, incomplete=False)
     return collected.select("task_folder", *KEYS, *[f"{y}" for y in YEARS])
@@ -188,3 +189,15 @@ def _(r):
 )
 def _(r):
     return files.task_grid(r["procedure_occurrence"], "concept_id", ["cond_proc", "labs", "drugs", "all"])
+
+
+@query(
+    "s12_task_grid_names",
+    sql(
+        "o AS (SELECT concept_name, row_number() OVER (ORDER BY concept_name) - 1 AS i FROM (SELECT DISTINCT concept_name FROM concept))",
+        "f AS (SELECT unnest(['cond_proc', 'all']) AS feature_set, unnest([0, 1]) AS j)",
+        select="""SELECT concept_name, feature_set, i * 2 + j AS task_index, CAST(floor((i * 2 + j) / 5) AS BIGINT) AS batch FROM o, f""",
+    ),
+)
+def _(r):
+    return files.task_grid(r["concept"], "concept_name", ["cond_proc", "all"])

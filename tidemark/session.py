@@ -2,45 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder for stage tables: the cluster's own, or a scratch folder in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder for stage tables: the given one, the cluster's ``spark.checkpoint.dir``, or the context's.
+
+    Only a local session, whose one process is driver and executor, may use a scratch
+    folder of its own; on a cluster a missing setting is an error at once.
+    """
+    named = folder or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if context.master.startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         return context.getCheckpointDir()
-    return None
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
 
+_written: dict[str, list[str]] = {}
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A new path in the shared folder."""
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, so that several jobs can read it.
 
     The lineage ends there: a lost executor costs a read, not the whole plan. The
     table knows its size and columns, so later joins can broadcast it when it is
-    small and read only what they need. Without a shared folder the plan is
-    returned as it is and computed by every job, which is slower but never wrong.
+    small and read only what they need.
     """
     spark = df.sparkSession
-    if checkpoint_dir(spark) is None:
-        return df
-    path = scratch_path(spark, "stage")
+    path = scratch_path(spark, "stage", folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the stage tables of this application; call it when the results built on them are written. Returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

@@ -115,6 +115,11 @@ def metrics_json(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     return whole.select(*by, F.to_json("m").alias("metrics_json"))
 
 
+def write_metrics_json(metrics: DataFrame, path: str, by: Sequence[str]) -> None:
+    """One JSON document per group, in a folder named after the group."""
+    metrics_json(metrics, by).write.partitionBy(*by).text(path)
+
+
 # ------------------------------------------------------------------ results
 
 
