@@ -150,7 +150,7 @@ def bootstrap_screen(
     """Confidence interval of the AUC difference on validation data, for the given (by, year) groups."""
     keys = [*by, "year"]
     entries = year_entries(scores.where("split = 'valid'"), by, baseline)
-    entries = materialize(entries.join(groups.select(*keys), keys, "left_semi"))
+    entries = materialize(join_on(entries, groups.select(*keys), keys, "left_semi"))
     replicates = rs.bootstrap_aucs(entries, keys, n, seed)
     return rs.pivotal_ci(replicates, rs.actual_difference(entries, keys), keys)
 
@@ -165,7 +165,7 @@ def test_p_values(
     """
     keys = [*by, "year"]
     entries = year_entries(scores.where("split = 'test'"), by, baseline)
-    entries = materialize(entries.join(groups.select(*keys), keys, "left_semi"))
+    entries = materialize(join_on(entries, groups.select(*keys), keys, "left_semi"))
     if not baseline:
         entries = ranked_entries(entries, keys)
     replicates = rs.permutation_aucs(entries, keys, n, seed)

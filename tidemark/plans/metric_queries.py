@@ -462,7 +462,7 @@ def _(r):
 
 
 def sql_check(baseline: bool, source: str = "sc", by: str = "", n: int = REPLICATES, x: str = "") -> tuple[str, ...]:
-    """The yearly check as SQL; every screen is computed for every year and the first failing one is named.
+    """The yearly check as SQL: the first failing screen is named, and only groups that pass it are resampled.
 
     ``x`` goes before the names of all its tables, so that two checks fit into one query.
     """
@@ -470,34 +470,36 @@ def sql_check(baseline: bool, source: str = "sc", by: str = "", n: int = REPLICA
     extra = f"{by}, " if by else ""
     on_prev = " AND ".join([*[f"p.{b} = c.{b}" for b in by.split(", ") if by], "p.year = c.year - 1"])
     valid, test = (f"(SELECT * FROM {source} WHERE split = '{s}')" for s in ("valid", "test"))
-    entries = (
-        (sql_entries_datasets(f"{x}ve", valid, by), sql_entries_datasets(f"{x}te", test, by))
+    entries = sql_entries_datasets if baseline else sql_entries_models
+    over = by if baseline else keys
+    test_entries = (
+        (f"{x}te AS (SELECT * FROM {x}te0 JOIN {x}open USING ({keys}))",)
         if baseline
-        else (
-            sql_entries_models(f"{x}ve", valid, keys),
-            sql_entries_models(f"{x}te0", test, keys),
-            sql_ranked(f"{x}te", f"{x}te0", keys),
-        )
+        else (f"{x}te1 AS (SELECT * FROM {x}te0 JOIN {x}open USING ({keys}))", sql_ranked(f"{x}te", f"{x}te1", keys))
     )
     curr_rule = "" if baseline else "WHEN coalesce(c.auc, 0) < 0.5E0 THEN 'low AUC of current model'"
     prev_rule = "WHEN p.test_pos < 20 THEN 'few test outcomes in previous year'" if baseline else ""
     return (
-        *entries,
         f"""{x}persons AS (SELECT {keys}, count(DISTINCT CASE WHEN y = 1 AND split = 'valid' THEN person_id END) AS valid_pos,
             count(DISTINCT CASE WHEN y = 1 AND split = 'test' THEN person_id END) AS test_pos FROM {source} GROUP BY {keys})""",
         *sql_auc(f"{x}va", valid, keys, "s_curr"),
         f"{x}facts AS (SELECT q.*, v.auc FROM {x}persons q LEFT JOIN {x}va v USING ({keys}))",
+        f"""{x}staged AS (SELECT {', '.join(f'c.{b}' for b in by.split(', ')) + ', ' if by else ''}c.year, CASE WHEN p.valid_pos < 25 THEN 'few validation outcomes in previous year'
+            WHEN c.valid_pos < 25 THEN 'few validation outcomes in current year'
+            WHEN coalesce(p.auc, 0) < 0.5E0 THEN 'low AUC of previous model' {curr_rule} END AS screen,
+            CASE WHEN c.test_pos < 20 THEN 'few test outcomes in current year' {prev_rule} END AS few
+            FROM {x}facts c JOIN {x}facts p ON {on_prev})""",
+        entries(f"{x}ve0", valid, over),
+        f"{x}ve AS (SELECT * FROM {x}ve0 JOIN (SELECT {keys} FROM {x}staged WHERE screen IS NULL) USING ({keys}))",
         *sql_bootstrap(f"{x}vb", f"{x}ve", keys, n),
         *sql_actual(f"{x}vact", f"{x}ve", keys),
         sql_ci(f"{x}vci", f"{x}vb", f"{x}vact", keys),
+        f"{x}open AS (SELECT {keys} FROM {x}staged JOIN {x}vci USING ({keys}) WHERE screen IS NULL AND few IS NULL AND above_zero)",
+        entries(f"{x}te0", test, over),
+        *test_entries,
         *sql_permutation(f"{x}tp", f"{x}te", keys, n),
         *sql_actual(f"{x}tact", f"{x}te", keys),
         sql_p(f"{x}tpv", f"{x}tp", f"{x}tact", keys),
-        f"""{x}staged AS (SELECT {', '.join(f'c.{b}' for b in by.split(', ')) + ', ' if by else ''}c.year, CASE WHEN p.valid_pos < 25 THEN 'few validation outcomes in previous year'
-            WHEN c.valid_pos < 25 THEN 'few validation outcomes in current year'
-            WHEN coalesce(p.auc, 0) < 0.5E0 THEN 'low AUC of previous model' {curr_rule} END AS screen,
-            CASE WHEN c.test_pos < 20 THEN 'few test outcomes in current year' {prev_rule} END AS few
-            FROM {x}facts c JOIN {x}facts p ON {on_prev})""",
         f"""{x}checked AS (SELECT {extra}year, CASE WHEN screen IS NOT NULL THEN screen WHEN NOT coalesce(above_zero, FALSE) THEN 'interval not above 0'
             WHEN few IS NOT NULL THEN few ELSE 'tested' END AS status, CASE WHEN screen IS NULL THEN ci_low END AS ci_low, p_value AS p
             FROM {x}staged LEFT JOIN {x}vci USING ({keys}) LEFT JOIN {x}tpv USING ({keys}))""",

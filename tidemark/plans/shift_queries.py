@@ -75,12 +75,12 @@ def frequencies(r):
     sql(
         *SQL_FREQ,
         f"fp AS (SELECT *, {chi2_p_sql('chi2')} AS p FROM freq)",
-        """ranked AS (SELECT *, rank() OVER (ORDER BY p) AS rank, rank() OVER (ORDER BY p) / CAST(count(*) OVER () AS DOUBLE) * 0.05E0
+        """fr_ranked AS (SELECT *, rank() OVER (ORDER BY p) AS rank, rank() OVER (ORDER BY p) / CAST(count(*) OVER () AS DOUBLE) * 0.05E0
             AS critical FROM fp)""",
         select="""SELECT feature, with_prev, without_prev, with_curr, without_curr, round(freq_prev, 6) AS freq_prev,
         round(freq_curr, 6) AS freq_curr, round(freq_prev + freq_curr, 6) AS freq_sum, round(chi2, 6) AS chi2, round(p, 6) AS chi2_p_value,
         rank, round(critical, 6) AS critical,
-        coalesce(CASE WHEN rank <= (SELECT max(rank) FROM ranked WHERE p < critical) THEN 1 ELSE 0 END, 0) AS accepted FROM ranked""",
+        coalesce(CASE WHEN rank <= (SELECT max(rank) FROM fr_ranked WHERE p < critical) THEN 1 ELSE 0 END, 0) AS accepted FROM fr_ranked""",
     ),
 )
 def _(r):
