@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import calendar
+import gzip
 import hashlib
 import time
 from collections.abc import Iterator
@@ -54,7 +55,7 @@ def _urn(record_id: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str, url: str, html: str, captured: Column) -> None:
-    """Write one record per row into WARC files of some ``ARCHIVE_BYTES`` under ``folder``."""
+    """Write one record per row into gzipped WARC files of some ``ARCHIVE_BYTES`` of records under ``folder``."""
     rows = pages.select(
         F.col(page_id).alias("id"),
         F.col(url).alias("url"),
@@ -88,7 +89,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str, url: str, html:
         F.lit(END * 2), F.col("block"),
     ]
     records = joined.withColumn("block", block).select(F.concat(*fields).alias("value"))
-    records.write.option("lineSep", END * 2).option("maxRecordsPerFile", per_file).text(folder)
+    records.write.option("lineSep", END * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def url_key(url: str) -> str:
@@ -144,13 +145,13 @@ def _rows(entries: list[tuple]) -> pa.RecordBatch:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            if entries := index_run(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+            if entries := index_run(batch.column(0)[i].as_py(), gzip.decompress(batch.column(1)[i].as_py())):
                 yield _rows(entries)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """Index entries of all archives in a folder; those of one archive are a sorted run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder)
     return files.select("path", "content").mapInArrow(_index, ENTRY)
 
 
@@ -226,7 +227,8 @@ def archive_pages(
     """Write all rows to archives in the shared folder and return their merged index, one row per input row.
 
     Columns: page_id, url_key, captured (epoch seconds), record_type, refers_to, payload_bytes,
-    payload_digest (bare base32 SHA-1), archive, offset, length. A null html is an
+    payload_digest (bare base32 SHA-1), archive, and offset and length in the
+    unpacked archive. A null html is an
     empty payload and counts among equal payloads like any other; a null url is
     empty, a null time is 0. Rows that repeat the largest id of a payload are each
     a response; a null id is smaller than any other. Other columns are ignored; an empty table gives no rows.
