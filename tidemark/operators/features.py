@@ -238,9 +238,14 @@ def coordinate_tensor(timeline: DataFrame, index: DataFrame) -> DataFrame:
 def smallest_gaps(
     events: DataFrame, first: dt.date, last: dt.date, max_days: int, keep: Sequence[str] = ("feature",)
 ) -> DataFrame:
-    """Days from the latest event of a feature to each index date within reach."""
+    """Days from the latest event of a feature to each index date within reach.
+
+    Index dates are month starts, so of the events of one calendar month only the
+    latest can be nearest to any of them: the others go before dates are multiplied.
+    """
+    latest = events.groupBy("person_id", *keep, F.trunc("event_date", "month").alias("_month")).agg(F.max("event_date").alias("event_date"))
     reach = month_starts(F.date_add("event_date", 1), F.date_add("event_date", max_days), first, last)
-    rows = events.select("person_id", *keep, "event_date", F.explode(reach).alias("end_date"))
+    rows = latest.select("person_id", *keep, "event_date", F.explode(reach).alias("end_date"))
     return rows.groupBy("person_id", "end_date", *keep).agg(F.min(F.datediff("end_date", "event_date")).alias("gap"))
 
 
@@ -377,7 +382,7 @@ GROUP_FEATURES = (
 
 
 def feature_catalog(features: DataFrame) -> DataFrame:
-    """Distinct features with parsed parts, a short label, a file-safe key and a negated label.
+    """Distinct features with parsed parts, a short label and a file-safe key, both also for the negated side.
 
     The label keeps 25 characters of the concept name (with its variant) and the
     window; month and attribute features have labels of their own.
@@ -404,7 +409,13 @@ def feature_catalog(features: DataFrame) -> DataFrame:
     safe = F.regexp_replace(F.col("label"), "[ /]", "_")
     key = F.when(is_composed, F.concat_ws("_", F.col("concept_id").cast("string"), safe)).when(month != "", feature)
     labelled = parsed.withColumn("label", label).withColumn("negated_label", negated)
-    return labelled.withColumn("file_key", F.coalesce(key, safe))
+    keyed = labelled.withColumn("file_key", F.coalesce(key, safe))
+    negated_key = (
+        F.when(is_composed, F.concat(F.lit("no_"), F.col("file_key")))
+        .when(month != "", F.concat(F.lit("pred_not_in_"), month))
+        .otherwise(F.regexp_replace(F.col("negated_label"), "[ /]", "_"))
+    )
+    return keyed.withColumn("negated_file_key", negated_key)
 
 
 def feature_statistics(catalog: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def _tie(direction: str) -> Column:
 
 
 def measured_concepts(concept: DataFrame, measurement: DataFrame) -> DataFrame:
-    return concept.select("concept_id", "concept_name").distinct().join(measurement, "concept_id", "left_semi")
+    """Concepts that some measurement has; only distinct ids of the measurements are shuffled."""
+    measured = measurement.select("concept_id").distinct()
+    return concept.select("concept_id", "concept_name").distinct().join(measured, "concept_id", "left_semi")
 
 
 def reference_counts(measurement: DataFrame, direction: str, keys: Sequence[str] = ("concept_id",)) -> DataFrame:

@@ -141,6 +141,24 @@ def region_catalog(features: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("year", "feature", "file_key", "_r.inside", "_r.region_label", "_r.rule")
 
 
+def age_region_catalog(bounds: DataFrame) -> DataFrame:
+    """Both sides of each age region, from rows with coefficient and age_bound: label, file key and rule."""
+    bound = F.col("age_bound").cast("bigint").cast("string")
+    upward = F.col("coefficient") > 0
+
+    def side(inside: bool) -> Column:
+        sign = F.when(upward, ">=" if inside else "<").otherwise("<=" if inside else ">")
+        word = F.when(upward, "atleast" if inside else "below").otherwise("atmost" if inside else "above")
+        return F.struct(
+            F.lit(1 if inside else 0).alias("inside"),
+            F.concat_ws(" ", F.lit("age"), sign, bound).alias("region_label"),
+            F.concat_ws("_", F.lit("age"), word, bound).alias("file_key"),
+        )
+
+    rows = bounds.withColumn("_r", F.explode(F.array(side(True), side(False))))
+    return rows.select(*[c for c in bounds.columns], "_r.inside", "_r.region_label", "_r.file_key")
+
+
 # --------------------------------------------------------------- statistics
 
 

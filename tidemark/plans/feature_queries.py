@@ -7,12 +7,14 @@ import functools
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash32_sql
+from tidemark.functions.ranking import hash_rank
 from tidemark.operators import features, shift, splits
 from tidemark.plans import lab_sql as ls
 from tidemark.plans.common import FIRST, LAST, SQL_COHORT, SQL_DATES, people
 from tidemark.plans.lab_queries import clean, references
 from tidemark.plans.outcome_queries import SQL_SAMPLED, samples
 from tidemark.plans.registry import query, sql
+from tidemark.session import materialize
 
 WINDOWS = (30, 365)
 _EVENT = """example_id, person_id, concept_name, CAST(feature_start_date AS VARCHAR) AS feature_start_date,
@@ -320,14 +322,15 @@ def long_samples(r, windows=WINDOWS, sampled=None):
     events = named_events(r, "procedure_occurrence", "procedure").unionByName(
         named_events(r, "condition_occurrence", "condition")
     )
-    present = features.windowed_features(events, FIRST, LAST, windows)
     sampled = samples(r) if sampled is None else sampled
+    events = events.join(sampled.select("person_id").distinct(), "person_id", "left_semi")
+    present = features.windowed_features(events, FIRST, LAST, windows)
     rows = features.sample_features(sampled, present)
     return rows.withColumn("feature", features.window_name()).drop("window_days", "order_hash")
 
 
 def dataset(r):
-    rows = long_samples(r)
+    rows = materialize(long_samples(r))
     return features.keep_features(rows, features.frequent_features(rows, 300))
 
 
@@ -441,7 +444,8 @@ _CATALOG = """SELECT feature, CAST(split_part(feature, ' - ', 1) AS BIGINT) AS c
         "out AS (SELECT concept_name FROM lab_out UNION SELECT concept_name FROM cond_feats)",
         f"catalog AS ({_CATALOG})",
         select="""SELECT *, concat('no ', label) AS negated_label,
-        concat(CAST(concept_id AS VARCHAR), '_', regexp_replace(label, '[ /]', '_', 'g')) AS file_key FROM catalog""",
+        concat(CAST(concept_id AS VARCHAR), '_', regexp_replace(label, '[ /]', '_', 'g')) AS file_key,
+        concat('no_', CAST(concept_id AS VARCHAR), '_', regexp_replace(label, '[ /]', '_', 'g')) AS negated_file_key FROM catalog""",
     ),
 )
 def _(r):
@@ -479,6 +483,32 @@ def _(r):
     return dataset(r)
 
 
+@query(
+    "d07_dataset_samples",
+    sql(
+        *SQL_AGED,
+        *SQL_LONG[len(SQL_SAMPLED) :],
+        "held AS (SELECT person_id, end_date, count(*) AS num_features FROM long GROUP BY 1, 2)",
+        f"""placed AS (SELECT *, row_number() OVER (PARTITION BY year, split
+            ORDER BY {hash32_sql(3, 'person_id', 'end_date')}, person_id, end_date) - 1 AS position FROM aged)""",
+        select=f"""SELECT p.person_id, CAST(p.end_date AS VARCHAR) AS end_date, p.year, p.split, p.y, p.position,
+        round((p.age - age_mean) / age_std, 6) AS age_scaled, {_MONTH_FLAGS.replace("end_date", "p.end_date")},
+        coalesce(h.num_features, 0) AS num_features FROM placed p CROSS JOIN age_params
+        LEFT JOIN held h ON h.person_id = p.person_id AND h.end_date = p.end_date""",
+    ),
+)
+def _(r):
+    """The samples of the dataset with age, month flags, position and the number of their frequent features."""
+    rows = aged_samples(r)
+    scaled = features.standardize_age(rows, features.age_scaling(rows))
+    ranked = hash_rank(scaled, ["person_id", "end_date"], by=["year", "split"], seed=3)
+    held = dataset(r).groupBy("person_id", "end_date").agg(F.count(F.lit(1)).alias("num_features"))
+    return ranked.join(held, ["person_id", "end_date"], "left").select(
+        "person_id", "end_date", "year", "split", "y", (F.col("rank") - 1).alias("position"), "age_scaled",
+        *features.month_one_hot("end_date"), F.coalesce("num_features", F.lit(0)).alias("num_features"),
+    )
+
+
 # ---------------------------------------------------------------- flagship
 
 

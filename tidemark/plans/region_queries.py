@@ -424,3 +424,23 @@ def _(r):
     )
     kept = regions.interpretable_leaves(leaves, max_depth=2, min_size=5, unwanted="1")
     return kept.select("year", "leaf", "valid_size", "valid_positive", "rule", "share")
+
+
+@query(
+    "r11_age_region_catalog",
+    sql(
+        *SQL_AGED,
+        """bounds AS (SELECT year, 1 AS coefficient, ceil(quantile_cont(age, 0.8)) AS age_bound FROM aged WHERE split = 'train' GROUP BY 1
+            UNION ALL SELECT year, -1, floor(quantile_cont(age, 0.2)) FROM aged WHERE split = 'train' GROUP BY 1)""",
+        select="""SELECT year, coefficient, age_bound, 1 AS inside,
+            concat(CASE WHEN coefficient > 0 THEN 'age >= ' ELSE 'age <= ' END, CAST(CAST(age_bound AS BIGINT) AS VARCHAR)) AS region_label,
+            concat(CASE WHEN coefficient > 0 THEN 'age_atleast_' ELSE 'age_atmost_' END, CAST(CAST(age_bound AS BIGINT) AS VARCHAR)) AS file_key FROM bounds
+        UNION ALL SELECT year, coefficient, age_bound, 0,
+            concat(CASE WHEN coefficient > 0 THEN 'age < ' ELSE 'age > ' END, CAST(CAST(age_bound AS BIGINT) AS VARCHAR)),
+            concat(CASE WHEN coefficient > 0 THEN 'age_below_' ELSE 'age_above_' END, CAST(CAST(age_bound AS BIGINT) AS VARCHAR)) FROM bounds""",
+    ),
+)
+def _(r):
+    train = aged_samples(r).where("split = 'train'")
+    sides = [regions.age_bound(train, sign, ["year"]).withColumn("coefficient", F.lit(sign)) for sign in (1, -1)]
+    return regions.age_region_catalog(sides[0].unionByName(sides[1]))
