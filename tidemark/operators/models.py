@@ -42,6 +42,7 @@ MAX_DEPTH = 30
 MAX_ITERATIONS = 1000
 PARALLEL_FITS = 4
 Z95 = 1.96
+MAX_INFERENTIAL = 4096  # what the least-squares solver behind the standard errors takes
 
 
 def score(model: Model, samples: DataFrame, name: str = "score") -> DataFrame:
@@ -190,6 +191,8 @@ def coefficient_table(model: Model, names: Sequence[str], samples: DataFrame) ->
 
 def inferential_logreg(samples: DataFrame, names: Sequence[str]) -> tuple[Model, DataFrame]:
     """Unpenalized fit with a constant: estimate, standard error, p-value and 95 % interval."""
+    if len(names) > MAX_INFERENTIAL:
+        raise ValueError(f"standard errors are for at most {MAX_INFERENTIAL} features, got {len(names)}")
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", regParam=0.0, maxIter=100)
     model = glm.fit(samples)
     summary = model.summary

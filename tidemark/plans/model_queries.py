@@ -31,6 +31,15 @@ def one_year(data, year=1999):
     return rows.where("split = 'train'"), rows.where("split = 'valid'"), rows.where("split = 'test'")
 
 
+def all_years(data):
+    return [row["year"] for row in data.select("year").distinct().orderBy("year").collect()]
+
+
+def each_year(data, build):
+    """Rows of ``build(train, valid, test)`` for every year, one after another."""
+    return functools.reduce(lambda a, b: a.unionByName(b), [build(*one_year(data, y)) for y in all_years(data)])
+
+
 def test_auc(model, test):
     return me.auc(models.score(model, test), "score", ["year"])
 
@@ -54,22 +63,25 @@ def _fit_query(name, fit):
     @query(name)
     def _(r):
         data, _, _ = assembled(r)
-        train, valid, test = one_year(data)
-        model, position, valid_auc = fit(train, valid)
-        found = test_auc(model, test)
-        return found.select("year", F.lit(position).alias("grid_position"), F.lit(valid_auc).alias("valid_auc"), F.col("auc").alias("test_auc"))
+
+        def fitted(train, valid, test):
+            model, position, valid_auc = fit(train, valid)
+            found = test_auc(model, test)
+            return found.select("year", F.lit(position).alias("grid_position"), F.lit(valid_auc).alias("valid_auc"), F.col("auc").alias("test_auc"))
+
+        return each_year(data, fitted)
 
 
 _fit_query("m01_train_logreg", models.train_logreg)
 _fit_query("m01_train_logreg_l1", functools.partial(models.train_logreg, penalty="l1"))
-_fit_query("m02_train_decision_tree", functools.partial(models.train_decision_tree, leaves=(25, 100), max_depth=8))
+# the whole grids of the trees take hours on one machine: see the README
+_fit_query("m02_train_decision_tree", functools.partial(models.train_decision_tree, max_depth=8))
 _fit_query("m03_train_forest", functools.partial(models.train_forest, trees=(5, 10), leaves=(25,), max_depth=8))
-_fit_query("m04_train_boosted", functools.partial(models.train_boosted, trees=(5,), depths=(3, 5)))
+_fit_query("m04_train_boosted", functools.partial(models.train_boosted, trees=(5,), depths=(3, 6)))
 
 
-def yearly_models(data, years=(1998, 1999)):
-    fit = models.train_logreg
-    return models.models_per_year(data, years, fit)
+def yearly_models(data):
+    return models.models_per_year(data, all_years(data), models.train_logreg)
 
 
 @query("m05_models_per_year")
@@ -83,9 +95,8 @@ def _(r):
 @query("m06_coefficient_table")
 def _(r):
     data, names, _ = assembled(r)
-    train, valid, _ = one_year(data)
-    model, _, _ = models.train_logreg(train, valid)
-    return models.coefficient_table(model, names, data)
+    tables = [models.coefficient_table(m, names, data).withColumn("year", F.lit(y)) for y, m in yearly_models(data).items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), tables)
 
 
 @query("m07_inferential_logreg")
@@ -98,9 +109,12 @@ def _(r):
 @query("m08_score")
 def _(r):
     data, _, _ = assembled(r)
-    train, valid, test = one_year(data)
-    model, _, _ = models.train_logreg(train, valid)
-    return models.score(model, test).select("person_id", "end_date", "y", "score")
+
+    def scored(train, valid, test):
+        model, _, _ = models.train_logreg(train, valid)
+        return models.score(model, test).select("person_id", "end_date", "year", "y", "score")
+
+    return each_year(data, scored)
 
 
 @query("m18_tree_leaf_counts")
