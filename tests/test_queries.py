@@ -40,3 +40,8 @@ def test_query_equals_its_check(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     want = db.sql(entry.oracle_sql()[name])
     assert _rows(df.columns, df.collect()) == _rows(want.columns, want.fetchall())
+
+
+def test_missing_optional_modules_are_left_out_and_other_faults_show():
+    assert entry._optional("no_such_corpus_module") is None
+    assert entry._optional("tidemark.no_such_package.queries") is None
