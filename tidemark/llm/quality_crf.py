@@ -24,6 +24,7 @@ from tidemark.llm.text import text_slices
 
 SAMPLE_PER_LABEL = 2000
 SAMPLE_LINES = 64
+SLICE_BYTES = 512 << 10  # texts whose features a task holds at once
 THRESHOLD = 0.3
 FOLDS = 5
 STEPS = 300
@@ -190,7 +191,7 @@ def scores(texts: list[bytes], params: np.ndarray) -> np.ndarray:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of the labelled documents that have few enough lines."""
-    for part, texts in text_slices(batches, "text"):
+    for part, texts in text_slices(batches, "text", SLICE_BYTES):
         kept = [i for i, t in enumerate(texts) if t.count(b"\n") < SAMPLE_LINES]
         if kept:
             x, _, counts = line_features([texts[i] for i in kept])
@@ -244,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _score(batches: Iterator[pa.RecordBatch], params: list[float]) -> Iterator[pa.RecordBatch]:
     weights = np.array(params)
-    for part, texts in text_slices(batches, "text"):
+    for part, texts in text_slices(batches, "text", SLICE_BYTES):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(texts, weights))], ["doc_id", "score"])
 
 

@@ -37,15 +37,18 @@ def squeezed(text: Column) -> Column:
 def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of record batches whose texts add up to ``limit`` bytes at most (or are one text), with the texts as bytes.
 
-    Keeps the memory of a Python task bounded by the largest text, however many rows a batch has. Null is empty.
+    Keeps the memory of a Python task bounded by the largest text, however many rows a batch has: only the
+    texts of one part are copied. Null is empty.
     """
     for batch in batches:
-        index = batch.schema.get_field_index(column)
-        texts = batch.column(index).cast(pa.large_binary())
-        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        texts = batch.column(batch.schema.get_field_index(column))
+        if not len(texts):
+            continue
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
         start = 0
         while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
-            part = batch.slice(start, stop - start)
-            yield part, [t or b"" for t in texts.slice(start, stop - start).to_pylist()]
+            stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + limit, side="right")) - 1)
+            part = texts.slice(start, stop - start).cast(pa.large_binary() if wide else pa.binary())
+            yield batch.slice(start, stop - start), [t or b"" for t in part.to_pylist()]
             start = stop
