@@ -29,7 +29,9 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """Keys of two rows or more, as a table of its own, so that a join with it can split the rows of a hot key."""
+    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return materialize(shared)
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,6 +56,6 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             "doc_id", "length", "prefix", F.unhex(F.sha2("content", 256)).alias("digest")
         )
     )
-    groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     copies = hashed.join(groups, "digest").select("doc_id", "length", "prefix", "keep_id", "group_size")
     return alone.unionByName(copies).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))

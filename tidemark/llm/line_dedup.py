@@ -56,10 +56,12 @@ def keep_bitmaps(
     lines = line_hashes(docs, doc_id, text, min_chars)
     ranged = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order))
     first = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
-    shared = (
+    # a table of its own, so that the join below can split the rows of a line that very many documents hold
+    shared = materialize(
         first.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
+        .drop("n_docs")
     )
     dropped = ranged.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     bits = dropped.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone"))

@@ -230,5 +230,6 @@ def near_duplicates(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    # a table of its own, so that the join below can split a fingerprint that very many rows share
+    by_print = materialize(rooted.join(named, "root").select("fp", "component_id"))
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")

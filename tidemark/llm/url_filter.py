@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import ascii_lower
+from tidemark.session import materialize
 
 SHORT_HEX = 8
 DEFAULT = "allow"
@@ -74,6 +75,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
         "*", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n_chars")
     ).select("host", "path", _digest(F.col("suffix"), F.expr("substring(path, 1, n_chars)")).alias("digest"))
     hits = expressions.withColumn("r_short", F.substring("digest", 1, SHORT_HEX)).join(keyed, "r_short").where("digest = r_digest")
+    # a table of its own, so that the join below can split a url that very many rows share
     best = hits.groupBy("host", "path").agg(
         F.max(
             F.struct(
@@ -85,6 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
             )
         ).alias("best")
     )
+    best = materialize(best)
     return urls.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
