@@ -136,14 +136,43 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op2_substring_dedup")
+@query(
+    "op2_substring_dedup",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, x.i AS i, x.k AS k FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: {'i': i, 'k': array_to_string(ws[i:i + 12], ' ')})) AS x
+    FROM w WHERE len(ws) >= 13)),
+owners AS (SELECT k, min(doc_id) AS owner FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM windows JOIN owners USING (k) WHERE owner < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (
+  SELECT doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (g.pos IS NULL) AS kept
+  FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+""",
+)
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_repeated_passages(table(spark, folder, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
     return kept.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op5_warc_index_merge")
+@query(
+    "op5_warc_index_merge",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(floor(i / 4) AS INT) * 5 + 1, 5) AS BIGINT) // CAST(power(32, 3 - i % 4) AS BIGINT)) % 32 AS INT) + 1, 1)), '')
+    AS payload_digest FROM p),
+t AS (SELECT payload_digest, max(page_id) AS top FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM d JOIN t USING (payload_digest)
+""",
+)
 def op5_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     # pages have no capture time: one second a page from the first of 2020, within a year
     when = F.lit(1577836800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31536000))
