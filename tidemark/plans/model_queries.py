@@ -74,10 +74,9 @@ def _fit_query(name, fit):
 
 _fit_query("m01_train_logreg", models.train_logreg)
 _fit_query("m01_train_logreg_l1", functools.partial(models.train_logreg, penalty="l1"))
-# the whole grids of the trees take hours on one machine: see the README
-_fit_query("m02_train_decision_tree", functools.partial(models.train_decision_tree, max_depth=8))
-_fit_query("m03_train_forest", functools.partial(models.train_forest, trees=(5, 10), leaves=(25,), max_depth=8))
-_fit_query("m04_train_boosted", functools.partial(models.train_boosted, trees=(5,), depths=(3, 6)))
+_fit_query("m02_train_decision_tree", models.train_decision_tree)
+_fit_query("m03_train_forest", models.train_forest)
+_fit_query("m04_train_boosted", models.train_boosted)
 
 
 def yearly_models(data):
