@@ -42,3 +42,43 @@ def test_trees_forests_and_boosted_trees(asked):
     assert [(e.getNumTrees(), e.getMinInstancesPerNode(), e.getMaxDepth()) for e in forests] == [(t, n, 30) for t in (10, 25, 100) for n in (10, 25, 100)]
     boosted = asked("m04_train_boosted")
     assert [(e.getMaxIter(), e.getMaxDepth()) for e in boosted] == [(t, d) for t in (10, 25, 100) for d in (3, 6, 10)]
+
+
+def test_domain_classifier_tries_every_c(asked):
+    assert len(asked("x02_domain_classifier")) == len(models.CS)
+
+
+def test_every_year_has_leaves_coefficients_and_regions(spark, monkeypatch):
+    plans.load_all()
+    rows = [
+        (i, i, year, split, y, (0.2 if i % 3 else 0.8), 0.5, Vectors.dense([float(i % 7), float(i % 5)]))
+        for i, (year, split, y, _) in enumerate(
+            (year, split, y, k) for year in (1997, 1998, 1999, 2000) for split in ("train", "valid", "test") for y in (0, 1) for k in range(60)
+        )
+    ]
+    data = spark.createDataFrame(rows, ["sample_id", "person_id", "year", "split", "y", "s_prev", "s_curr", "features"])
+    monkeypatch.setattr(model_queries, "assembled", lambda r, **_: (data, ["a", "b"], None))
+    monkeypatch.setattr(model_queries, "score_samples", lambda r: (data, ["a", "b"]))
+    depths = []
+    fit = models.train_decision_tree
+    monkeypatch.setattr(models, "train_decision_tree", lambda t, v, **k: depths.append(k) or fit(t, v, **k))
+    monkeypatch.setattr(model_queries.regions, "region_nonstationarity_check", lambda rows, by, *_: rows.select(*by).distinct())
+    for name, column in (("m07_inferential_logreg", "year"), ("m18_tree_leaf_counts", "year"), ("r06_fit_regions", "year"), ("r17_subpopulation_scan", "region_year")):
+        assert {r[column] for r in QUERIES[name](None).collect()} == {1997, 1998, 1999, 2000}, name
+    assert depths and not any(depths)  # no grid or depth below the library's
+
+
+def test_robust_features_for_every_two_years(spark, monkeypatch):
+    plans.load_all()
+    rows = [
+        (i, 1, year, split, i % 2, Vectors.dense([float(i % 3)]))
+        for i, (year, split, _) in enumerate((y, s, k) for y in (1997, 1998, 1999) for s in ("train", "valid", "test") for k in range(40))
+    ]
+    data = spark.createDataFrame(rows, ["person_id", "end_date", "year", "split", "y", "features"])
+    long = data.select("person_id", "end_date").selectExpr("*", "'a' AS feature")
+    monkeypatch.setattr(model_queries, "assembled", lambda r, **_: (data, ["a"], long))
+    monkeypatch.setattr(models, "CS", (1.0,))
+    found = QUERIES["x21_robust_feature_retrain"](None).collect()
+    assert {(r.year, r.feature_set, r.pair) for r in found} == {
+        (y, f, p) for y in (1998, 1999) for f in ("all", "stable") for p in ("old on old", "old on new", "new on new")
+    }

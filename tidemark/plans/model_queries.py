@@ -26,7 +26,7 @@ def assembled(r, min_count=300, windows=(30, 365)):
     return materialize(vectors.select("person_id", "end_date", "year", "split", "y", "features")), names, long
 
 
-def one_year(data, year=1999):
+def one_year(data, year):
     rows = data.where(F.col("year") == year)
     return rows.where("split = 'train'"), rows.where("split = 'valid'"), rows.where("split = 'test'")
 
@@ -36,8 +36,8 @@ def all_years(data):
 
 
 def each_year(data, build):
-    """Rows of ``build(train, valid, test)`` for every year, one after another."""
-    return functools.reduce(lambda a, b: a.unionByName(b), [build(*one_year(data, y)) for y in all_years(data)])
+    """Rows of ``build(train, valid, test, year)`` for every year, one after another."""
+    return functools.reduce(lambda a, b: a.unionByName(b), [build(*one_year(data, y), y) for y in all_years(data)])
 
 
 def test_auc(model, test):
@@ -64,7 +64,7 @@ def _fit_query(name, fit):
     def _(r):
         data, _, _ = assembled(r)
 
-        def fitted(train, valid, test):
+        def fitted(train, valid, test, year):
             model, position, valid_auc = fit(train, valid)
             found = test_auc(model, test)
             return found.select("year", F.lit(position).alias("grid_position"), F.lit(valid_auc).alias("valid_auc"), F.col("auc").alias("test_auc"))
@@ -101,15 +101,18 @@ def _(r):
 @query("m07_inferential_logreg")
 def _(r):
     data, names, _ = assembled(r, windows=(365,))
-    train, _, _ = one_year(data)
-    return models.inferential_logreg(train, names)[1]
+
+    def fitted(train, valid, test, year):
+        return models.inferential_logreg(train, names)[1].withColumn("year", F.lit(year))
+
+    return each_year(data, fitted)
 
 
 @query("m08_score")
 def _(r):
     data, _, _ = assembled(r)
 
-    def scored(train, valid, test):
+    def scored(train, valid, test, year):
         model, _, _ = models.train_logreg(train, valid)
         return models.score(model, test).select("person_id", "end_date", "year", "y", "score")
 
@@ -119,10 +122,13 @@ def _(r):
 @query("m18_tree_leaf_counts")
 def _(r):
     data, names, _ = assembled(r)
-    rows = data.where("year = 1999")
-    model, _, _ = models.train_decision_tree(*one_year(data)[:2], leaves=(100,), max_depth=5)
-    counts = models.tree_leaf_counts(model, rows.where("split <> 'test'"), names)
-    return counts.withColumn("path", F.concat_ws(" AND ", "path"))
+
+    def counted(train, valid, test, year):
+        model, _, _ = models.train_decision_tree(train, valid)
+        counts = models.tree_leaf_counts(model, train.unionByName(valid), names)
+        return counts.select(F.lit(year).alias("year"), "*").withColumn("path", F.concat_ws(" AND ", "path"))
+
+    return each_year(data, counted)
 
 
 # ------------------------------------------------------------------ regions
@@ -153,29 +159,35 @@ def fit_region(data, year):
     pool = regions.label_stratified_resplit(enough, ["sample_id"], ["year"], seed=SEED).withColumn("y", F.col("label"))
     if pool.isEmpty():
         return None
-    return models.train_decision_tree(pool.where("split = 'train'"), pool.where("split = 'valid'"), leaves=(25, 100), max_depth=5)
+    return models.train_decision_tree(pool.where("split = 'train'"), pool.where("split = 'valid'"))
+
+
+def fit_regions(data):
+    """The fit of every year that has enough rows of both labels."""
+    fitted = {year: fit_region(data, year) for year in all_years(data)}
+    return {year: fit for year, fit in fitted.items() if fit is not None}
 
 
 @query("r06_fit_regions")
 def _(r):
     data, _ = score_samples(r)
-    model, position, valid_auc = fit_region(data, 1999)
-    test = regions.calibration_error_label(data.where("year = 1999 AND split = 'test'"))
-    scored = models.score(model, test.withColumn("y", F.col("label")))
-    metrics = me.eval_predictions(scored, "score", 0.5, ["year"])
-    return metrics.withColumn("grid_position", F.lit(position)).withColumn("valid_auc", F.lit(valid_auc))
+    parts = []
+    for year, (model, position, valid_auc) in fit_regions(data).items():
+        test = regions.calibration_error_label(data.where((F.col("year") == year) & (F.col("split") == "test")))
+        scored = models.score(model, test.withColumn("y", F.col("label")))
+        metrics = me.eval_predictions(scored, "score", 0.5, ["year"])
+        parts.append(metrics.withColumn("grid_position", F.lit(position)).withColumn("valid_auc", F.lit(valid_auc)))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("r17_subpopulation_scan")
 def _(r):
     data, _ = score_samples(r)
     parts = []
-    for year in (1999, 2000):
-        fitted = fit_region(data, year)
-        if fitted is not None:
-            rows = models.score(fitted[0], data.where(F.col("year").isin(year - 1, year)), "region_score")
-            marked = regions.model_region(rows, "region_score").withColumn("region_year", F.lit(year))
-            parts.append(marked.select("sample_id", "person_id", "year", "split", "y", "s_prev", "s_curr", "region", "region_year"))
+    for year, (model, _, _) in fit_regions(data).items():
+        rows = models.score(model, data.where(F.col("year").isin(year - 1, year)), "region_score")
+        marked = regions.model_region(rows, "region_score").withColumn("region_year", F.lit(year))
+        parts.append(marked.select("sample_id", "person_id", "year", "split", "y", "s_prev", "s_curr", "region", "region_year"))
     stacked = materialize(functools.reduce(lambda a, b: a.unionByName(b), parts))
     return regions.region_nonstationarity_check(stacked, ["region_year"], REPLICATES, SEED)
 
@@ -193,9 +205,7 @@ def year_pair(data, prev=1998, curr=1999):
 def _(r):
     data, names, _ = assembled(r, min_count=20, windows=(30,))
     pair = year_pair(data)
-    model, _, _ = models.train_logreg(
-        pair.where("split = 'train'"), pair.where("split = 'valid'"), penalty="l1", cs=(10.0, 1.0)
-    )
+    model, _, _ = models.train_logreg(pair.where("split = 'train'"), pair.where("split = 'valid'"), penalty="l1")
     return models.coefficient_table(model, names, data).where("coefficient <> 0")
 
 
@@ -222,15 +232,17 @@ def _(r):
 @query("x21_robust_feature_retrain")
 def _(r):
     data, names, long = assembled(r)
-    fit = models.train_logreg
-    fitted = models.models_per_year(data, (1998, 1999), fit)
-    tables = [models.coefficient_table(fitted[y], names, data) for y in (1998, 1999)]
-    stable = sorted(row["feature"] for row in shift.sign_stable_features(*tables).collect())
-    kept = features.keep_features(long, data.sparkSession.createDataFrame([(n,) for n in stable], "feature string"))
-    robust = materialize(features.assemble(data.drop("features"), kept, stable))
-    refitted = models.models_per_year(robust, (1998, 1999), fit)
+    fitted = yearly_models(data)
     parts = []
-    for variant, frame, group in (("all", data, fitted), ("stable", robust, refitted)):
-        scored = models.yearly_scores(frame.where("split = 'test'"), group, ["person_id", "end_date"])
-        parts.append(shift.three_way_evaluation(scored, 1999).withColumn("feature_set", F.lit(variant)))
-    return parts[0].unionByName(parts[1])
+    for prev, curr in [(y, y + 1) for y in fitted if y + 1 in fitted]:
+        tables = [models.coefficient_table(fitted[y], names, data) for y in (prev, curr)]
+        stable = sorted(row["feature"] for row in shift.sign_stable_features(*tables).collect())
+        kept = features.keep_features(long, data.sparkSession.createDataFrame([(n,) for n in stable], "feature string"))
+        both = data.where(F.col("year").isin(prev, curr))
+        robust = materialize(features.assemble(both.drop("features"), kept, stable))
+        refitted = models.models_per_year(robust, (prev, curr), models.train_logreg)
+        for variant, frame, group in (("all", both, {y: fitted[y] for y in (prev, curr)}), ("stable", robust, refitted)):
+            scored = models.yearly_scores(frame.where("split = 'test'"), group, ["person_id", "end_date"])
+            found = shift.three_way_evaluation(scored, curr)
+            parts.append(found.withColumn("feature_set", F.lit(variant)).withColumn("year", F.lit(curr)))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
