@@ -3,7 +3,8 @@
 Each page becomes a small tree of arrays. For every node the link-adjusted
 characters per tag are computed over its subtree; a node's density sum adds those
 of its children. The node with the largest sum, and what else of the page
-exceeds the smallest density on that node's path up to the body, is the content.
+reaches the smallest density on that node's path up to the body, is the content,
+with the rest of the article or main element it is in.
 Elements that are never content (menus, forms, adverts, comments of readers, ...)
 are taken out before densities are computed. Pages are independent, so the only
 stage is a scan; a task holds one slice of pages at a time.
@@ -219,7 +220,10 @@ def densities(tree: Tree, live: list[bool]) -> tuple[list[float], list[float], l
 
 
 def content_nodes(tree: Tree, live: list[bool]) -> list[int]:
-    """Roots of the content: an article or main element around or under the densest node, else all that pass the threshold."""
+    """Roots of the content: all that pass the threshold, widened to the article or main element around them.
+
+    A root outside those elements gives way to the ones inside it that pass, if they hold at least half of its text.
+    """
     density, total, chars = densities(tree, live)
     n = len(tree.tag)
     if not chars[0]:
@@ -234,14 +238,25 @@ def content_nodes(tree: Tree, live: list[bool]) -> list[int]:
     while node >= 0:
         path.append(node)
         node = tree.parent[node]
-    for node in path:
-        if tree.tag[node] in ("article", "main"):
-            return [node]
-    inner = [i for i in range(n) if live[i] and tree.tag[i] in ("article", "main") and tree.start[top] <= tree.start[i] < tree.stop[top]]
-    if inner and (largest := max(inner, key=lambda i: (chars[i], -i))) and 2 * chars[largest] >= chars[top]:
-        return [largest]
     threshold = min(density[i] for i in path if tree.tag[i] != "html" or len(path) == 1)
-    return sorted({best[i] for i in range(n) if live[i] and chars[i] and density[i] >= threshold})
+    passing = [i for i in range(n) if live[i] and chars[i] and density[i] >= threshold]
+    roots: set[int] = set()
+    for root in {best[i] for i in passing}:
+        above = [root]
+        while tree.parent[above[-1]] >= 0:
+            above.append(tree.parent[above[-1]])
+        # the outermost article, or the nearest main element if there is none
+        holders = [i for i in reversed(above) if tree.tag[i] == "article"] + [i for i in above if tree.tag[i] == "main"]
+        if holders:
+            roots.add(holders[0])
+            continue
+        inner, reached = [], 0
+        for i in passing:
+            if tree.tag[i] in ("article", "main") and tree.start[root] <= tree.start[i] < tree.stop[root] and tree.start[i] >= reached:
+                inner.append(i)
+                reached = tree.stop[i]
+        roots |= set(inner) if inner and 2 * sum(chars[i] for i in inner) >= chars[root] else {root}
+    return sorted(roots)
 
 
 def main_text(page: str | None) -> str:
