@@ -14,3 +14,10 @@ def test_all_sibling_articles_that_pass_stay():
         text = main_text(page)
         assert [text.count(f"{name} sentence") for name in ("First", "Second", "Third")] == [6, 4, 5]
         assert "Link" not in text
+
+
+def test_names_do_not_mark_headings_and_paragraphs_of_an_article():
+    story = "<p>The story goes on for quite some words, with a full stop at its end.</p>" * 5
+    named = '<h2 id="related-work">Earlier studies</h2><p class="share-price">The price of one share rose again today.</p>'
+    text = main_text(f'<html><body><article>{named}{story}<div class="share">Tell friends</div></article></body></html>')
+    assert "Earlier studies" in text and "The price of one share" in text and "Tell friends" not in text

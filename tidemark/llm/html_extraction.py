@@ -32,6 +32,7 @@ BLOCKS = frozenset(
     "td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | {"p", "blockquote", "pre"}
 NEVER = frozenset(
     "head script style noscript template nav footer aside form button select textarea iframe object embed svg canvas menu dialog "
     "audio video map noembed noframes xmp input".split()
@@ -99,7 +100,8 @@ def _marked(names: str) -> set[str]:
     return found
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is never content; names do not mark a block of text inside an article or main element."""
     if tag in NEVER:
         return True
     if not attrs or tag in ("html", "body", "main"):
@@ -107,6 +109,8 @@ def _boilerplate(tag: str, attrs: str) -> bool:
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in ROLES:
         return True
+    if inside and tag in TEXTS:
+        return False
     marks = _marked(values.get("class", "")) | _marked(values.get("id", ""))
     return bool(marks & {"comment", "comments", "commentlist", "replies", "disqus"} if tag == "article" else marks)
 
@@ -157,7 +161,8 @@ def parse(page: str) -> Tree:
         attrs = token["attrs"] if token["tag"] else token["attrs2"]
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        stack.append(tree.open(tag, stack[-1], _boilerplate(tag, attrs)))
+        inside = tag in TEXTS and any(tree.tag[n] in ("article", "main") for n in stack)
+        stack.append(tree.open(tag, stack[-1], _boilerplate(tag, attrs, inside)))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
