@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversation_repair import digests, find_repairs, repaired_rows
 from tidemark.llm.decontamination import benchmark_matches
 from tidemark.llm.exact_dedup import exact_duplicates, marked
 from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
 from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack
 from tidemark.llm.quality_crf import held_out, score_documents, train
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import drop_repeated_passages
 from tidemark.llm.url_filter import judge_urls, rule_table
+from tidemark.llm.vector_codes import codebooks_digest, compress
 from tidemark.llm.warc import archive_pages
+from tidemark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +188,80 @@ def op5_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage: by a checksum of conversation and turn a row goes, loses its text or its full stops, comes twice, or becomes the user's."""
+    given = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    fate = given.withColumn("fate", F.crc32(key.cast("binary")) % 20).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1))
+    return fate.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    rows = damaged(given)
+    repairs = materialize(find_repairs(rows))
+    hashes = digests(repaired_rows(rows, repairs))
+    every = given.select("conv_id").distinct()
+    found = every.join(repairs, every["conv_id"].eqNullSafe(repairs["conv_id"]), "left")
+    found = found.join(hashes, every["conv_id"].eqNullSafe(hashes["conv_id"]), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return found.select(every["conv_id"], *counts, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and averages as one CTE each."""
+    nearest = """
+near{r} AS MATERIALIZED (
+  SELECT row, part, entry, d FROM (
+    SELECT p.row, p.part, c.entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d,
+      row_number() OVER (PARTITION BY p.row, p.part ORDER BY d, c.entry) AS k
+    FROM pieces p JOIN book{r} c USING (part)) WHERE k = 1)"""
+    update = """
+sums{r} AS (
+  SELECT part, entry, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT n.part, n.entry, unnest(p.v) AS x, unnest(range(1, len(p.v) + 1)) AS i FROM near{r} n JOIN pieces p USING (row, part))
+  GROUP BY ALL),
+means{r} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM sums{r} GROUP BY ALL),
+book{q} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m USING (part, entry))"""
+    steps = "".join("," + nearest.format(r=r) + ("," + update.format(r=r, q=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {parts} AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT row, vec_id, part, v[part * w + 1:(part + 1) * w] AS v FROM kept, (SELECT unnest(range({parts})) AS part)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM pieces WHERE row <= {entries}){steps},
+coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY row),
+totals AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (row) GROUP BY label),
+digest AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM book{rounds}))
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN kept USING (row) JOIN totals ON totals.label IS NOT DISTINCT FROM kept.label CROSS JOIN digest
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, codebooks = compress(table(spark, folder, "embeddings"))
+    codes = materialize(codes)
+    # a table of its own, so that the join can split a label that a third of all rows have
+    totals = materialize(codes.groupBy("label").agg(F.sum("error").alias("label_error")))
+    return codes.join(totals, codes["label"].eqNullSafe(totals["label"])).select(
+        "vec_id", "code", "error", "label_error", F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
