@@ -61,6 +61,23 @@ def test_components_are_those_of_all_pairs(spark, rows):
     assert found == smallest_by_hand(rows)
 
 
+def test_large_clusters_have_the_components_of_all_pairs(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in ({"cluster_sets": 8}, {"cluster_hashes": 1}):
+        found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, **limits).collect()}
+        assert found == smallest_by_hand(rows)
+
+
+def test_wide_distance_holds_similar_sets():
+    draw = jaccard.np.random.default_rng(2)
+    for size in (5, 20, 200):
+        for _ in range(200):
+            both = draw.integers(0, 1 << 63, size, jaccard.np.uint64)
+            other = draw.integers(0, 1 << 63, size // 9, jaccard.np.uint64)  # the similarity stays above 0.8
+            bits = jaccard.set_fingerprint(both) ^ jaccard.set_fingerprint(jaccard.np.concatenate([both, other]))
+            assert bits.bit_count() <= jaccard.WIDE
+
+
 def test_stage_keeps_one_of_similar_texts_that_differ_in_many_bits(spark, rows):
     want = smallest_by_hand(rows)
     bits = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
