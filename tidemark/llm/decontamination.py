@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.text import text_slices
+from tidemark.session import materialize
 
 RATE = 0.2
-MIN_WORDS = 5
 BLOCK_BYTES = 1 << 20
-WORDS = re.compile(r"\w+")
+#: Scripts that are written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits; each code point of a script without spaces is a word."""
     return WORDS.findall(text.lower())
 
 
@@ -77,11 +79,11 @@ def best_match(pattern: list[str], text: list[str], budget: int) -> tuple[int, i
 class Matcher:
     """An automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str | None]], rate: float, min_words: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], rate: float) -> None:
         self.items, where = [], {}
         for key, text in items:
-            words = words_of(text or "")
-            if len(words) < min_words:
+            words = words_of(text)
+            if not words:
                 continue
             budget = int(rate * len(words))
             self.items.append((key, words, budget))
@@ -121,8 +123,8 @@ class Matcher:
         return [(self.items[i][0], d, self.items[i][2], a, b) for i, (d, a, b) in sorted(found.items())]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list, rate: float, min_words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(items, rate, min_words)
+def _scan(batches: Iterator[pa.RecordBatch], items: list, rate: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(items, rate)
     for part, texts in text_slices(batches, "text"):
         rows, columns = [], ([], [], [], [], [])
         for i, text in enumerate(texts):
@@ -139,7 +141,6 @@ def benchmark_matches(
     docs: DataFrame,
     benchmark: DataFrame,
     rate: float = RATE,
-    min_words: int = MIN_WORDS,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -148,25 +149,27 @@ def benchmark_matches(
 ) -> DataFrame:
     """One row per document row and item found in it: doc_id, item_id, distance, budget, start_word, end_word.
 
-    Words are runs of letters and digits, lower-cased. An item is found where a part
-    of the document is within ``rate`` word edits per item word; the closest place
-    counts, the first of ties. Items of fewer than ``min_words`` words are too common to be
-    evidence and are not searched, nor are null ones. Null or empty documents hold
-    nothing; repeated documents and repeated items give repeated rows. Other columns
-    are ignored. No item or no document: no rows.
+    Words are runs of letters and digits, lower-cased; in a script without spaces each code
+    point is one. An item is found where a part of the document is within ``rate`` word
+    edits per item word, rounded down, so items of a few words are found unchanged only; the closest
+    place counts, the first of ties. Equal item texts are searched once. Null items and
+    items without a word are not found. Null or empty documents hold nothing; very long ones
+    are searched whole; repeated documents and repeated items give repeated rows. Other
+    columns are ignored. No item or no document: no rows.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text IS NOT NULL")
+    items = items.withColumn("key", F.sha2("item_text", 256))
+    texts = materialize(items.groupBy("key").agg(F.first("item_text").alias("item_text")))
+    total = texts.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_kind, item_kind = given.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    out = f"doc_id {id_kind}, item_id {item_kind}, distance int, budget int, start_word int, end_word int"
-    counts = [(n, pa.int32()) for n in ("distance", "budget", "start_word", "end_word")]
+    id_kind = given.schema["doc_id"].dataType
+    out = f"doc_id {id_kind.simpleString()}, key string, distance int, budget int, start_word int, end_word int"
+    schema = pa.schema([("doc_id", to_arrow_type(id_kind)), ("key", pa.string()), *[(n, pa.int32()) for n in ("distance", "budget", "start_word", "end_word")]])
     results = []
     for block in range(blocks):
-        here = items.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == block).toArrow()
-        listed = sorted(zip(here["item_id"].to_pylist(), here["item_text"].to_pylist()), key=repr)
-        first = [("doc_id", to_arrow_type(given.schema["doc_id"].dataType)), ("item_id", here.schema.field("item_id").type)]
-        scan = functools.partial(_scan, items=listed, rate=rate, min_words=min_words, schema=pa.schema(first + counts))
-        results.append(given.mapInArrow(scan, out))
-    return functools.reduce(DataFrame.unionByName, results)
+        here = texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect()
+        listed = sorted((r.key, r.item_text) for r in here)
+        results.append(given.mapInArrow(functools.partial(_scan, items=listed, rate=rate, schema=schema), out))
+    found = functools.reduce(DataFrame.unionByName, results)
+    return found.join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "distance", "budget", "start_word", "end_word")

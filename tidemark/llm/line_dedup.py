@@ -1,15 +1,15 @@
 """Lines that many documents share, as compressed keep bitmaps per document.
 
-Hashes of the long lines are range-partitioned and sorted by (hash, document,
-position), so that a line which a third of all documents hold spans many
-partitions. Over that order each task streams the first position of a hash in a
-document and passes on one row per (hash, document); holders are counted from
-those. What comes back per document is not text but a run-length bitmap.
+Hashes of the long lines are range-partitioned by (hash, document) and sorted by
+(hash, document, position), so that a line which a third of all documents hold spans
+many partitions. A window that needs no further shuffle streams over that order and marks
+the first position of a hash in each document; holders are counted from those marks alone,
+summed up in each partition first. What comes back per document is not text but a run-length bitmap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import WHITE, ascii_lower
@@ -52,17 +52,18 @@ def keep_bitmaps(
     doc_id are one document in the counts; ``mark``, a hash of the text, tells
     their bitmaps apart. The last run is open-ended. No document: no row.
     """
-    order = [F.col("h1"), F.col("h2"), F.col("doc").desc_nulls_last(), F.col("mark"), F.col("pos")]
     lines = line_hashes(docs, doc_id, text, min_chars)
-    ranged = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order))
-    first = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
+    # rows without an id may be very many: their texts part them
+    lines = lines.withColumn("own", F.when(F.col("doc").isNull(), F.col("mark")))
+    unit = ["h1", "h2", "doc", "own"]
+    ranged = lines.repartitionByRange(*unit).sortWithinPartitions(*unit, "mark", "pos")
+    first = F.row_number().over(Window.partitionBy(*unit).orderBy("mark", "pos")) == 1
+    # the order is written with the marks, for the count and for the join
+    ranged = materialize(ranged.withColumn("first", first).drop("own"))
+    holders = F.count("doc") + F.max(F.col("doc").isNull().cast("long"))  # those without an id are one document
+    counted = ranged.where("first").groupBy("h1", "h2").agg(holders.alias("n_docs"), F.max("doc").alias("keeper"))
     # a table of its own, so that the join below can split the rows of a line that very many documents hold
-    shared = materialize(
-        first.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-        .drop("n_docs")
-    )
+    shared = materialize(counted.where(F.col("n_docs") >= min_docs).drop("n_docs"))
     dropped = ranged.join(shared, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     bits = dropped.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     bounds = F.concat(F.array(F.lit(-1)), F.col("gone"))
@@ -78,18 +79,19 @@ def keep_bitmaps(
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The given rows with kept_text, n_lines and n_dropped added (they replace columns of these names)."""
     given = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    marks = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep")
-    )
-    joined = docs.join(marks, docs[doc_id].eqNullSafe(marks["_doc"]) & (_row_mark(docs[text]) == marks["_mark"]), "left")
-    split = joined.select(*[docs[c] for c in given], "_n_dropped", "_keep", lines_of(docs[text]).alias("_lines"))
-    kept = F.array_join(F.flatten(F.transform("_keep", lambda r: F.slice("_lines", r["start"] + 1, r["length"]))), "\n")
+    # the row is one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in dict.fromkeys((*given, doc_id, text))]).alias("row"))
+    row = F.col("row")
+    marks = bitmaps.select("doc", "mark", "n_dropped", "keep")
+    same = row[doc_id].eqNullSafe(marks["doc"]) & (_row_mark(row[text]) == marks["mark"])
+    split = rows.join(marks, same, "left").select("row", "n_dropped", "keep", lines_of(row[text]).alias("lines"))
+    kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     return split.select(
-        *given,
-        F.when(F.col("_keep").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept).alias("kept_text"),
-        # the second use of _lines keeps Spark from splitting the text again for every run
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        *[row[c].alias(c) for c in given],
+        F.when(F.col("keep").isNull(), F.coalesce(row[text], F.lit(""))).otherwise(kept).alias("kept_text"),
+        # the second use of lines keeps Spark from splitting the text again for every run
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

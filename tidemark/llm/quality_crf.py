@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,17 +190,23 @@ def scores(texts: list[bytes], params: np.ndarray) -> np.ndarray:
     return np.clip(np.bincount(owner, weights=good * weights, minlength=len(texts)) / mass, 0.0, 1.0)
 
 
+def sample_window(text: bytes) -> bytes:
+    """The text, or of more than ``SAMPLE_LINES`` lines as many neighbours, from a place that the text's hash chooses."""
+    lines = text.split(b"\n")
+    if len(lines) <= SAMPLE_LINES:
+        return text
+    start = xxhash.xxh64_intdigest(text) % (len(lines) - SAMPLE_LINES + 1)
+    return b"\n".join(lines[start : start + SAMPLE_LINES])
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of the labelled documents that have few enough lines."""
+    """Features of the labelled documents, a window of the lines of long ones."""
     for part, texts in text_slices(batches, "text", SLICE_BYTES):
-        kept = [i for i, t in enumerate(texts) if t.count(b"\n") < SAMPLE_LINES]
-        if kept:
-            x, _, counts = line_features([texts[i] for i in kept])
-            parts = np.split(x.astype(np.float32), np.cumsum(counts)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(kept)), pa.array(counts), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["good", "n_lines", "x"],
-            )
+        x, _, counts = line_features([sample_window(t) for t in texts])
+        parts = np.split(x.astype(np.float32), np.cumsum(counts)[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(counts), pa.array([p.tobytes() for p in parts], pa.binary())], ["good", "n_lines", "x"]
+        )
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +229,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Weights of the chain, fitted on at most ``SAMPLE_PER_LABEL`` documents of each label.
 
     The sample holds the documents with the smallest hashes of their ids that are not
-    held out, among those of at most ``SAMPLE_LINES`` lines. Ids with both labels and null
-    labels are left out. Without any labelled document all weights are 0: every score is 1/2.
+    held out. A document of more than ``SAMPLE_LINES`` lines teaches with that many
+    neighbouring ones. Ids with both labels, null labels and labels without a document are
+    left out; of rows that repeat an id the text that sorts first is taken, null as empty. Other
+    columns are ignored. Without any labelled document all weights are 0: every score is 1/2.
     """
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = (
         labels.where(~held_out(F.col(doc_id)))
         .groupBy(F.col(doc_id).alias("doc_id"))
         .agg(F.min(label).alias("good"), F.max(label).alias("high"))
         .where("good = high AND good IN (0, 1) AND doc_id IS NOT NULL")
         .select("doc_id", F.col("good").cast("int").alias("good"))
+        .join(given.select("doc_id"), "doc_id", "left_semi")
     )
     picks = [
         known.where(F.col("good") == state).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_LABEL) for state in (0, 1)
     ]
     sample = picks[0].unionByName(picks[1])
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = given.join(sample, "doc_id").select("good", "text").mapInArrow(_featurise, "good int, n_lines long, x binary")
+    texts = given.join(sample, "doc_id").groupBy("doc_id").agg(F.first("good").alias("good"), F.min("text").alias("text"))
+    rows = texts.select("good", "text").mapInArrow(_featurise, "good int, n_lines long, x binary")
     # the order of the sum must not depend on the cluster
     fitted = rows.repartition(1).sortWithinPartitions("good", "n_lines", "x").mapInArrow(_train, "params array<double>").first()
     return fitted["params"] if fitted else [0.0] * (WIDTH + 4)
@@ -252,8 +263,8 @@ def _score(batches: Iterator[pa.RecordBatch], params: list[float]) -> Iterator[p
 def score_documents(docs: DataFrame, params: list[float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1, higher is better), good (score of ``THRESHOLD`` or more).
 
-    Null is the empty text, which is one empty line and gets a score like any other.
-    Repeated rows are each scored; a null doc_id stays null; other columns are ignored.
+    Null is the empty text, which is one empty line and gets a score like any other. All lines
+    of a very long text count. Repeated rows are each scored; a null doc_id stays null; other columns are ignored.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()

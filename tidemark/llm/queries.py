@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.conversation_repair import digests, find_repairs, repaired_rows
 from tidemark.llm.decontamination import benchmark_matches
-from tidemark.llm.exact_dedup import exact_duplicates, marked
+from tidemark.llm.exact_dedup import equal_groups, marked
 from tidemark.llm.html_extraction import extract_text
 from tidemark.llm.line_dedup import drop_shared_lines
 from tidemark.llm.mixing import mix
@@ -107,12 +107,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 )
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    groups = exact_duplicates(docs).dropDuplicates(["doc_id", "length", "prefix"])
+    groups = equal_groups(docs)
     # the contract wants a digest of every text, also of those that the refinement never had to read
-    digests = marked(docs).select("doc_id", "length", "prefix", F.sha2("content", 256).alias("text_sha256"))
-    same = [digests[c].eqNullSafe(groups[c]) for c in ("doc_id", "length", "prefix")]
-    return digests.join(groups, same[0] & same[1] & same[2]).select(
-        digests["doc_id"], "keep_id", "group_size", "kept", "text_sha256"
+    digests = marked(docs).select("doc_id", F.unhex(F.sha2("content", 256)).alias("digest"))
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return digests.join(groups, "digest", "left").select(
+        "doc_id",
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 

@@ -36,6 +36,9 @@ WINDOW = 13
 PART = 5
 HOT_DOCS = 200_000
 SHARD_UNITS = 20_000
+SHARD_BYTES = 1 << 24
+#: Words that letters can stand for: all code points but 0 and the surrogates.
+LETTERS = 0x10FFFF - 0x800
 LAST_ID = 2**63 - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ODD = 0x100000001B3
@@ -189,14 +192,17 @@ def locate(units: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[
     same: dict[bytes, list[int]] = {}
     for k, unit in enumerate(units):
         same.setdefault(unit[3], []).append(k)
-    letters: dict[bytes, str] = {}
+    letters = {w: k + 1 if k < 0xD7FF else k + 0x801 for k, w in enumerate(dict.fromkeys(w for text in same for w in text.split()))}
+    # one letter per word; a shard with more words than there are letters spells with numbers
+    plain = len(letters) <= LETTERS
     spelled, lows = [], []
-    owner: dict[str, int] = {}
-    several: set[str] = set()
+    owner: dict[str | tuple, int] = {}
+    several: set[str | tuple] = set()
     for text, members in same.items():
         docs = {units[k][0] for k in members}
         low = min(docs)
-        word = "".join([letters.get(w) or letters.setdefault(w, chr(0x10000 + len(letters))) for w in text.split()])
+        numbers = [letters[w] for w in text.split()]
+        word = "".join(map(chr, numbers)) if plain else tuple(numbers)
         spelled.append(word)
         lows.append(low)
         for i in range(len(word) - window + 1):
@@ -209,7 +215,7 @@ def locate(units: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[
             elif before != low or len(docs) > 1:
                 several.add(phrase)
                 owner[phrase] = min(before, low)
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase in several:
         automaton.add_word(phrase, owner[phrase])
     if not several:
@@ -245,12 +251,14 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     def shards() -> Iterator[list]:
         shard: list[tuple[int, int, int, bytes]] = []
         last = None
+        size = 0
         for batch in batches:
             for mark, *unit in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if len(shard) >= SHARD_UNITS and mark != last:
+                if (len(shard) >= SHARD_UNITS or size >= SHARD_BYTES) and mark != last:
                     yield shard
-                    shard = []
+                    shard, size = [], 0
                 shard.append(tuple(unit))
+                size += len(unit[3])
                 last = mark
         if shard:
             yield shard
