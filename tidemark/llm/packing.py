@@ -34,12 +34,12 @@ BITS = 15  # per dimension, so that a key fits a signed long
 SEED = 42
 GRAM_BLOCK = 1 << 20
 TEXT_BLOCK = 1 << 20
-#: Words whose ids a Python worker remembers from one part of its texts to the next.
-CACHE_WORDS = 400_000
+#: Words of a generation whose ids a Python worker remembers; it holds two.
+CACHE_WORDS = 300_000
 #: Where a text can be cut without changing its tokens: a word and the space before it are never joined to what precedes.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: White space beside a space, where cutting at the space alone would not be safe.
-WIDE_SPACE = re.compile(r"\s | \s|^ | $")
+LINE_BREAK = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+LATIN_END = "\u0250"
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PROJECTION = np.random.default_rng(SEED).choice([-1.0, 1.0], (BUCKETS, DIMENSIONS))
 
@@ -105,51 +105,105 @@ def safe_blocks(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def safe_parts(text: str) -> list[str]:
-    """The text cut at all safe places."""
-    if WIDE_SPACE.search(text):
-        return SAFE_CUT.split(text)
+def split_parts(text: str) -> list[str]:
+    """The text cut before every space; safe unless a part is ``unsafe``."""
     first, *rest = text.split(" ")
     return [first, *[" " + word for word in rest]]
 
 
+def unsafe(part: str) -> bool:
+    """White space beside the space at which the part was cut: its neighbours may belong to one token."""
+    word = part[1:] if part[:1] == " " else part
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
+def atoms(part: str) -> list[str]:
+    """The part cut further: at line breaks between words, and before stops and commas that end a Latin word."""
+    found = []
+    for piece in LINE_BREAK.split(part) if "\n" in part else (part,):
+        word = piece.rstrip(".,")
+        if word and word != piece and word[-1].isalpha() and word[-1] < LATIN_END:
+            found += (word, piece[len(word) :])
+        else:
+            found.append(piece)
+    return found
+
+
 class WordTokens:
-    """Token ids of texts as little-endian 32-bit numbers; the ids of words met lately are remembered."""
+    """Token ids of texts as little-endian 32-bit numbers; the ids of words met lately are remembered.
+
+    Tokens are bytes, so their lengths tell where a word's ids end.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        words = self.model.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():
+            self.sizes[i] = len(word)  # a byte-level vocabulary has one character per byte
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text: those of its parts between safe cuts, one after the other."""
-        found = []
+        found: list[bytes | None] = []
         held = []
         for text in texts:
-            blocks = list(safe_blocks(text))
-            if len(blocks) > 1:
-                found.append(b"".join(self._joined([safe_parts(block)])[0] for block in blocks))
-                continue
-            held.append(safe_parts(text))
-            found.append(None)
+            if len(text) > TEXT_BLOCK:
+                found.append(b"".join(self._joined([block])[0] for block in safe_blocks(text)))
+            else:
+                held.append(text)
+                found.append(None)
         whole = iter(self._joined(held))
         return [next(whole) if ids is None else ids for ids in found]
 
-    def _joined(self, texts: list[list[str]]) -> list[bytes]:
-        need = set().union(*texts)
-        new = list(need - self.known.keys())
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, encoded in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[part] = array.array("I", encoded.ids).tobytes()
-        joined = [b"".join(map(self.known.__getitem__, parts)) for parts in texts]
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        parts = [split_parts(text) for text in texts]
+        need = set().union(*parts)
+        new = self._unknown(need)
+        if wide := {part for part in new if unsafe(part)}:
+            parts = [p if wide.isdisjoint(p) else SAFE_CUT.split(text) for p, text in zip(parts, texts)]
+            need = set().union(*parts)
+            new = self._unknown(need)
+        cut = {part: atoms(part) for part in new}
+        self._learn(self._unknown(set().union(*cut.values())))
+        for part, pieces in cut.items():
+            if len(pieces) > 1:
+                self.known[part] = b"".join(map(self.known.__getitem__, pieces))
+        joined = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         if len(self.known) > CACHE_WORDS:
-            # what these texts used is the best guess of what the next ones need
-            self.known = {part: self.known[part] for part in need if len(part) <= 64}
+            self.older = {part: ids for part, ids in self.known.items() if len(part) <= 64}
+            self.known = {}
         return joined
 
+    def _unknown(self, need: set[str]) -> set[str]:
+        """Those without ids; those met a generation ago are among the known ones again."""
+        new = need - self.known.keys()
+        if again := new & self.older.keys():
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            new -= again
+        return new
+
+    def _learn(self, new: set[str]) -> None:
+        """Add the ids of these parts. Parts that begin with a space are encoded together: cuts before them are safe."""
+        spaced = [part for part in new if part[:1] == " " and not unsafe(part)]
+        for at in range(0, len(spaced), 1024):
+            some = spaced[at : at + 1024]
+            (encoded,) = self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.cumsum([len(part.encode()) for part in some])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)
+            data, start = ids.tobytes(), 0
+            for part, stop in zip(some, cuts.tolist()):
+                self.known[part] = data[start:stop]
+                start = stop
+        others = list(new.difference(spaced))
+        for part, encoded in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False)):
+            self.known[part] = array.array("I", encoded.ids).tobytes()
+
 
 @functools.lru_cache(maxsize=1)
 def _tokens(path: str) -> WordTokens:
