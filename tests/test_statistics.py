@@ -154,21 +154,39 @@ def test_recalibration_weight_for_empty_source(spark):
     assert out == {"a": 2.0, "b": 1.0, "c": 0.5}
 
 
-def test_co_occurrence_matches_pairs_across_blocks(spark, monkeypatch):
+def test_correlated_pairs_are_those_of_all_pairs_and_few_are_counted(spark):
     rng = np.random.default_rng(2)
-    rows = [(s, 0, 2020 + s % 2, f"f{f:02d}") for s in range(60) for f in range(12) if rng.random() < 0.4]
-    long = spark.createDataFrame(rows, "person_id int, end_date int, year int, feature string")
+    rows = set()
+    for year in (2020, 2021):
+        people = np.arange(400)
+        for family in range(12):
+            base = set(rng.choice(people, rng.integers(2, 300), replace=False).tolist())
+            for member in range(4):
+                drop = set(rng.choice(sorted(base), rng.integers(0, 1 + len(base) // 20), replace=False).tolist())
+                more = set(rng.choice(people, rng.integers(0, 4), replace=False).tolist())
+                rows |= {(p, 0, year, f"f{family:02d}_{member}") for p in (base - drop) | more}
+        rows |= {(p, 0, year, "all") for p in people.tolist()} | {(1, 0, year, "rare"), (1, 0, year, "rare too")}
+    long = spark.createDataFrame(sorted(rows), "person_id int, end_date int, year int, feature string")
+    samples = spark.createDataFrame([(p, 0, y) for p in range(400) for y in (2020, 2021)], "person_id int, end_date int, year int")
     names = long.select("feature").distinct()
-    got = {(r.year, *sorted((r.feature_1, r.feature_2))): r.n_both for r in shift.co_occurrence(long, names, "year").collect()}
     sets = {}
-    for s, _, year, f in rows:
-        sets.setdefault((year, f), set()).add(s)
-    expected = {}
-    for (ya, a), sa in sets.items():
-        for (yb, b), sb in sets.items():
-            if ya == yb and a < b and sa & sb:
-                expected[(ya, a, b)] = len(sa & sb)
-    assert got == expected
+    for p, _, year, f in rows:
+        sets.setdefault((year, f), set()).add(p)
+    pairs = [(y, a, b) for (y, a) in sets for (z, b) in sets if y == z and a < b]
+
+    def phi(y, a, b):
+        f, g, common = len(sets[y, a]), len(sets[y, b]), len(sets[y, a] & sets[y, b])
+        spread = f * (400 - f) * g * (400 - g)
+        return (400 * common - f * g) / spread**0.5 if spread else 0
+
+    for gap, r in ((100, 0.95), (3, 0.8), (1000, 0.5)):
+        expected = {(y, a, b): len(sets[y, a] & sets[y, b]) for y, a, b in pairs if phi(y, a, b) > r and abs(len(sets[y, a]) - len(sets[y, b])) <= gap}
+        found = shift.correlated_pairs(long, samples, names, gap, r).collect()
+        assert {(x.year, *sorted((x.feature_1, x.feature_2))): x.n_both for x in found} == expected
+        assert all((-len(sets[x.year, x.feature_1]), x.feature_1) < (-len(sets[x.year, x.feature_2]), x.feature_2) for x in found)
+    sizes = samples.groupBy("year").count().withColumnRenamed("count", "n")
+    counted = shift.candidate_pairs(shift.feature_prefixes(long, sizes, 100, 0.95, "year"), 100, 0.95, "year").count()
+    assert counted < sum(bool(sets[y, a] & sets[y, b]) for y, a, b in pairs) / 4
 
 
 def test_prune_keeps_a_feature_whose_better_partner_is_out(spark):

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import age_band, bin_index, clip
-from tidemark.functions.ranking import exact_percentiles, hash_rank, join_on, running_sums
+from tidemark.functions.ranking import exact_percentiles, join_on, running_sums
 from tidemark.operators import hypothesis as hy
 from tidemark.operators import resampling as rs
 from tidemark.operators.features import SEPARATOR, name_part
@@ -324,50 +323,58 @@ def min_frequency_both_years(long: DataFrame, years: tuple[int, int], least: int
     return counts.where((F.col("freq_1") > least) & (F.col("freq_2") > least))
 
 
-_BLOCK = 512
+def _least_common(n: Column, f: Column, g: Column, r: float) -> Column:
+    """Least number of common samples with which features of f and g among n samples correlate above r."""
+    bound = (r * F.sqrt(f * (n - f)) * F.sqrt(g * (n - g)) + f * g) / n
+    return F.greatest(F.floor(bound - 1e-6) + 1, F.lit(1))  # the margin is for rounding: it only lets more pairs through
 
 
-def co_occurrence(long: DataFrame, features: DataFrame, by: str, keys: Sequence[str] = SAMPLE) -> DataFrame:
-    """Samples in which two features occur together, for all pairs of the listed features.
+def feature_prefixes(long: DataFrame, sizes: DataFrame, gap: int, r: float, by: str, keys: Sequence[str] = SAMPLE) -> DataFrame:
+    """The rarest samples of each feature: two features that correlate above r share one of them.
 
-    A sample becomes one row with the ids of its features; each task multiplies
-    indicator blocks with numpy and sends only the summed blocks, so no pair of a
-    sample is ever written out.
+    Returns by, keys, feature, n, f, and below, the number of samples of the feature that
+    are surely earlier in the order. Samples are ordered by how many features they have, then by
+    hash; a feature of f samples whose partners have at least t in common with it needs the
+    first f - t + 1. The order is cut into steps, so nothing is sorted: the step in which that many are
+    reached belongs to the prefix as a whole.
     """
-    index = hash_rank(features.select("feature").distinct(), ["feature"]).select("feature", (F.col("rank") - 1).cast("int").alias("_id"))
-    index = materialize(index)
-    rows = long.join(index, "feature").groupBy(by, *keys).agg(F.sort_array(F.collect_set("_id")).alias("ids"))
-    schema = f"{by} {dict(long.dtypes)[by]}, i int, j int, n bigint"
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for group, part in batch.groupby(by):
-                lengths = part["ids"].map(len).to_numpy()
-                row = np.repeat(np.arange(len(part)), lengths)
-                ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in part["ids"]])
-                block = ids // _BLOCK
-                dense = {}
-                for b in np.unique(block):
-                    held = block == b
-                    dense[b] = np.zeros((len(part), _BLOCK), dtype=np.float32)
-                    dense[b][row[held], ids[held] % _BLOCK] = 1
-                for a in dense:
-                    for b in dense:
-                        if a <= b:
-                            product = (dense[a].T @ dense[b]).astype(np.int64)
-                            key = (group, int(a), int(b))
-                            sums[key] = sums[key] + product if key in sums else product
-        for (group, a, b), total in sums.items():
-            i, j = np.nonzero(total)
-            left, right = a * _BLOCK + i, b * _BLOCK + j
-            keep = left < right
-            yield pd.DataFrame({by: group, "i": left[keep], "j": right[keep], "n": total[i, j][keep]})
-
-    pairs = rows.select(by, "ids").mapInPandas(multiply, schema).groupBy(by, "i", "j").agg(F.sum("n").alias("n_both"))
-    first = index.select(F.col("_id").alias("i"), F.col("feature").alias("feature_1"))
-    second = index.select(F.col("_id").alias("j"), F.col("feature").alias("feature_2"))
-    return pairs.join(first, "i").join(second, "j").select(by, "feature_1", "feature_2", "n_both")
+    held = long.groupBy(by, *keys).agg(F.count(F.lit(1)).alias("_held"))
+    # a table of its own, so that the join can split a feature or a sample that very many rows have
+    held = materialize(held.withColumn("step", F.col("_held") * 64 + F.pmod(F.xxhash64(*keys), F.lit(64))).drop("_held"))
+    stepped = materialize(long.select(by, *keys, "feature").join(held, [by, *keys]))
+    counts = stepped.groupBy(by, "feature", "step").agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy(by, "feature")
+    before = along.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("f", F.sum("c").over(along)).withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    n, f = F.col("n").cast("double"), F.col("f").cast("double")
+    counts = counts.join(sizes, by).where("f < n")  # what every sample has correlates with nothing
+    # the common samples are at most the smaller feature, which bounds a partner's size on both sides
+    least = F.greatest(F.lit(1.0), f - gap, F.floor(r * r * f * n / (n - f + r * r * f)))
+    most = F.least(n - 1, f + gap, F.ceil(f * n / (f + r * r * (n - f))))
+    # between the two sizes the number needed in common is concave, so it is least at one of them
+    common = F.least(_least_common(n, f, least, r), _least_common(n, f, most, r))
+    steps = materialize(counts.where(F.col("below") <= f - common).select(by, "feature", "step", "n", "f", "below"))
+    return stepped.join(steps, [by, "feature", "step"]).drop("step")
+
+
+def candidate_pairs(prefixes: DataFrame, gap: int, r: float, by: str, keys: Sequence[str] = SAMPLE) -> DataFrame:
+    """Pairs of features (by name) that share a prefix sample, and whose sizes and places there leave room for a correlation above r."""
+    named = [F.col(c).alias(f"{c}_1") for c in ("feature", "f", "below")]
+    other = [F.col(c).alias(f"{c}_2") for c in ("feature", "f", "below")]
+    met = prefixes.select(by, *keys, "n", *named).join(prefixes.select(by, *keys, *other), [by, *keys])
+    n, f1, f2 = (F.col(c).cast("double") for c in ("n", "f_1", "f_2"))
+    room = F.least(f1 - F.col("below_1"), f2 - F.col("below_2"))  # had this been the first common sample
+    fits = (F.col("feature_1") < F.col("feature_2")) & (F.abs(f1 - f2) <= gap) & (_least_common(n, f1, f2, r) <= room)
+    return met.where(fits).select(by, "feature_1", "feature_2", "n", "f_1", "f_2").distinct()
+
+
+def co_occurrence(long: DataFrame, pairs: DataFrame, by: str, keys: Sequence[str] = SAMPLE) -> DataFrame:
+    """n_both, the samples in which both features of a pair occur, for the given pairs (all their columns are kept)."""
+    first = long.select(by, *keys, F.col("feature").alias("feature_1"))
+    second = long.select(by, *keys, F.col("feature").alias("feature_2"))
+    both = pairs.select(by, "feature_1", "feature_2").join(first, [by, "feature_1"]).join(second, [by, "feature_2", *keys])
+    counts = both.groupBy(by, "feature_1", "feature_2").agg(F.count(F.lit(1)).alias("n_both"))
+    return pairs.join(counts, [by, "feature_1", "feature_2"])
 
 
 def correlated_pairs(
@@ -375,20 +382,18 @@ def correlated_pairs(
 ) -> DataFrame:
     """Pairs of features with close frequencies and correlation above r in some year.
 
-    ``feature_2`` is the one to leave out: the less frequent of the two, by name on ties.
+    A set-similarity join: features meet in the rarest samples that they have, pairs whose
+    sizes or places there rule the correlation out are dropped, and common samples are counted
+    for the pairs left. ``long`` has a sample and feature once. ``feature_2`` is the
+    one to leave out: the less frequent of the two, by name on ties.
     """
     sizes = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    counts = long.join(features.select("feature"), "feature", "left_semi").groupBy(by, "feature").agg(F.count(F.lit(1)).alias("f"))
-
-    def named(tag: str) -> DataFrame:
-        return counts.select(by, F.col("feature").alias(f"feature_{tag}"), F.col("f").alias(f"f{tag}"))
-
-    joined = co_occurrence(long, features, by).join(named("1"), [by, "feature_1"]).join(named("2"), [by, "feature_2"])
-    joined = joined.join(sizes, by)
-    f1, f2, n = (F.col(c).cast("double") for c in ("f1", "f2", "n"))
+    long = materialize(long.join(features.select("feature").distinct(), "feature", "left_semi").select(by, *SAMPLE, "feature"))
+    pairs = materialize(candidate_pairs(feature_prefixes(long, sizes, gap, r, by), gap, r, by))
+    f1, f2, n = (F.col(c).cast("double") for c in ("f_1", "f_2", "n"))
     phi = (n * F.col("n_both") - f1 * f2) / F.sqrt(f1 * (n - f1) * f2 * (n - f2))
-    close = joined.withColumn("correlation", phi).where((F.abs(f1 - f2) <= gap) & (F.col("correlation") > r))
-    swap = (F.col("f2") > F.col("f1")) | ((F.col("f2") == F.col("f1")) & (F.col("feature_2") < F.col("feature_1")))
+    close = co_occurrence(long, pairs, by).withColumn("correlation", phi).where(F.col("correlation") > r)
+    swap = f2 > f1
     kept = F.when(swap, F.col("feature_2")).otherwise(F.col("feature_1"))
     left_out = F.when(swap, F.col("feature_1")).otherwise(F.col("feature_2"))
     return close.select(by, kept.alias("feature_1"), left_out.alias("feature_2"), "n_both", "correlation")
