@@ -40,8 +40,24 @@ def test_trees_forests_and_boosted_trees(asked):
     assert [(e.getMinInstancesPerNode(), e.getMaxDepth()) for e in trees] == [(n, 30) for n in (10, 25, 100)]
     forests = asked("m03_train_forest")
     assert [(e.getNumTrees(), e.getMinInstancesPerNode(), e.getMaxDepth()) for e in forests] == [(t, n, 30) for t in (10, 25, 100) for n in (10, 25, 100)]
-    boosted = asked("m04_train_boosted")
-    assert [(e.getMaxIter(), e.getMaxDepth()) for e in boosted] == [(t, d) for t in (10, 25, 100) for d in (3, 6, 10)]
+
+
+def test_boosted_trees_try_every_prefix_of_three_fits(spark, monkeypatch):
+    plans.load_all()
+    data = spark.createDataFrame(ROWS, ["person_id", "year", "split", "y", "features"])
+    monkeypatch.setattr(model_queries, "assembled", lambda r, **_: (data, ["a"], None))
+    asked = []
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda e, rows: asked.append((e.getMaxIter(), e.getMaxDepth())) or e)
+    monkeypatch.setattr(models, "first_trees", lambda model, count: (count, model.getMaxDepth()))
+
+    def stop(candidates, *_):
+        raise Asked(candidates)
+
+    monkeypatch.setattr(models, "best_of", stop)
+    with pytest.raises(Asked) as seen:
+        QUERIES["m04_train_boosted"](None)
+    assert set(asked) == {(100, d) for d in (3, 6, 10)}
+    assert seen.value.args[0] == [(t, d) for t in (10, 25, 100) for d in (3, 6, 10)]
 
 
 def test_domain_classifier_tries_every_c(asked):

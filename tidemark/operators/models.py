@@ -7,21 +7,25 @@ by the exact AUC, the earliest candidate winning ties.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Sequence
+import functools
+import operator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import auc, select_by_validation
@@ -60,21 +64,23 @@ def class_weighted(train: DataFrame, weight_col: str | None = None) -> tuple[Dat
     return weighted, weighted.agg(F.sum("weight")).first()[0]
 
 
-def choose(
-    estimators: Sequence[Estimator], train: DataFrame, valid: DataFrame, weight_col: str | None = None
-) -> tuple[Model, int, float]:
-    """Fit all candidates, score them in one pass, and return the best with its position and AUC."""
-    with ThreadPool(min(PARALLEL_FITS, len(estimators))) as pool:
-        models = pool.map(lambda e: e.fit(train), estimators)
+def best_of(models: Sequence[Model], valid: DataFrame, weight_col: str | None = None) -> tuple[Model, int, float]:
+    """Score all models in one pass and return the best with its position and AUC."""
     columns = ["y"] + ([weight_col] if weight_col else [])
     parts = [score(m, valid.select("features", *columns)).select(*columns, "score", F.lit(i).alias("candidate")) for i, m in enumerate(models)]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+    stacked = functools.reduce(DataFrame.unionByName, parts)
     best = select_by_validation(auc(stacked, "score", ["candidate"], weight_col), "auc", "candidate").first()
     return models[best["candidate"]], best["candidate"], best["auc"]
 
 
+def choose(
+    estimators: Sequence[Estimator], train: DataFrame, valid: DataFrame, weight_col: str | None = None
+) -> tuple[Model, int, float]:
+    """Fit all candidates and return the best with its position and AUC."""
+    with ThreadPool(min(PARALLEL_FITS, len(estimators))) as pool:
+        return best_of(pool.map(lambda e: e.fit(train), estimators), valid, weight_col)
+
+
 def train_logreg(
     train: DataFrame,
     valid: DataFrame,
@@ -148,10 +154,51 @@ def train_boosted(
     sizes = train.agg(F.sum((1 - F.col("y")) * given).alias("n0"), F.sum(F.col("y") * given).alias("n1")).first()
     weight = F.when(F.col("y") == 1, sizes["n0"] / sizes["n1"]).otherwise(1.0)
     weighted = materialize(train.withColumn("_weight", weight * given))
-    estimators = [
-        GBTClassifier(labelCol="y", weightCol="_weight", maxIter=t, maxDepth=d, seed=0) for t in trees for d in depths
-    ]
-    return choose(estimators, weighted, valid, weight_col)
+    longest = [GBTClassifier(labelCol="y", weightCol="_weight", maxIter=max(trees), maxDepth=d, seed=0) for d in depths]
+    with ThreadPool(len(longest)) as pool:
+        fitted = pool.map(lambda e: e.fit(weighted), longest)
+    return best_of([first_trees(model, t) for t in trees for model in fitted], valid, weight_col)
+
+
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The model of the first trees: what a fit of so many iterations with the same seed gives, since boosting only appends."""
+    jvm = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i, (tree, weight) in enumerate(zip(jvm.trees()[:count], jvm.treeWeights()[:count])):
+        trees[i], weights[i] = tree, weight
+    made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{count}", trees, weights)
+    return GBTClassificationModel(made)
+
+
+def imputation_models(
+    wide: DataFrame, present: DataFrame, important: Sequence[str], keys: Sequence[str] = ("person_id", "end_date"), fit: Callable = train_logreg
+) -> dict[str, Model]:
+    """A model per important feature that predicts it from other vectors (``features`` of ``wide``), fitted side by side.
+
+    ``present`` has a row per sample and feature. ``important`` is a short list of names.
+    """
+
+    def one(feature: str) -> Model:
+        has = present.where(F.col("feature") == feature).select(*keys).distinct().withColumn("_has", F.lit(1))
+        labelled = materialize(wide.drop("y").join(has, list(keys), "left").withColumn("y", F.coalesce("_has", F.lit(0))).drop("_has"))
+        return fit(labelled.where("split = 'train'"), labelled.where("split = 'valid'"))[0]
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return dict(zip(important, pool.map(one, important)))
+
+
+def imputed_features(
+    wide: DataFrame, present: DataFrame, models: dict[str, Model], threshold: float = 0.5, keys: Sequence[str] = ("person_id", "end_date")
+) -> DataFrame:
+    """keys and feature, once each: the present features, and the important ones that their models predict in one pass over the samples."""
+    scored = wide
+    for i, model in enumerate(models.values()):
+        scored = score(model, scored, f"_p{i}")
+    flags = [F.when(F.col(f"_p{i}") >= threshold, F.lit(name)) for i, name in enumerate(models)]
+    predicted = scored.select(*keys, F.explode(F.array_compact(F.array(*flags))).alias("feature"))
+    return present.select(*keys, "feature").unionByName(predicted).distinct()
 
 
 def models_per_year(
@@ -205,29 +252,78 @@ def inferential_logreg(samples: DataFrame, names: Sequence[str]) -> tuple[Model,
     return model, samples.sparkSession.createDataFrame(rows, schema)
 
 
-_CONDITION = re.compile(r"^(\s*)(If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)$")
+@dataclass(frozen=True)
+class Step:
+    """One condition on a feature: at most or above a threshold, or (not) among categories."""
+
+    feature: int
+    sign: str  # <=, >, in, not in
+    value: float | tuple[float, ...]
+
+    def holds(self, values: Column) -> Column:
+        """The condition on an array column of feature values."""
+        value = values[self.feature]
+        if self.sign in ("<=", ">"):
+            return value <= self.value if self.sign == "<=" else value > self.value
+        among = value.isin(*self.value)
+        return among if self.sign == "in" else ~among
+
+    def text(self, names: Sequence[str]) -> str:
+        value = self.value if isinstance(self.value, float) else "{" + ",".join(map(str, self.value)) + "}"
+        return f"{names[self.feature]} {self.sign} {value}"
+
+    def opposite(self) -> Step:
+        return Step(self.feature, {"<=": ">", ">": "<=", "in": "not in", "not in": "in"}[self.sign], self.value)
 
 
-def leaf_paths(model: DecisionTreeClassificationModel, names: Sequence[str]) -> list[list[str]]:
-    """Conditions on the way to each leaf, in the order in which the model numbers its leaves."""
-    path: list[tuple[int, str]] = []
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf of a fitted tree: its number, the conditions on the way to it, and P(y = 1)."""
+
+    number: int
+    steps: tuple[Step, ...]
+    probability: float
+
+
+def _walk(node, steps: tuple[Step, ...]) -> Iterator[tuple[tuple[Step, ...], object]]:
+    """The leaves below a node of the model's tree, left to right."""
+    if node.subtreeDepth() == 0:
+        yield steps, node
+        return
+    split = node.split()
+    if split.getClass().getSimpleName() == "ContinuousSplit":
+        left = Step(split.featureIndex(), "<=", float(split.threshold()))
+    else:
+        left = Step(split.featureIndex(), "in", tuple(float(c) for c in split.leftCategories()))
+    yield from _walk(node.leftChild(), (*steps, left))
+    yield from _walk(node.rightChild(), (*steps, left.opposite()))
+
+
+def tree_leaves(model: DecisionTreeClassificationModel) -> list[Leaf]:
+    """All leaves, numbered as the model's leaf column numbers them."""
     leaves = []
-    for line in model.toDebugString.splitlines():
-        found = _CONDITION.match(line)
-        if found:
-            depth = len(found.group(1))
-            path = [step for step in path if step[0] < depth]
-            path.append((depth, f"{names[int(found.group(3))]} {found.group(4)} {found.group(5)}"))
-        elif "Predict:" in line:
-            depth = len(line) - len(line.lstrip())
-            leaves.append([text for d, text in path if d < depth])
+    for number, (steps, node) in enumerate(_walk(model._java_obj.rootNode(), ())):
+        stats = node.impurityStats().stats()
+        leaves.append(Leaf(number, steps, stats[1] / (stats[0] + stats[1])))
     return leaves
 
 
+def in_leaves(leaves: Sequence[Leaf], values: Column) -> Column:
+    """Whether the array of feature values belongs to one of the leaves: a plain filter, without the model."""
+    paths = [functools.reduce(operator.and_, [step.holds(values) for step in leaf.steps], F.lit(True)) for leaf in leaves]
+    return functools.reduce(operator.or_, paths, F.lit(False))
+
+
+def leaves_text(leaves: Sequence[Leaf], names: Sequence[str]) -> str:
+    """The rule of a set of leaves: their paths, one or the other."""
+    paths = [" AND ".join(step.text(names) for step in leaf.steps) or "TRUE" for leaf in leaves]
+    return paths[0] if len(paths) == 1 else " OR ".join(f"({path})" for path in paths) or "FALSE"
+
+
 def tree_leaf_counts(model: DecisionTreeClassificationModel, samples: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per leaf: the path, and positives and rows of train and validation."""
     paths = samples.sparkSession.createDataFrame(
-        [(i, p) for i, p in enumerate(leaf_paths(model, names))], "leaf int, path array<string>"
+        [(leaf.number, [step.text(names) for step in leaf.steps]) for leaf in tree_leaves(model)], "leaf int, path array<string>"
     )
     placed = model.setLeafCol("_leaf").transform(samples).withColumn("leaf", F.col("_leaf").cast("int"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hash32, ratio
@@ -12,6 +12,7 @@ from tidemark.functions.ranking import exact_percentiles, hash_rank, join_on
 from tidemark.operators import hypothesis as hy
 from tidemark.operators import resampling as rs
 from tidemark.operators.metrics import auc, eval_predictions
+from tidemark.operators.models import Leaf, leaves_text
 from tidemark.session import materialize
 
 # Least rows per label in test and in train + valid, and the region's share of the samples.
@@ -110,11 +111,20 @@ def age_region(samples: DataFrame, bound: float, sign: int) -> DataFrame:
     return samples.withColumn("region", (age >= bound if sign > 0 else age <= bound).cast("int"))
 
 
-def top_features(coefficients: DataFrame, by: Sequence[str], k: int = 5, skip: Sequence[str] = ("Y",)) -> DataFrame:
-    """The k features with the largest absolute non-zero coefficient per group."""
-    used = coefficients.where((F.col("coefficient") != 0) & ~F.col("feature").isin(*skip))
-    order = Window.partitionBy(*by).orderBy(F.desc(F.abs("coefficient")), "feature")
-    return used.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+def top_features(
+    coefficients: DataFrame, by: Sequence[str] = (), k: int = 5, skip: Sequence[str] = ("Y",), year: str = "year"
+) -> DataFrame:
+    """Per group and year those of the k features with the largest absolute non-zero coefficient that make a new region.
+
+    Skipped names keep their place among the k. A region, a feature with the sign of its
+    coefficient, is new in the first year that has it among its k: what a later year
+    finds again was either used or found in the year before, so the first year decides.
+    """
+    order = Window.partitionBy(*by, year).orderBy(F.desc(F.abs("coefficient")), "feature")
+    placed = coefficients.where(F.col("coefficient") != 0).withColumn("position", F.row_number().over(order))
+    found = placed.where((F.col("position") <= k) & ~F.col("feature").isin(*skip))
+    again = Window.partitionBy(*by, "feature", F.col("coefficient") > 0)
+    return found.withColumn("_first", F.min(year).over(again)).where(F.col("_first") == F.col(year)).drop("_first")
 
 
 def age_bound(samples: DataFrame, sign: int, by: Sequence[str] = ()) -> DataFrame:
@@ -141,6 +151,22 @@ def region_catalog(features: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("year", "feature", "file_key", "_r.inside", "_r.region_label", "_r.rule")
 
 
+def leaf_region_catalog(session: SparkSession, trees: dict[int, Sequence[Leaf]], names: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Both sides of the region of each year's tree: the leaves at or above the threshold, and all others.
+
+    year, inside, region_label, file_key, leaves (their numbers) and rule (their paths).
+    """
+    rows = []
+    for year, leaves in trees.items():
+        for inside in (1, 0):
+            side = [leaf for leaf in leaves if (leaf.probability >= threshold) == bool(inside)]
+            word = "in" if inside else "not in"
+            key = f"pred_{word.replace(' ', '_')}_{year}"
+            rows.append((year, inside, f"predicted {word} {year}", key, [leaf.number for leaf in side], leaves_text(side, names)))
+    schema = "year int, inside int, region_label string, file_key string, leaves array<int>, rule string"
+    return session.createDataFrame(rows, schema)
+
+
 def age_region_catalog(bounds: DataFrame) -> DataFrame:
     """Both sides of each age region, from rows with coefficient and age_bound: label, file key and rule."""
     bound = F.col("age_bound").cast("bigint").cast("string")

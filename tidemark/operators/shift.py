@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import age_band, bin_index, clip
+from tidemark.functions.expressions import age_band, bin_index, clip, ratio
 from tidemark.functions.ranking import exact_percentiles, join_on, running_sums
 from tidemark.operators import hypothesis as hy
 from tidemark.operators import resampling as rs
@@ -138,19 +138,38 @@ def impute_missing_feature(samples: DataFrame, feature: str, predicted: str, thr
     return samples.withColumn(f"{feature}_imputed", filled)
 
 
+def cell_rates(train: DataFrame, by: Sequence[str], cell: str, label: str) -> DataFrame:
+    """The saturated logistic regression of a 0/1 label on one indicator: ``rate``, and ``balanced`` for balanced classes, per group and cell."""
+    cells = train.groupBy(*by, cell).agg(F.sum(label).alias("_a"), F.sum(1 - F.col(label)).alias("_b"))
+    sizes = train.groupBy(*by).agg(F.sum(label).alias("_n1"), F.sum(1 - F.col(label)).alias("_n0"))
+    a, b = F.col("_a") * F.col("_n0"), F.col("_b") * F.col("_n1")
+    rates = [ratio(F.col("_a"), F.col("_a") + F.col("_b")).alias("rate"), ratio(a, a + b).alias("balanced")]
+    return join_on(cells, sizes, list(by)).select(*by, cell, *rates)
+
+
+def by_fit(samples: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Every sample once for the fit of its own year (``fit`` 'current') and once for that of the year before ('previous'), where there is one."""
+    lags = F.array(*[F.struct(F.lit(n).alias("fit"), (F.col("year") - k).alias("fit_year")) for k, n in enumerate(("current", "previous"))])
+    both = samples.withColumn("_l", F.explode(lags)).select("*", "_l.*").drop("_l")
+    return both.join(fitted.select(F.col("year").alias("fit_year")).distinct(), "fit_year", "left_semi")
+
+
+def with_rate(samples: DataFrame, fitted: DataFrame, cell: str, rate: str, name: str) -> DataFrame:
+    """Samples of ``by_fit`` with the rate of their cell in that year's fit; 0 for a cell that the fit never met."""
+    rates = fitted.select(F.col("year").alias("fit_year"), cell, F.col(rate).alias(name))
+    return samples.join(rates, ["fit_year", cell], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def imputation_counts(samples: DataFrame, feature: str, by: Sequence[str]) -> DataFrame:
     return samples.groupBy(*by).agg(
         F.sum(feature).alias("num_before"), F.sum(f"{feature}_imputed").alias("num_after"), F.count(F.lit(1)).alias("num_samples")
     )
 
 
-def metrics_by_variant(scores: DataFrame, variants: dict[str, str], by: Sequence[str]) -> DataFrame:
-    """AUC of several score columns side by side in long form (raw and imputed, old and new model, ...)."""
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("score")) for n, c in variants.items()])
-    )
-    rows = scores.withColumn("_v", stacked).select(*by, "y", "_v.*")
-    return auc(rows, "score", [*by, "variant"])
+def variants(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Several score columns in long form: ``variant`` and ``score`` (raw and imputed, old and new model, ...)."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("score")) for n, c in columns.items()]))
+    return scores.withColumn("_v", stacked).select("*", "_v.*").drop("_v")
 
 
 def three_way_evaluation(scores: DataFrame, year: int, by: Sequence[str] = ()) -> DataFrame:

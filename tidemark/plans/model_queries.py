@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, models, regions, shift
@@ -152,14 +153,18 @@ def score_samples(r):
     return materialize(vectors), [*names, "current score"]
 
 
-def fit_region(data, year):
-    """A tree that predicts where the previous model is farther off in one year."""
+def region_pool(data, year):
+    """Samples of one year, labelled where the previous model is farther off, split into train and validation; None for too few."""
     labelled = regions.calibration_error_label(data.where(F.col("year") == year))
     enough = regions.error_dataset(labelled, ["year"])
     pool = regions.label_stratified_resplit(enough, ["sample_id"], ["year"], seed=SEED).withColumn("y", F.col("label"))
-    if pool.isEmpty():
-        return None
-    return models.train_decision_tree(pool.where("split = 'train'"), pool.where("split = 'valid'"))
+    return None if pool.isEmpty() else pool
+
+
+def fit_region(data, year):
+    """A tree that predicts where the previous model is farther off in one year."""
+    pool = region_pool(data, year)
+    return pool and models.train_decision_tree(pool.where("split = 'train'"), pool.where("split = 'valid'"))
 
 
 def fit_regions(data):
@@ -180,6 +185,33 @@ def _(r):
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("r11_leaf_region_catalog")
+def _(r):
+    data, names = score_samples(r)
+    trees = {year: models.tree_leaves(model) for year, (model, _, _) in fit_regions(data).items()}
+    catalog = regions.leaf_region_catalog(data.sparkSession, trees, names)
+    # the rule of a region as a filter on the samples of its year
+    values = data.withColumn("_values", vector_to_array("features"))
+    sizes = []
+    for year, leaves in trees.items():
+        inside = models.in_leaves([leaf for leaf in leaves if leaf.probability >= 0.5], F.col("_values"))
+        side = values.where(F.col("year") == year).select("year", inside.cast("int").alias("inside"))
+        sizes.append(side.groupBy("year", "inside").agg(F.count(F.lit(1)).alias("num_samples")))
+    counts = functools.reduce(DataFrame.unionByName, sizes)
+    return catalog.join(counts, ["year", "inside"], "left").withColumn("leaves", F.concat_ws(",", "leaves"))
+
+
+@query("r18_interpretable_leaves")
+def _(r):
+    data, names = score_samples(r)
+    parts = []
+    for year, (model, _, _) in fit_regions(data).items():
+        leaves = models.tree_leaf_counts(model, region_pool(data, year).where("split IN ('train', 'valid')"), names)
+        kept = regions.interpretable_leaves(leaves, max_depth=models.MAX_DEPTH)
+        parts.append(kept.select(F.lit(year).alias("year"), "leaf", "valid_size", "valid_positive", "rule", "share"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("r17_subpopulation_scan")
 def _(r):
     data, _ = score_samples(r)
@@ -209,6 +241,57 @@ def _(r):
     return models.coefficient_table(model, names, data).where("coefficient <> 0")
 
 
+IMPORTANT = 3
+
+
+def imputation_task(r, prev=1998, curr=1999):
+    """Samples of two years with their present 30-day features, vectors of both windows, the vocabulary, and the features to impute."""
+    rows = materialize(samples(r).where(F.col("year").isin(prev, curr)))
+    long = materialize(long_samples(r, (30, 365), sampled=rows))
+    frequent = features.keep_features(long, features.frequent_features(long, 300))
+    short, wide = (materialize(frequent.where(F.col("feature").endswith(f" - {days} days"))) for days in (30, 365))
+
+    def vectors(part):
+        names = [row["feature"] for row in part.select("feature").distinct().orderBy("feature").collect()]
+        return materialize(features.assemble(rows, part, names)), names
+
+    (raw, names), (other, _) = vectors(short), vectors(wide)
+    order = short.where((F.col("year") == prev) & (F.col("split") == "train")).groupBy("feature").count().orderBy(F.desc("count"), "feature")
+    return rows, short, raw, other, names, [row["feature"] for row in order.limit(IMPORTANT).collect()]
+
+
+@query("x06_impute_by_models")
+def _(r):
+    """How often the most frequent 30-day features occur before and after imputation by models of the earlier year."""
+    rows, short, _, wide, _, important = imputation_task(r)
+    fitted = models.imputation_models(wide.where("year = 1998"), short, important)
+    filled = models.imputed_features(wide, short, fitted).join(rows, ["person_id", "end_date"])
+
+    def counts(long, name):
+        return long.where(F.col("feature").isin(important)).groupBy("year", "split", "feature").agg(F.count(F.lit(1)).alias(name))
+
+    sizes = rows.groupBy("year", "split").agg(F.count(F.lit(1)).alias("num_samples"))
+    after = counts(filled, "num_after").join(counts(short, "num_before"), ["year", "split", "feature"], "left")
+    return after.join(sizes, ["year", "split"]).withColumn("num_before", F.coalesce("num_before", F.lit(0)))
+
+
+@query("x07_imputation_models_effect")
+def _(r):
+    """The earlier year's model on both years and the later year's on its own, raw and imputed by models of the same year."""
+    rows, short, raw, wide, names, important = imputation_task(r)
+    parts = []
+    for fit_year, years in ((1998, (1998, 1999)), (1999, (1999,))):
+        model, _, _ = models.train_logreg(*one_year(raw, fit_year)[:2])
+        fitted = models.imputation_models(wide.where(F.col("year") == fit_year), short, important)
+        test = rows.where((F.col("split") == "test") & F.col("year").isin(*years))
+        filled = models.imputed_features(wide.join(test.select("person_id", "end_date"), ["person_id", "end_date"], "left_semi"), short, fitted)
+        imputed = features.assemble(test, filled, names)
+        for variant, frame in (("raw", raw.where((F.col("split") == "test") & F.col("year").isin(*years))), ("imputed", imputed)):
+            scored = models.score(model, frame).select("year", "y", "score", F.lit(fit_year).alias("model_year"), F.lit(variant).alias("variant"))
+            parts.append(scored)
+    return me.eval_predictions(functools.reduce(DataFrame.unionByName, parts), by=["model_year", "year", "variant"])
+
+
 @query("x10_reweighted_model")
 def _(r):
     data, _, _ = assembled(r)

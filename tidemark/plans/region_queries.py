@@ -189,8 +189,10 @@ def log_odds(r, rows=None, sampled=None):
     )
 
 
-SQL_TOP = """topf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY abs(coefficient) DESC, feature) AS position
-    FROM coefs WHERE coefficient <> 0) WHERE position <= 5)"""
+SQL_TOP = """placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY abs(coefficient) DESC, feature) AS position
+    FROM coefs WHERE coefficient <> 0) WHERE position <= 5 AND feature <> 'Y'),
+    topf AS (SELECT * FROM placed r WHERE NOT EXISTS (SELECT 1 FROM placed e
+        WHERE e.year < r.year AND e.feature = r.feature AND (e.coefficient > 0) = (r.coefficient > 0)))"""
 
 
 @query(
@@ -198,7 +200,7 @@ SQL_TOP = """topf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y
     sql(*SQL_COEFS, SQL_TOP, select="SELECT year, feature, coefficient, position FROM topf"),
 )
 def _(r):
-    return regions.top_features(log_odds(r), ["year"], 5).select("year", "feature", "coefficient", "position")
+    return regions.top_features(log_odds(r), k=5).select("year", "feature", "coefficient", "position")
 
 
 @query(
@@ -229,7 +231,7 @@ def _(r):
     ),
 )
 def _(r):
-    top = regions.top_features(log_odds(r), ["year"], 5)
+    top = regions.top_features(log_odds(r), k=5)
     return regions.region_catalog(top, features.feature_catalog(top))
 
 
@@ -390,42 +392,6 @@ def _(r):
     return regions.region_cohort_rate(scores(r).withColumn("region", F.col("s_prev")))
 
 
-@query(
-    "r18_interpretable_leaves",
-    sql(
-        SQL_SCORES,
-        """leaves AS (SELECT year, CAST(floor(s_prev * 20) AS INT) AS leaf, region_name, nation_name,
-        count(*) FILTER (split = 'valid') AS valid_size, count(*) FILTER (split = 'valid' AND abs(s_prev - y) > 0.45E0) AS valid_positive
-        FROM (SELECT s.*, r.r_name AS region_name, n.n_name AS nation_name FROM sc s JOIN customer c ON c.c_custkey = s.person_id
-            JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey) GROUP BY 1, 2, 3, 4)""",
-        select="""SELECT year, leaf, valid_size, valid_positive, concat('region = ', region_name, ' AND nation = ', nation_name) AS rule,
-        round(valid_positive / CAST(valid_size AS DOUBLE), 6) AS share FROM leaves
-        WHERE valid_size > 5 AND valid_positive / CAST(valid_size AS DOUBLE) > 0.75E0 AND nation_name NOT LIKE '%1%'""",
-    ),
-)
-def _(r):
-    places = (
-        r["customer"]
-        .join(r["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(r["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("c_custkey").alias("person_id"), "r_name", "n_name")
-    )
-    valid = F.col("split") == "valid"
-    wrong = F.abs(F.col("s_prev") - F.col("y")) > 0.45
-    leaves = (
-        scores(r)
-        .join(places, "person_id")
-        .groupBy("year", F.floor(F.col("s_prev") * 20).cast("int").alias("leaf"), "r_name", "n_name")
-        .agg(
-            F.sum(valid.cast("int")).alias("valid_size"),
-            F.sum((valid & wrong).cast("int")).alias("valid_positive"),
-        )
-        .withColumn("path", F.array(F.concat(F.lit("region = "), "r_name"), F.concat(F.lit("nation = "), "n_name")))
-    )
-    kept = regions.interpretable_leaves(leaves, max_depth=2, min_size=5, unwanted="1")
-    return kept.select("year", "leaf", "valid_size", "valid_positive", "rule", "share")
-
-
 @query(
     "r11_age_region_catalog",
     sql(

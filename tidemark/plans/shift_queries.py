@@ -32,7 +32,7 @@ from tidemark.plans.metric_queries import (
     sql_entries_models,
 )
 from tidemark.plans.outcome_queries import SQL_SAMPLED, samples
-from tidemark.plans.region_queries import SQL_COEFS, log_odds
+from tidemark.plans.region_queries import _METRICS, SQL_COEFS, _sql_metrics, log_odds
 from tidemark.plans.registry import query, sql
 from tidemark.session import materialize
 
@@ -161,55 +161,75 @@ def _(r):
 # --------------------------------------------------------------- imputation
 
 _F30, _F365 = PROC.format(103, 30), PROC.format(103, 365)
+# The 30-day window is predicted from the 365-day one of the same procedure, the outcome from the 30-day one.
 SQL_IMPUTED = (
     *SQL_LONG[:-2],
     f"""marks AS (SELECT person_id, end_date, max(CASE WHEN feature = '{_F30}' THEN 1 ELSE 0 END) AS f30,
         max(CASE WHEN feature = '{_F365}' THEN 1 ELSE 0 END) AS f365 FROM long_all WHERE feature IN ('{_F30}', '{_F365}') GROUP BY 1, 2)""",
-    """flagged AS (SELECT s.person_id, s.end_date, s.year, s.split, s.y, coalesce(m.f30, 0) AS seen,
-        CASE WHEN m.f365 = 1 THEN 0.8E0 ELSE 0.1E0 END AS predicted
+    """flagged AS (SELECT s.person_id, s.end_date, s.year, s.split, s.y, coalesce(m.f30, 0) AS seen, coalesce(m.f365, 0) AS wide
         FROM samples s LEFT JOIN marks m ON m.person_id = s.person_id AND m.end_date = s.end_date)""",
-    "imputed AS (SELECT *, CASE WHEN seen = 1 OR predicted >= 0.5E0 THEN 1 ELSE 0 END AS seen_imputed FROM flagged)",
+    "classes AS (SELECT year, sum(seen) AS n1, sum(1 - seen) AS n0 FROM flagged WHERE split = 'train' GROUP BY 1)",
+    """wide_fit AS (SELECT f.year, wide, sum(seen) * max(n0) / nullif(CAST(sum(seen) * max(n0) + sum(1 - seen) * max(n1) AS DOUBLE), 0) AS p
+        FROM flagged f JOIN classes c USING (year) WHERE split = 'train' GROUP BY 1, 2)""",
+    "lagged AS (SELECT *, year AS fit_year, 'current' AS fit FROM flagged UNION ALL SELECT *, year - 1, 'previous' FROM flagged)",
+    """imputed AS (SELECT l.*, CASE WHEN seen = 1 OR coalesce(p, 0) >= 0.5E0 THEN 1 ELSE 0 END AS seen_imputed
+        FROM (SELECT * FROM lagged WHERE fit_year IN (SELECT year FROM classes)) l LEFT JOIN wide_fit w ON w.year = l.fit_year AND w.wide = l.wide)""",
 )
 
 
-def imputed(r):
+def flagged(r):
     rows = samples(r)
     present = long_samples(r, sampled=rows)
-    wide = present.where(F.col("feature").isin(_F30, _F365)).groupBy("person_id", "end_date").agg(
+    marks = present.where(F.col("feature").isin(_F30, _F365)).groupBy("person_id", "end_date").agg(
         F.max((F.col("feature") == _F30).cast("int")).alias("f30"), F.max((F.col("feature") == _F365).cast("int")).alias("f365")
     )
-    flagged = rows.join(wide, ["person_id", "end_date"], "left").withColumn("seen", F.coalesce("f30", F.lit(0)))
-    predicted = F.when(F.col("f365") == 1, 0.8).otherwise(0.1)
-    return shift.impute_missing_feature(flagged.withColumn("predicted", predicted), "seen", "predicted")
+    joined = rows.join(marks, ["person_id", "end_date"], "left")
+    return materialize(joined.withColumns({"seen": F.coalesce("f30", F.lit(0)), "wide": F.coalesce("f365", F.lit(0))}).drop("f30", "f365"))
+
+
+def imputed(rows):
+    fitted = shift.cell_rates(rows.where("split = 'train'"), ["year"], "wide", "seen")
+    predicted = shift.with_rate(shift.by_fit(rows, fitted), fitted, "wide", "balanced", "predicted")
+    return shift.impute_missing_feature(predicted, "seen", "predicted")
 
 
 @query(
     "x06_impute_missing_feature",
     sql(
         *SQL_IMPUTED,
-        select="""SELECT year, split, CAST(sum(seen) AS BIGINT) AS num_before, CAST(sum(seen_imputed) AS BIGINT) AS num_after,
-        count(*) AS num_samples FROM imputed GROUP BY 1, 2""",
+        select="""SELECT year, split, fit, CAST(sum(seen) AS BIGINT) AS num_before, CAST(sum(seen_imputed) AS BIGINT) AS num_after,
+        count(*) AS num_samples FROM imputed GROUP BY 1, 2, 3""",
     ),
 )
 def _(r):
-    return shift.imputation_counts(imputed(r), "seen", ["year", "split"])
+    return shift.imputation_counts(imputed(flagged(r)), "seen", ["year", "split", "fit"])
 
 
 @query(
     "x07_imputation_effect",
     sql(
         *SQL_IMPUTED,
-        """v AS (SELECT year, y, 'raw' AS variant, 0.3E0 * seen + 0.01E0 * month(end_date) AS score FROM imputed WHERE split = 'test'
-        UNION ALL SELECT year, y, 'imputed', 0.3E0 * seen_imputed + 0.01E0 * month(end_date) FROM imputed WHERE split = 'test')""",
-        *sql_auc("a", "v", "year, variant", "score"),
-        select="SELECT year, variant, round(auc, 6) AS auc FROM a",
+        "seen_fit AS (SELECT year, seen, sum(y) / CAST(count(*) AS DOUBLE) AS p FROM flagged WHERE split = 'train' GROUP BY 1, 2)",
+        """v AS (SELECT i.year, y, fit || ' raw' AS region, coalesce(p, 0) AS score FROM imputed i
+            LEFT JOIN seen_fit f ON f.year = i.fit_year AND f.seen = i.seen WHERE split = 'test'
+            UNION ALL SELECT i.year, y, fit || ' imputed', coalesce(p, 0) FROM imputed i
+            LEFT JOIN seen_fit f ON f.year = i.fit_year AND f.seen = i.seen_imputed WHERE split = 'test')""",
+        *_sql_metrics("v", "y", "(1 - y)"),
+        select=_METRICS.replace("m.region,", "m.region AS variant,")
+        .replace("round(CAST(p AS DOUBLE), 6)", "CAST(p AS BIGINT)")
+        .replace("round(CAST(n AS DOUBLE), 6)", "CAST(n AS BIGINT)"),
     ),
 )
 def _(r):
-    rows = imputed(r).where("split = 'test'")
-    base = 0.01 * F.month("end_date")
-    scored = rows.withColumn("raw", 0.3 * F.col("seen") + base).withColumn("filled", 0.3 * F.col("seen_imputed") + base)
-    return shift.metrics_by_variant(scored, {"raw": "raw", "imputed": "filled"}, ["year"])
+    """Models of the own year and of the year before, each on raw samples and on those imputed with what the same year taught."""
+    rows = flagged(r)
+    outcome = shift.cell_rates(rows.where("split = 'train'"), ["year"], "seen", "y")
+    test = imputed(rows).where("split = 'test'")
+    raw = shift.with_rate(test, outcome, "seen", "rate", "raw")
+    filled = outcome.withColumnRenamed("seen", "seen_imputed")
+    both = shift.with_rate(raw, filled, "seen_imputed", "rate", "imputed")
+    stacked = shift.variants(both, {"raw": "raw", "imputed": "imputed"}).withColumn("variant", F.concat_ws(" ", "fit", "variant"))
+    return me.eval_predictions(stacked, by=["year", "variant"])
 
 
 # ------------------------------------------------------------------ weights
