@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pandas as pd
 from hypothesis import given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranking
+from tidemark.functions import expressions as ex
 from tidemark.functions.expressions import hash32, mix, mix_numpy
 
 
@@ -73,3 +75,29 @@ def test_mix_is_the_same_in_spark_and_numpy(spark):
         assert mix_numpy(np.array([k]), np.array([r]), 9)[0, 0] == m
     coins = (mix_numpy(np.arange(1, 2000), np.arange(1, 50), 9) >> 9) & 1
     assert abs(coins.mean() - 0.5) < 0.01
+
+
+def test_draws_are_the_same_in_spark_numpy_and_sql(spark):
+    keys = spark.range(300).select("id", ex.key62(5, "id").alias("k"), (F.col("id") % 7 + 1).alias("r"))
+    rows = keys.select("id", "k", "r", *[c.alias(n) for c, n in zip(ex.draw62(F.col("k"), F.col("r"), 9), ("a", "b"))]).toPandas()
+    db = duckdb.connect()
+    db.register("given", rows[["id", "r"]])
+    table = f"(SELECT *, {ex.key62_sql(5, 'id')} AS k FROM given)"
+    found = db.execute(f"SELECT id, k, draw_1 AS a, draw_2 AS b, {ex.below_sql('1000003')} AS n FROM {ex.draw62_sql(table, 'k', 'r', 9)} ORDER BY id").df()
+    assert (found[["k", "a", "b"]].to_numpy() == rows.sort_values("id")[["k", "a", "b"]].to_numpy()).all()
+    for k, r, a, b, n in zip(rows.k, rows.r, rows.a, rows.b, found.n):
+        first, second = ex.draw62_numpy(np.array([k]), np.array([r]), 9)
+        assert (first[0, 0], second[0, 0]) == (a, b)
+        assert ex.below(int(a), int(b), 1000003) == n == (int(a) * 2**31 + int(b)) * 1000003 >> 62
+
+
+def test_no_two_of_a_million_keys_share_their_draws(spark):
+    keys = spark.range(1_000_000).select(ex.key62(3, "id").alias("k")).toPandas()["k"].to_numpy()
+    assert len(np.unique(keys)) == len(keys)
+    first, second = ex.draw62_numpy(keys, np.arange(1, 2), 11)
+    whole = first[:, 0] * 2**31 + second[:, 0]
+    assert len(np.unique(whole)) == len(whole)
+    coins = ex.coin(ex.draw62_numpy(keys[:20000], np.arange(1, 65), 11)[1])
+    assert abs(coins.mean() - 0.5) < 0.002 and len(np.unique(coins, axis=0)) == 20000
+    drawn = np.bincount(ex.below(first, second, 10).ravel(), minlength=10)
+    assert abs(drawn / len(keys) - 0.1).max() < 0.002

@@ -52,13 +52,13 @@ def test_permutations_by_brute_force_and_in_small_ranges(frame):
     whole = rs.permutation_aucs(entries, ["year"], 30, 5).toPandas().set_index("replicate")["auc_diff"].sort_index()
     cut = rs.permutation_aucs(entries, ["year"], 30, 5, rows_per_task=25).toPandas().set_index("replicate")["auc_diff"].sort_index()
     np.testing.assert_allclose(whole, cut)
-    from tidemark.functions.expressions import PRIME, mix_numpy
+    from tidemark.functions.expressions import coin, draw62_numpy
 
     keys = df.select("sample_id", rs.person_key(5).alias("k")).toPandas().set_index("sample_id")["k"].sort_index().to_numpy()
-    assert (keys < PRIME).all()
+    assert (keys < 1 << 62).all()
     y, a, b = (pdf[c].to_numpy() for c in ("y", "s_curr", "s_prev"))
     for r in (1, 17, 30):
-        swap = ((mix_numpy(keys, np.array([r]), 5)[:, 0] >> 9) & 1) == 1
+        swap = coin(draw62_numpy(keys, np.array([r]), 5)[1][:, 0]) == 1
         expected = brute_auc(y, np.where(swap, b, a)) - brute_auc(y, np.where(swap, a, b))
         assert whole[r] == pytest.approx(expected)
 

@@ -61,14 +61,70 @@ def mix_sql(key: str, replicate: str, seed: int) -> str:
 
 
 def mix_numpy(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """The same draw for every (key, replicate) pair, as a keys x replicates matrix."""
+    """The same draw for every (key, replicate) pair, as a keys x replicates matrix; keys may be such a matrix already."""
     a, b, c, d, e = _STEPS
-    x = (keys.astype(np.int64)[:, None] * a + replicates.astype(np.int64)[None, :] * b + seed * c + 1) % PRIME
+    keys = keys.astype(np.int64)
+    x = ((keys if keys.ndim == 2 else keys[:, None]) * a + replicates.astype(np.int64)[None, :] * b + seed * c + 1) % PRIME
     x = ((x ^ (x >> 15)) * d) % PRIME
     x = ((x ^ (x >> 13)) * e) % PRIME
     return x ^ (x >> 16)
 
 
+# Keys of 62 bits are two limbs of 31. The lower limb makes the first half of a draw, and that and the
+# upper limb make the second, so two keys share their draws only if they are equal. No step needs
+# more than 63 bits, so Spark, numpy and plain SQL give the same ones.
+_LIMB = 31
+_LOW = (1 << _LIMB) - 1
+
+
+def key62(seed: int, *ids: str | Column) -> Column:
+    """Integer in [0, 2**62) that depends only on the seed and the ids; keys of 1e8 ids collide once in a thousand times."""
+    digits = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in ids]))
+    high, low = (F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(_LOW)) for at in (1, 9))
+    return F.shiftleft(high, _LIMB) + low
+
+
+def key62_sql(seed: int, *ids: str) -> str:
+    digits = f"md5(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in ids)}))"
+    high, low = (f"(CAST('0x' || substr({digits}, {at}, 8) AS BIGINT) & {_LOW})" for at in (1, 9))
+    return f"({high} * {1 << _LIMB} + {low})"
+
+
+def draw62(key: Column, replicate: Column, seed: int) -> tuple[Column, Column]:
+    """Both halves, in [0, 2**31) each, of what is drawn for one (key, replicate) pair."""
+    first = mix(key.bitwiseAND(F.lit(_LOW)), replicate, seed)
+    return first, mix(F.shiftright(key, _LIMB) + first, replicate, seed + 1)
+
+
+def draw62_sql(source: str, key: str, replicate: str, seed: int) -> str:
+    """The rows of a table with both halves as columns ``draw_1`` and ``draw_2``."""
+    first = f"SELECT *, {mix_sql(f'({key} & {_LOW})', replicate, seed)} AS draw_1 FROM {source}"
+    return f"(SELECT *, {mix_sql(f'(({key} >> {_LIMB}) + draw_1)', replicate, seed + 1)} AS draw_2 FROM ({first}))"
+
+
+def draw62_numpy(keys: np.ndarray, replicates: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.astype(np.int64)
+    first = mix_numpy(keys & _LOW, replicates, seed)
+    return first, mix_numpy((keys >> _LIMB)[:, None] + first, replicates, seed + 1)
+
+
+def below(first, second, size):
+    """The 62 drawn bits scaled to [0, size), for a size under 2**31: no number is more than size / 2**62 likelier than another.
+
+    Works on numbers and numpy arrays; ``below_sql`` is the same as text.
+    """
+    return (first * size + ((second * size) >> _LIMB)) >> _LIMB
+
+
+def below_sql(size: str) -> str:
+    return f"((draw_1 * {size} + ((draw_2 * {size}) >> {_LIMB})) >> {_LIMB})"
+
+
+def coin(second):
+    """A fair bit of the second half."""
+    return (second >> 9) & 1
+
+
 # ------------------------------------------------------------------ calendar
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.expressions import PRIME, hash32, mix_numpy
+from tidemark.functions.expressions import below, coin, draw62_numpy, key62
 from tidemark.functions.ranking import hash_rank, join_on, running_sums
 from tidemark.session import materialize
 
@@ -34,7 +34,7 @@ _CELLS = 4_000_000  # entries x replicates held at once in a task
 
 
 def person_key(seed: int, person: str = "person_id") -> Column:
-    return hash32(seed, person) % F.lit(PRIME)
+    return key62(seed, person)
 
 
 def two_models(scores: DataFrame, by: Sequence[str], first: str = "s_curr", second: str = "s_prev") -> DataFrame:
@@ -92,7 +92,7 @@ def _replicate_sums(entries: DataFrame, by: Sequence[str], first: int, last: int
         for start in range(0, n, step):
             replicates = np.arange(first + start, min(last + 1, first + start + step))
             if swap:
-                coins = ((mix_numpy(people, replicates, seed) >> 9) & 1)[inverse]
+                coins = coin(draw62_numpy(people, replicates, seed)[1])[inverse]
                 arms = coins ^ arm[:, None]
             for a in (0, 1):
                 if swap:
@@ -169,7 +169,7 @@ def _spread_draws(first: int, last: int, seed: int, group: Sequence[str]):
                 head = {c: part[c].iloc[0] for c in group}
                 for start in range(0, len(keys), step):
                     chunk = keys[start : start + step]
-                    drawn = ((mix_numpy(chunk, replicates, seed) * size) >> 31).ravel()
+                    drawn = below(*draw62_numpy(chunk, replicates, seed), size).ravel()
                     order = np.argsort(drawn, kind="stable")
                     drawn = drawn[order]
                     which = np.tile(replicates - first, len(chunk))[order].astype(np.uint16)
@@ -216,7 +216,7 @@ def bootstrap_draws(ranked: DataFrame, by: Sequence[str], first: int, last: int,
     each, to the block of persons they hit.
     """
     group = [*by, "stratum"]
-    key = (F.col("rank") * 2 + F.col("stratum")) % F.lit(PRIME)
+    key = F.col("rank") * 2 + F.col("stratum")
     drawers = ranked.select(*group, "group_size", key.alias("_key"))
     fields = [ranked.schema[c] for c in group]
     packed = T.StructType(

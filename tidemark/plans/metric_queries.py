@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import PRIME, chi2_p_sql, hash32_sql, mix_sql
+from tidemark.functions.expressions import below_sql, chi2_p_sql, draw62_sql, hash32_sql, key62_sql
 from tidemark.operators import hypothesis as hy
 from tidemark.operators import metrics as me
 from tidemark.operators import resampling as rs
@@ -246,9 +246,10 @@ def sql_bootstrap(name: str, entries: str, by: str, n: int = REPLICATES, seed: i
         f"{name}_people AS (SELECT {by}, person_id, max(y) AS stratum FROM {entries} GROUP BY {by}, person_id)",
         f"""{name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY {by}, stratum ORDER BY {hash32_sql(seed, 'person_id')}, person_id) AS rk,
             count(*) OVER (PARTITION BY {by}, stratum) AS n FROM {name}_people)""",
-        f"""{name}_keys AS (SELECT *, CAST((rk * 2 + stratum) % {PRIME} AS BIGINT) AS k FROM {name}_ranked)""",
-        f"""{name}_drawn AS (SELECT {by}, stratum, replicate, (({mix_sql('k', 'replicate', seed)} * n) >> 31) + 1 AS rk, count(*) AS w
-            FROM {name}_keys CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate) GROUP BY ALL)""",
+        f"""{name}_keys AS (SELECT * FROM (SELECT *, CAST(rk * 2 + stratum AS BIGINT) AS k FROM {name}_ranked)
+            CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate))""",
+        f"""{name}_drawn AS (SELECT {by}, stratum, replicate, {below_sql('n')} + 1 AS rk, count(*) AS w
+            FROM {draw62_sql(f'{name}_keys', 'k', 'replicate', seed)} GROUP BY ALL)""",
         f"""{name}_weights AS (SELECT q.*, d.replicate, d.w FROM {name}_ranked q JOIN {name}_drawn d USING ({by}, stratum, rk))""",
         f"""{name}_same AS MATERIALIZED (SELECT {by}, person_id, arm, y, value, count(*) AS times FROM {entries} GROUP BY ALL)""",
         f"""{name}_rows AS (SELECT e.*, d.replicate, d.w * e.times AS w FROM {name}_same e JOIN {name}_weights d USING ({by}, person_id))""",
@@ -259,9 +260,10 @@ def sql_bootstrap(name: str, entries: str, by: str, n: int = REPLICATES, seed: i
 
 def sql_permutation(name: str, entries: str, by: str, n: int = REPLICATES, seed: int = SEED) -> tuple[str, ...]:
     return (
-        f"""{name}_keyed AS MATERIALIZED (SELECT {by}, arm, y, value, {hash32_sql(seed, 'person_id')} % {PRIME} AS k, count(*) AS times FROM {entries} GROUP BY ALL)""",
-        f"""{name}_rows AS (SELECT {by}, y, value, times, replicate, xor(arm, CAST(({mix_sql('k', 'replicate', seed)} >> 9) & 1 AS INT)) AS arm
-            FROM {name}_keyed CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate))""",
+        f"""{name}_keyed AS MATERIALIZED (SELECT {by}, arm, y, value, {key62_sql(seed, 'person_id')} AS k, count(*) AS times FROM {entries} GROUP BY ALL)""",
+        f"""{name}_tossed AS (SELECT * FROM {name}_keyed CROSS JOIN (SELECT unnest(generate_series(1, {n})) AS replicate))""",
+        f"""{name}_rows AS (SELECT {by}, y, value, times, replicate, xor(arm, CAST((draw_2 >> 9) & 1 AS INT)) AS arm
+            FROM {draw62_sql(f'{name}_tossed', 'k', 'replicate', seed)})""",
         *sql_auc(f"{name}_auc", f"{name}_rows", f"{by}, replicate, arm", "value", "times * y", "times * (1 - y)"),
         _sql_paired(name, by),
     )
