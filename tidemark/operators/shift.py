@@ -513,6 +513,19 @@ def nll_difference_distribution(
     return scores.groupBy(*by, bin_index(gap, -limit, limit, bins).alias("bin")).agg(F.count(F.lit(1)).alias("num_samples"))
 
 
+def additive_scores(samples: DataFrame, long: DataFrame, coefficients: DataFrame, keys: Sequence[str] = SAMPLE) -> DataFrame:
+    """Score of every sample by the coefficients of its own year and of the year before: the sum over its features.
+
+    Columns keys, y, model_year, eval_year and score, in millionths, so that the order of additions does not matter.
+    """
+    units = coefficients.select("feature", F.col("year").alias("model_year"), F.round(F.col("coefficient") * 1e6).cast("long").alias("_units"))
+    models = units.select("model_year").distinct()
+    lagged = F.explode(F.array(F.col("year"), F.col("year") - 1)).alias("model_year")
+    rows = samples.select(*keys, "y", F.col("year").alias("eval_year"), lagged).join(models, "model_year", "left_semi")
+    points = long.select(*keys, "feature").join(units, "feature").groupBy(*keys, "model_year").agg(F.sum("_units").alias("score"))
+    return rows.join(points, [*keys, "model_year"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+
+
 def feature_window_comparison(short: DataFrame, long: DataFrame) -> DataFrame:
     """AUC gain of the current over the previous year's model, for two feature windows side by side."""
 
@@ -525,13 +538,23 @@ def feature_window_comparison(short: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def auc_series_with_ci(scores: DataFrame, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Per year: AUC of both models with bootstrap errors, and the difference with its 90 % interval."""
+    """Per year: AUC of both models with bootstrap errors, and two differences with their 90 % intervals.
+
+    ``actual_diff`` compares the models on the year; ``baseline_diff`` the year before's
+    model on its own year and on this one, null where the year before has no rows.
+    """
     keys = [*by, "year"]
     entries = materialize(rs.two_models(scores, keys))
     replicates = materialize(rs.bootstrap_aucs(entries, keys, n, seed))
     errors = replicates.groupBy(*keys).agg(F.stddev_pop("auc_1").alias("se_curr"), F.stddev_pop("auc_2").alias("se_prev"))
     interval = rs.pivotal_ci(replicates, rs.actual_difference(entries, keys), keys)
     renamed = interval.withColumnRenamed("actual_1", "auc_curr").withColumnRenamed("actual_2", "auc_prev")
-    return join_on(renamed.drop("above_zero"), errors, keys)
+    years = scores.select(*keys).distinct()
+    paired = join_on(years, years.withColumn("year", F.col("year") + 1), keys, "left_semi")
+    across = materialize(join_on(hy.year_entries(scores, by, True), paired, keys, "left_semi"))
+    baseline = rs.pivotal_ci(rs.bootstrap_aucs(across, keys, n, seed), rs.actual_difference(across, keys), keys)
+    names = {"actual_diff": "baseline_diff", "ci_low": "baseline_ci_low", "ci_high": "baseline_ci_high"}
+    baseline = baseline.select(*keys, *[F.col(c).alias(name) for c, name in names.items()])
+    return join_on(join_on(renamed.drop("above_zero"), errors, keys), baseline, keys, "left")
 
 

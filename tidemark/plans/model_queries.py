@@ -314,18 +314,25 @@ def _(r):
 
 @query("x21_robust_feature_retrain")
 def _(r):
+    """Every two consecutive years on all features, on those whose sign is stable, and on those whose intervals lie on one side of zero in both."""
     data, names, long = assembled(r)
     fitted = yearly_models(data)
     parts = []
     for prev, curr in [(y, y + 1) for y in fitted if y + 1 in fitted]:
-        tables = [models.coefficient_table(fitted[y], names, data) for y in (prev, curr)]
-        stable = sorted(row["feature"] for row in shift.sign_stable_features(*tables).collect())
-        kept = features.keep_features(long, data.sparkSession.createDataFrame([(n,) for n in stable], "feature string"))
         both = data.where(F.col("year").isin(prev, curr))
-        robust = materialize(features.assemble(both.drop("features"), kept, stable))
-        refitted = models.models_per_year(robust, (prev, curr), models.train_logreg)
-        for variant, frame, group in (("all", both, {y: fitted[y] for y in (prev, curr)}), ("stable", robust, refitted)):
+        signs = [models.coefficient_table(fitted[y], names, data) for y in (prev, curr)]
+        intervals = [models.inferential_logreg(one_year(data, y)[0], names)[1].where("feature <> 'constant'") for y in (prev, curr)]
+        chosen = {"stable": shift.sign_stable_features(*signs), "interval stable": shift.ci_stable_features(*intervals)}
+        variants = [("all", both, {y: fitted[y] for y in (prev, curr)})]
+        for name, found in chosen.items():
+            stable = sorted(row["feature"] for row in found.collect())
+            if not stable:
+                continue
+            kept = features.keep_features(long, data.sparkSession.createDataFrame([(n,) for n in stable], "feature string"))
+            robust = materialize(features.assemble(both.drop("features"), kept, stable))
+            variants.append((name, robust, models.models_per_year(robust, (prev, curr), models.train_logreg)))
+        for name, frame, group in variants:
             scored = models.yearly_scores(frame.where("split = 'test'"), group, ["person_id", "end_date"])
             found = shift.three_way_evaluation(scored, curr)
-            parts.append(found.withColumn("feature_set", F.lit(variant)).withColumn("year", F.lit(curr)))
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+            parts.append(found.withColumn("feature_set", F.lit(name)).withColumn("year", F.lit(curr)))
+    return functools.reduce(DataFrame.unionByName, parts)

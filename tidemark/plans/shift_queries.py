@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import chi2_p_sql, hash32_sql
@@ -29,6 +31,7 @@ from tidemark.plans.metric_queries import (
     sql_auc,
     sql_bootstrap,
     sql_ci,
+    sql_entries_datasets,
     sql_entries_models,
 )
 from tidemark.plans.outcome_queries import SQL_SAMPLED, samples
@@ -625,23 +628,20 @@ def _(r):
     "x27_significant_sign_changes",
     sql(
         *SQL_COEFS,
-        # the intervals are narrowed to a tenth, so that the few features here give some changes
-        """tight AS (SELECT year, feature, round(coefficient - (coefficient - ci_low) / 10, 6) AS ci_low,
-        round(coefficient + (ci_high - coefficient) / 10, 6) AS ci_high FROM coefs)""",
-        select=f"""SELECT {_CI4}, CASE WHEN a.ci_low > 0 THEN 'falls' ELSE 'rises' END AS direction
-        FROM tight a JOIN tight b ON a.feature = b.feature AND a.year = 1998 AND b.year = 1999
+        select=f"""SELECT a.year, {_CI4}, CASE WHEN a.ci_low > 0 THEN 'falls' ELSE 'rises' END AS direction
+        FROM coefs a JOIN coefs b ON a.feature = b.feature AND b.year = a.year + 1
         WHERE (a.ci_low > 0 AND b.ci_high < 0) OR (a.ci_high < 0 AND b.ci_low > 0)""",
     ),
 )
 def _(r):
-    middle = F.col("coefficient")
-    tight = [
-        t.withColumn("ci_low", F.round(middle - (middle - F.col("ci_low")) / 10, 6)).withColumn(
-            "ci_high", F.round(middle + (F.col("ci_high") - middle) / 10, 6)
-        )
-        for t in two_years(r)
+    """Every two consecutive years with the intervals as they are."""
+    table = materialize(log_odds(r))
+    years = [row["year"] for row in table.select("year").distinct().orderBy("year").collect()]
+    pairs = [
+        shift.significant_sign_changes(table.where(F.col("year") == y), table.where(F.col("year") == y + 1)).withColumn("year", F.lit(y))
+        for y in years
     ]
-    return shift.significant_sign_changes(*tight)
+    return functools.reduce(lambda a, b: a.unionByName(b), pairs)
 
 
 # ------------------------------------------------------------ distributions
@@ -665,37 +665,63 @@ def _(r):
     return shift.nll_difference_distribution(scores(r), "s_prev", "s_curr")
 
 
+def _sql_gain(days: int) -> tuple[str, ...]:
+    w = f"w{days}"
+    return (
+        f"""{w}_points AS (SELECT l.person_id, l.end_date, c.year AS model_year, CAST(sum(CAST(round(c.coefficient * 1e6) AS BIGINT)) AS BIGINT) AS score
+            FROM long l JOIN coefs c ON c.feature = l.feature WHERE ends_with(l.feature, ' - {days} days') GROUP BY 1, 2, 3)""",
+        f"""{w}_scored AS (SELECT t.person_id, t.y, t.year AS eval_year, m.model_year, coalesce(p.score, 0) AS score
+            FROM samples t JOIN (SELECT DISTINCT year AS model_year FROM coefs) m ON m.model_year IN (t.year, t.year - 1)
+            LEFT JOIN {w}_points p ON p.person_id = t.person_id AND p.end_date = t.end_date AND p.model_year = m.model_year WHERE t.split = 'test')""",
+        *sql_auc(f"{w}_auc", f"{w}_scored", "model_year, eval_year", "score"),
+        f"""{w}_gain AS (SELECT a.eval_year, a.auc - b.auc AS gain FROM {w}_auc a JOIN {w}_auc b
+            ON b.eval_year = a.eval_year AND a.model_year = a.eval_year AND b.model_year = b.eval_year - 1)""",
+    )
+
+
 @query(
     "x29_feature_window_comparison",
     sql(
-        SQL_SCORES,
-        SQL_MODELS,
-        "rough AS (SELECT * REPLACE (round(score, 1) AS score) FROM ms)",
-        *sql_auc("a", "(SELECT * FROM ms WHERE split = 'test')", "model_year, eval_year", "score"),
-        *sql_auc("b", "(SELECT * FROM rough WHERE split = 'test')", "model_year, eval_year", "score"),
-        select="""SELECT a1.eval_year, round(b1.auc - b0.auc, 6) AS gain_short, round(a1.auc - a0.auc, 6) AS gain_long
-        FROM a a1 JOIN a a0 ON a1.eval_year = a0.eval_year AND a1.model_year = a1.eval_year AND a0.model_year = a0.eval_year - 1
-        JOIN b b1 ON b1.eval_year = a1.eval_year AND b1.model_year = b1.eval_year JOIN b b0 ON b0.eval_year = a1.eval_year AND b0.model_year = b0.eval_year - 1""",
+        *SQL_COEFS,
+        *_sql_gain(30),
+        *_sql_gain(365),
+        select="SELECT eval_year, round(s.gain, 6) AS gain_short, round(l.gain, 6) AS gain_long FROM w30_gain s JOIN w365_gain l USING (eval_year)",
     ),
 )
 def _(r):
-    rows = me.model_scores(scores(r)).where("split = 'test'")
-    pair = ["model_year", "eval_year"]
-    short = me.auc(rows.withColumn("score", F.round("score", 1)), "score", pair)
-    return shift.feature_window_comparison(short, me.auc(rows, "score", pair))
+    """Two models a year, one of the log odds of the 30-day features and one of the 365-day features."""
+    rows = materialize(samples(r))
+    every = long_samples(r, sampled=rows)
+    long = materialize(features.keep_features(every, features.frequent_features(every, 300)))
+    table = materialize(log_odds(r, rows=long, sampled=rows))
+    test = rows.where("split = 'test'")
+
+    def metrics(days):
+        part = long.where((F.col("split") == "test") & F.col("feature").endswith(f" - {days} days"))
+        return me.auc(shift.additive_scores(test, part, table), "score", ["model_year", "eval_year"])
+
+    return shift.feature_window_comparison(metrics(30), metrics(365))
 
 
 @query(
     "x30_auc_series_with_ci",
     sql(
         SQL_SCORES,
-        sql_entries_models("e", "(SELECT * FROM sc WHERE split = 'test')", "year"),
+        "te AS (SELECT * FROM sc WHERE split = 'test')",
+        sql_entries_models("e", "te", "year"),
         *sql_bootstrap("b", "e", "year"),
         *sql_actual("act", "e", "year"),
         sql_ci("ci", "b", "act", "year"),
         "se AS (SELECT year, stddev_pop(auc_1) AS se_curr, stddev_pop(auc_2) AS se_prev FROM b GROUP BY year)",
-        select="""SELECT year, round(actual_1, 6) AS auc_curr, round(actual_2, 6) AS auc_prev, round(actual_diff, 6) AS actual_diff, round(ci_low, 6) AS ci_low,
-        round(ci_high, 6) AS ci_high, round(se_curr, 6) AS se_curr, round(se_prev, 6) AS se_prev FROM ci JOIN se USING (year)""",
+        sql_entries_datasets("d0", "te"),
+        "d AS (SELECT * FROM d0 WHERE year IN (SELECT year FROM te) AND year - 1 IN (SELECT year FROM te))",
+        *sql_bootstrap("bd", "d", "year"),
+        *sql_actual("actd", "d", "year"),
+        sql_ci("cid", "bd", "actd", "year"),
+        select="""SELECT year, round(ci.actual_1, 6) AS auc_curr, round(ci.actual_2, 6) AS auc_prev, round(ci.actual_diff, 6) AS actual_diff,
+        round(ci.ci_low, 6) AS ci_low, round(ci.ci_high, 6) AS ci_high, round(se_curr, 6) AS se_curr, round(se_prev, 6) AS se_prev,
+        round(cid.actual_diff, 6) AS baseline_diff, round(cid.ci_low, 6) AS baseline_ci_low, round(cid.ci_high, 6) AS baseline_ci_high
+        FROM ci JOIN se USING (year) LEFT JOIN cid USING (year)""",
     ),
 )
 def _(r):
