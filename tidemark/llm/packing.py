@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import array
 import functools
+import gc
 import os
 import re
 import zlib
@@ -34,6 +35,7 @@ BITS = 15  # per dimension, so that a key fits a signed long
 SEED = 42
 GRAM_BLOCK = 1 << 20
 TEXT_BLOCK = 1 << 20
+SLICE_BYTES = 8 << 20  # texts whose words a task looks up at once
 #: Words of a generation whose ids a Python worker remembers; it holds two.
 CACHE_WORDS = 300_000
 #: Where a text can be cut without changing its tokens: a word and the space before it are never joined to what precedes.
@@ -111,10 +113,9 @@ def split_parts(text: str) -> list[str]:
     return [first, *[" " + word for word in rest]]
 
 
-def unsafe(part: str) -> bool:
-    """White space beside the space at which the part was cut: its neighbours may belong to one token."""
-    word = part[1:] if part[:1] == " " else part
-    return not word or word[0].isspace() or word[-1].isspace()
+def unsafe(parts: set[str]) -> set[str]:
+    """Those with white space beside the space at which they were cut: their neighbours may belong to one token."""
+    return {part for part in parts if not part or len(part.strip()) != len(part) - (part[0] == " ") or part == " "}
 
 
 def atoms(part: str) -> list[str]:
@@ -164,15 +165,14 @@ class WordTokens:
         parts = [split_parts(text) for text in texts]
         need = set().union(*parts)
         new = self._unknown(need)
-        if wide := {part for part in new if unsafe(part)}:
+        if wide := unsafe(new):
             parts = [p if wide.isdisjoint(p) else SAFE_CUT.split(text) for p, text in zip(parts, texts)]
             need = set().union(*parts)
             new = self._unknown(need)
-        cut = {part: atoms(part) for part in new}
-        self._learn(self._unknown(set().union(*cut.values())))
+        cut = {part: pieces for part in new if part and (part[-1] in ".," or "\n" in part) and len(pieces := atoms(part)) > 1}
+        self._learn(new.difference(cut) | self._unknown(set().union(*cut.values())))
         for part, pieces in cut.items():
-            if len(pieces) > 1:
-                self.known[part] = b"".join(map(self.known.__getitem__, pieces))
+            self.known[part] = b"".join(map(self.known.__getitem__, pieces))
         joined = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         if len(self.known) > CACHE_WORDS:
             self.older = {part: ids for part, ids in self.known.items() if len(part) <= 64}
@@ -189,7 +189,8 @@ class WordTokens:
 
     def _learn(self, new: set[str]) -> None:
         """Add the ids of these parts. Parts that begin with a space are encoded together: cuts before them are safe."""
-        spaced = [part for part in new if part[:1] == " " and not unsafe(part)]
+        odd = unsafe(new)
+        spaced = [part for part in new if part[:1] == " " and part not in odd]
         for at in range(0, len(spaced), 1024):
             some = spaced[at : at + 1024]
             (encoded,) = self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)
@@ -261,6 +262,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, k
     packer = Packer(length, TaskContext.get().partitionId() << 40)
     tokens = _tokens(path)
     last = np.array([end], "<u4").tobytes()
+    gc.disable()  # strings and bytes make no cycles, and going through millions of them takes a tenth of the time
 
     def ready() -> pa.RecordBatch:
         columns = zip(*packer.rows)
@@ -268,12 +270,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, k
         packer.rows = []
         return batch
 
-    for part, texts in text_slices(batches, "text"):
+    for part, texts in text_slices(batches, "text", SLICE_BYTES):
         for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids([t.decode() for t in texts])):
             packer.add(doc_id, ids + last)
             if len(packer.rows) >= 4096:
                 yield ready()
     packer.finish()
+    gc.enable()
     if packer.rows:
         yield ready()
 
