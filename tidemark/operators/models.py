@@ -45,6 +45,7 @@ SCAN_BOOST_TREES = (5, 10, 50)
 MAX_DEPTH = 30
 MAX_ITERATIONS = 1000
 PARALLEL_FITS = 4
+ROWS_PER_TASK = 50_000
 Z95 = 1.96
 MAX_INFERENTIAL = 4096  # what the least-squares solver behind the standard errors takes
 
@@ -55,13 +56,19 @@ def score(model: Model, samples: DataFrame, name: str = "score") -> DataFrame:
     return scored.drop("rawPrediction", "probability", "prediction")
 
 
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The written table in no more tasks than its rows need: an iterative fit runs thousands of jobs, each of which starts them all."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def class_weighted(train: DataFrame, weight_col: str | None = None) -> tuple[DataFrame, float]:
     """Balanced class weights, times the sample weight if there is one, and their sum."""
     weighted = balanced_weights(train.drop("weight") if weight_col is None else train.withColumnRenamed(weight_col, "_given"))
     if weight_col is not None:
         weighted = weighted.withColumn("weight", F.col("weight") * F.col("_given")).drop("_given")
     weighted = materialize(weighted)
-    return weighted, weighted.agg(F.sum("weight")).first()[0]
+    total = weighted.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows")).first()
+    return in_few_tasks(weighted, total["rows"]), total["weight"]
 
 
 def best_of(models: Sequence[Model], valid: DataFrame, weight_col: str | None = None) -> tuple[Model, int, float]:
@@ -151,10 +158,11 @@ def train_boosted(
 ) -> tuple[Model, int, float]:
     """Boosted trees with positives weighted by negatives over positives, times the sample weight if there is one."""
     given = F.lit(1.0) if weight_col is None else F.col(weight_col)
-    sizes = train.agg(F.sum((1 - F.col("y")) * given).alias("n0"), F.sum(F.col("y") * given).alias("n1")).first()
+    sums = F.sum((1 - F.col("y")) * given).alias("n0"), F.sum(F.col("y") * given).alias("n1"), F.count(F.lit(1)).alias("rows")
+    sizes = train.agg(*sums).first()
     weight = F.when(F.col("y") == 1, sizes["n0"] / sizes["n1"]).otherwise(1.0)
-    weighted = materialize(train.withColumn("_weight", weight * given))
-    longest = [GBTClassifier(labelCol="y", weightCol="_weight", maxIter=max(trees), maxDepth=d, seed=0) for d in depths]
+    weighted = in_few_tasks(materialize(train.withColumn("_weight", weight * given)), sizes["rows"])
+    longest = [GBTClassifier(labelCol="y", weightCol="_weight", maxIter=max(trees), maxDepth=d, seed=0, maxMemoryInMB=512) for d in depths]
     with ThreadPool(len(longest)) as pool:
         fitted = pool.map(lambda e: e.fit(weighted), longest)
     return best_of([first_trees(model, t) for t in trees for model in fitted], valid, weight_col)
