@@ -316,10 +316,14 @@ def tree_leaves(model: DecisionTreeClassificationModel) -> list[Leaf]:
     return leaves
 
 
-def in_leaves(leaves: Sequence[Leaf], values: Column) -> Column:
-    """Whether the array of feature values belongs to one of the leaves: a plain filter, without the model."""
-    paths = [functools.reduce(operator.and_, [step.holds(values) for step in leaf.steps], F.lit(True)) for leaf in leaves]
-    return functools.reduce(operator.or_, paths, F.lit(False))
+def in_leaves(leaves: Sequence[Leaf], values: Column, depth: int = 0) -> Column:
+    """Whether the array of feature values belongs to one of the leaves: a plain filter, without the model, that tests every condition once."""
+    if not leaves or any(len(leaf.steps) == depth for leaf in leaves):
+        return F.lit(bool(leaves))
+    step = leaves[0].steps[depth]
+    with_step = [leaf for leaf in leaves if leaf.steps[depth] == step]
+    others = [leaf for leaf in leaves if leaf.steps[depth] != step]
+    return F.when(step.holds(values), in_leaves(with_step, values, depth + 1)).otherwise(in_leaves(others, values, depth + 1))
 
 
 def leaves_text(leaves: Sequence[Leaf], names: Sequence[str]) -> str:
