@@ -1,5 +1,8 @@
 """Content that several elements hold."""
 
+import time
+
+from tidemark.llm import html_extraction
 from tidemark.llm.html_extraction import main_text
 
 
@@ -21,3 +24,15 @@ def test_names_do_not_mark_headings_and_paragraphs_of_an_article():
     named = '<h2 id="related-work">Earlier studies</h2><p class="share-price">The price of one share rose again today.</p>'
     text = main_text(f'<html><body><article>{named}{story}<div class="share">Tell friends</div></article></body></html>')
     assert "Earlier studies" in text and "The price of one share" in text and "Tell friends" not in text
+
+
+def test_tag_soup_takes_linear_time():
+    for soup in ("<b>word " * 40_000, "<i>word </b>" * 30_000, "<div><p>" + "<b>" * 15_000 + "<li>word " * 15_000):
+        start = time.process_time()
+        assert html_extraction.main_text(soup).startswith("word")
+        assert time.process_time() - start < 2
+
+
+def test_unclosed_elements_close_as_in_browsers():
+    page = "<body><article><p>one <b>two<p>three</b><ul><li>four<li><i>five<li>six</ul><table><tr><td>a<td>b<tr><td>c</table></article>"
+    assert html_extraction.main_text(page).split("\n\n") == ["one two", "three", "four", "five", "six", "a", "b", "c"]

@@ -13,9 +13,12 @@ stage is a scan; a task holds one slice of pages at a time.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,60 +118,91 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     return bool(marks & {"comment", "comments", "commentlist", "replies", "disqus"} if tag == "article" else marks)
 
 
+class Stack:
+    """The open elements of a page, with the depths at which each tag is open, so that nothing is searched level by level."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.tree = tree
+        self.nodes = [tree.open("html", -1, False)]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # depths of block elements
+
+    def push(self, tag: str, dead: bool) -> None:
+        self.depths[tag].append(len(self.nodes))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(self.tree.open(tag, self.nodes[-1], dead))
+
+    def leave(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            tag = self.tree.tag[node]
+            if self.nodes:
+                self.depths[tag].pop()
+                if tag in BLOCKS:
+                    self.blocks.pop()
+            self.tree.close(node)
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags; 0 without one."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close_tag(self, tag: str) -> None:
+        """Leave the innermost element of the tag; an inline one cannot reach beyond the block it is in."""
+        depth = self.deepest((tag,))
+        if depth and (tag in BLOCKS or not self.blocks or self.blocks[-1] < depth):
+            self.leave(depth)
+
+    def make_room(self, tag: str) -> None:
+        """Leave what a new block element closes: like items up to their list, or the paragraph around it."""
+        if tag in CLOSES:
+            closing, scope = CLOSES[tag]
+            around = self.deepest(scope - closing - {"p"})
+            found = [depths[k] for t in {*closing, "p"} if (depths := self.depths.get(t)) and (k := bisect_right(depths, around)) < len(depths)]
+            if found:
+                self.leave(min(found))
+            return
+        depth = self.deepest(("p",))
+        if depth and depth >= max(self.deepest(("td", "th", "table", "button")), self.blocks[-1]):
+            self.leave(depth)
+
+
 def parse(page: str) -> Tree:
     """Tolerant parse: unclosed and misnested tags are closed the way browsers do for paragraphs, items and cells."""
     tree = Tree()
-    stack = [tree.open("html", -1, False)]
-
-    def leave(depth: int) -> None:
-        while len(stack) > depth:
-            tree.close(stack.pop())
-
+    stack = Stack(tree)
     at = 0
     while (token := TOKEN.search(page, at)) is not None:
         if token.start() > at:
-            tree.events.append((stack[-1], page[at : token.start()]))
+            tree.events.append((stack.nodes[-1], page[at : token.start()]))
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
             continue
         tag = tag.lower()
         if token["close"] or token["close2"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tree.tag[stack[depth]]
-                if open_tag == tag:
-                    leave(depth)
-                    break
-                if tag not in BLOCKS and open_tag in BLOCKS:
-                    break
+            stack.close_tag(tag)
             continue
         if tag == "br":
-            tree.events.append((stack[-1], " "))
+            tree.events.append((stack.nodes[-1], " "))
         if tag in VOID or tag == "html":
             continue
-        if tag == "body" and any(tree.tag[n] == "body" for n in stack):
+        if tag == "body" and stack.deepest(("body",)):
             continue
         if tag in BLOCKS:
-            closing, scope = CLOSES.get(tag, ({"p"}, {"td", "th", "table", "button"}))
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = tree.tag[stack[depth]]
-                if open_tag in closing or open_tag == "p":
-                    leave(depth)
-                    if tag not in CLOSES:
-                        break
-                elif open_tag in scope or (open_tag in BLOCKS and tag not in CLOSES):
-                    break
+            stack.make_room(tag)
         attrs = token["attrs"] if token["tag"] else token["attrs2"]
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        inside = tag in TEXTS and any(tree.tag[n] in ("article", "main") for n in stack)
-        stack.append(tree.open(tag, stack[-1], _boilerplate(tag, attrs, inside)))
+        inside = tag in TEXTS and stack.deepest(("article", "main")) > 0
+        stack.push(tag, _boilerplate(tag, attrs, inside))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
     if at < len(page):
-        tree.events.append((stack[-1], page[at:]))
-    leave(0)
+        tree.events.append((stack.nodes[-1], page[at:]))
+    stack.leave(0)
     return tree
 
 
@@ -181,16 +215,18 @@ def _live(tree: Tree) -> list[bool]:
             holds[tree.parent[i]] = True
     live = [True] * n
     inside = [False] * n
+    headings = headings_before(tree)
     for i in range(1, n):
         up = tree.parent[i]
         inside[i] = inside[up] or tree.tag[i] in ("article", "main")
-        banner = tree.tag[i] == "header" and not (inside[i] and holds_heading(tree, i))
+        banner = tree.tag[i] == "header" and not (inside[i] and headings[tree.stop[i]] > headings[tree.start[i]])
         live[i] = live[up] and (holds[i] or not (tree.dead[i] or banner))
     return live
 
 
-def holds_heading(tree: Tree, node: int) -> bool:
-    return any(tree.tag[k] in HEADINGS for k in {k for k, _ in tree.events[tree.start[node] : tree.stop[node]]})
+def headings_before(tree: Tree) -> list[int]:
+    """For each event, how many of headings come before it."""
+    return [0, *itertools.accumulate(tree.tag[k] in HEADINGS for k, _ in tree.events)]
 
 
 def densities(tree: Tree, live: list[bool]) -> tuple[list[float], list[float], list[int]]:
@@ -246,18 +282,20 @@ def content_nodes(tree: Tree, live: list[bool]) -> list[int]:
     threshold = min(density[i] for i in path if tree.tag[i] != "html" or len(path) == 1)
     passing = [i for i in range(n) if live[i] and chars[i] and density[i] >= threshold]
     roots: set[int] = set()
+    # around each node the outermost article, and the nearest main element
+    article, main = [-1] * n, [-1] * n
+    for i in range(n):
+        up = tree.parent[i]
+        article[i] = article[up] if i and article[up] >= 0 else i if tree.tag[i] == "article" else -1
+        main[i] = i if tree.tag[i] == "main" else main[up] if i else -1
+    holders = [i for i in passing if tree.tag[i] in ("article", "main")]
     for root in {best[i] for i in passing}:
-        above = [root]
-        while tree.parent[above[-1]] >= 0:
-            above.append(tree.parent[above[-1]])
-        # the outermost article, or the nearest main element if there is none
-        holders = [i for i in reversed(above) if tree.tag[i] == "article"] + [i for i in above if tree.tag[i] == "main"]
-        if holders:
-            roots.add(holders[0])
+        if max(article[root], main[root]) >= 0:
+            roots.add(article[root] if article[root] >= 0 else main[root])
             continue
         inner, reached = [], 0
-        for i in passing:
-            if tree.tag[i] in ("article", "main") and tree.start[root] <= tree.start[i] < tree.stop[root] and tree.start[i] >= reached:
+        for i in holders:
+            if tree.start[root] <= tree.start[i] < tree.stop[root] and tree.start[i] >= reached:
                 inner.append(i)
                 reached = tree.stop[i]
         roots |= set(inner) if inner and 2 * sum(chars[i] for i in inner) >= chars[root] else {root}
@@ -278,6 +316,10 @@ def main_text(page: str | None) -> str:
             blocks.append(block)
         words.clear()
 
+    block_of = list(range(len(tree.tag)))  # the nearest block element around each node
+    for i in range(1, len(block_of)):
+        if tree.tag[i] not in BLOCKS:
+            block_of[i] = block_of[tree.parent[i]]
     reached = 0
     for root in content_nodes(tree, live):
         if tree.start[root] < reached:
@@ -292,9 +334,7 @@ def main_text(page: str | None) -> str:
                 continue
             if not live[node]:
                 continue
-            block = node
-            while block != root and tree.tag[block] not in BLOCKS:
-                block = tree.parent[block]
+            block = max(block_of[node], root)  # parents come first, so a smaller number is outside the root
             if block != last_block:  # a block was entered
                 flush()
                 last_block = block
