@@ -35,14 +35,14 @@ BITS = 15  # per dimension, so that a key fits a signed long
 SEED = 42
 GRAM_BLOCK = 1 << 20
 TEXT_BLOCK = 1 << 20
-SLICE_BYTES = 8 << 20  # texts whose words a task looks up at once
+SLICE_BYTES = 6 << 20  # texts whose words a task looks up at once
 #: Words of a generation whose ids a Python worker remembers; it holds two.
 CACHE_WORDS = 300_000
 #: Where a text can be cut without changing its tokens: a word and the space before it are never joined to what precedes.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 LINE_BREAK = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 LATIN_END = "\u0250"
-PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PROJECTION = np.random.default_rng(SEED).choice([-1.0, 1.0], (BUCKETS, DIMENSIONS))
 
 
@@ -217,10 +217,10 @@ def _powers(n: int) -> list[int]:
 
 
 class Packer:
-    """Cuts a stream of documents into sequences; ``rows`` are the finished pieces."""
+    """Cuts a stream of documents into sequences; ``rows`` are the finished pieces, with their ids or without."""
 
-    def __init__(self, length: int, first_id: int) -> None:
-        self.length, self.next_id = length, first_id
+    def __init__(self, length: int, first_id: int, with_ids: bool) -> None:
+        self.length, self.next_id, self.with_ids = length, first_id, with_ids
         self.open: list[tuple] = []  # pieces (doc_id, start, ids, doc_tokens) of the sequence that is not full yet
         self.filled = 0
         self.rows: list[tuple] = []
@@ -246,7 +246,8 @@ class Packer:
                 doc_id, start, ids, total = piece or next(pieces)
                 size = min(len(ids) // 4, length - offset)
                 here = ids[: 4 * size]
-                self.rows.append((doc_id, start, size, zlib.crc32(here), total, self.next_id, offset, here))
+                row = (doc_id, start, size, zlib.crc32(here), total, self.next_id, offset)
+                self.rows.append((*row, here) if self.with_ids else row)
                 offset += size
                 piece = (doc_id, start + size, ids[4 * size :], total) if 4 * size < len(ids) else None
             self.next_id += 1
@@ -256,10 +257,12 @@ class Packer:
         self._close(_powers(self.filled))
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    types = [kind, *[pa.int64()] * 6, pa.binary()]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    packer = Packer(length, TaskContext.get().partitionId() << 40)
+def _pack(
+    batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, kind: pa.DataType, with_ids: bool
+) -> Iterator[pa.RecordBatch]:
+    types = [kind, *[pa.int64()] * 6, pa.binary()][: 8 if with_ids else 7]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(types)]
+    packer = Packer(length, TaskContext.get().partitionId() << 40, with_ids)
     tokens = _tokens(path)
     last = np.array([end], "<u4").tobytes()
     gc.disable()  # strings and bytes make no cycles, and going through millions of them takes a tenth of the time
@@ -281,8 +284,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, k
         yield ready()
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, end: int = END) -> DataFrame:
-    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, end: int = END, with_ids: bool = True
+) -> DataFrame:
+    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
     ``tokenizer`` is the path of a byte-level tokenizer file on every executor; ``end`` is the
     id that closes each document; ``ids`` holds the ids of a piece as little-endian 32-bit
@@ -300,5 +305,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     # the hash parts rows of one key and id, so that a third of all rows in one cell are still many ranges
     keys = [F.col("curve"), F.col("doc_id"), F.xxhash64("text")]
     along = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pieces = functools.partial(_pack, path=tokenizer, length=length, end=end, kind=to_arrow_type(kind))
-    return along.mapInArrow(pieces, PIECE.format(kind=kind.simpleString()))
+    pieces = functools.partial(_pack, path=tokenizer, length=length, end=end, kind=to_arrow_type(kind), with_ids=with_ids)
+    return along.mapInArrow(pieces, PIECE.format(kind=kind.simpleString()) + (", ids binary" if with_ids else ""))

@@ -269,4 +269,4 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op13_packing")
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
