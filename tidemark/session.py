@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +51,30 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shared: dict[tuple, tuple] = {}
+
+
+def shared_stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of this application read: built and written by the first of them.
+
+    ``key`` names all that the table depends on, the folder of its inputs included; ``release_stages`` forgets it.
+    """
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _shared:
+        path = scratch_path(spark, "shared")
+        df = build()
+        df.write.parquet(path)
+        _shared[whole] = (path, df.schema)
+    path, schema = _shared[whole]
+    return spark.read.schema(schema).parquet(path)
+
+
 def release_stages(spark: SparkSession) -> int:
     """Delete the stage tables of this application; call it when the results built on them are written. Returns how many."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+    application = spark.sparkContext.applicationId
+    paths = _written.pop(application, [])
+    for key in [key for key in _shared if key[0] == application]:
+        del _shared[key]
     jvm = spark._jvm
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
