@@ -55,3 +55,13 @@ def test_filed_rows_keep_their_columns_and_types(spark):
     filed = materialize(df, by=("year", "split"))
     assert filed.schema == df.schema and sorted(filed.collect()) == sorted(df.collect())
     assert [r["person_id"] for r in filed.where(F.col("year") == 1999).collect()] == [2]
+
+
+def test_pairs_of_all_features_need_no_join_of_samples_with_their_sizes(spark):
+    from tidemark.operators import shift
+
+    rows = [(p, 0, 2020, f) for p in range(40) for f in ("a", "b") if p % 2] + [(p, 0, 2020, "c") for p in range(1, 22)]
+    long = materialize(spark.createDataFrame(rows, "person_id int, end_date int, year int, feature string"))
+    samples = spark.createDataFrame([(p, 0, 2020) for p in range(40)], "person_id int, end_date int, year int")
+    found = {tuple(r)[:4] for r in shift.correlated_pairs(long, samples, None).collect()}
+    assert found == {tuple(r)[:4] for r in shift.correlated_pairs(long, samples, long.select("feature").distinct()).collect()} == {(2020, "a", "b", 20)}
