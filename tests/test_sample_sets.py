@@ -65,3 +65,23 @@ def test_pairs_of_all_features_need_no_join_of_samples_with_their_sizes(spark):
     samples = spark.createDataFrame([(p, 0, 2020) for p in range(40)], "person_id int, end_date int, year int")
     found = {tuple(r)[:4] for r in shift.correlated_pairs(long, samples, None).collect()}
     assert found == {tuple(r)[:4] for r in shift.correlated_pairs(long, samples, long.select("feature").distinct()).collect()} == {(2020, "a", "b", 20)}
+
+
+def test_robust_sets_are_cut_from_the_vectors_and_every_year_is_inferred_once(spark, monkeypatch):
+    from tidemark import plans
+    from tidemark.plans import model_queries
+    from tidemark.plans.registry import QUERIES
+
+    plans.load_all()
+    rows = [
+        (i, 1, year, split, int(i % 2 == 0), Vectors.dense([float(i % 3), float(i % 2 == 0 and i % 5 > 0)]))
+        for i, (year, split, _) in enumerate((y, s, k) for y in (1997, 1998, 1999) for s in ("train", "valid", "test") for k in range(40))
+    ]
+    data = spark.createDataFrame(rows, ["person_id", "end_date", "year", "split", "y", "features"])
+    # features of the samples as rows are not needed: they would be grouped and joined again for every pair of years
+    monkeypatch.setattr(model_queries, "assembled", lambda r, **_: (data, ["a", "b"], None))
+    monkeypatch.setattr(models, "CS", (1.0,))
+    inferred, seen = [], models.inferential_logreg
+    monkeypatch.setattr(models, "inferential_logreg", lambda train, names: inferred.append(1) or seen(train, names))
+    found = QUERIES["x21_robust_feature_retrain"](None).collect()
+    assert len(inferred) == 3 and {r.year for r in found} == {1998, 1999} and {"all", "stable"} <= {r.feature_set for r in found}
