@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import types
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -316,3 +318,28 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality_crf.score_documents(odd, params).collect())
     assert quality_crf.score_documents(odd.limit(0), params).count() == 0
     assert {r.score for r in quality_crf.score_documents(odd, quality_crf.train(docs, labels.limit(0))).where("doc_id < 3").collect()} == {0.5}
+
+
+def test_windows_of_one_text_alone_are_one_phrase_of_the_automaton(monkeypatch):
+    added = []
+
+    class Counting:
+        def __init__(self, *kinds):
+            self.inner = ahocorasick.Automaton(*kinds)
+
+        def add_word(self, phrase, value):
+            added.append(phrase)
+            return self.inner.add_word(phrase, value)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(substring_dedup, "ahocorasick", types.SimpleNamespace(**{**vars(ahocorasick), "Automaton": Counting}))
+    words = [b"%d" % k for k in range(17)]
+    alone, part = b" ".join(words), b" ".join([b"x", *words[4:17]])
+    assert substring_dedup.locate([(1, 0, 0, alone), (2, 0, 5, alone)], 13) == [(2, 0, 5, 22)]
+    assert [len(phrase) for phrase in added] == [17]  # five phrases of 13 before
+    added.clear()
+    units = [(1, 0, 0, alone), (2, 0, 5, alone), (3, 0, 0, part), (0, 0, 50, part)]
+    assert sorted(substring_dedup.locate(units, 13)) == [(1, 0, 4, 17), (2, 0, 5, 22), (3, 0, 0, 14)]
+    assert sorted(len(phrase) for phrase in added) == [13, 13, 16]

@@ -192,39 +192,52 @@ def locate(units: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[
     same: dict[bytes, list[int]] = {}
     for k, unit in enumerate(units):
         same.setdefault(unit[3], []).append(k)
-    letters = {w: k + 1 if k < 0xD7FF else k + 0x801 for k, w in enumerate(dict.fromkeys(w for text in same for w in text.split()))}
+    split = [text.split() for text in same]
+    letters = {w: k + 1 if k < 0xD7FF else k + 0x801 for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
     # one letter per word; a shard with more words than there are letters spells with numbers
     plain = len(letters) <= LETTERS
-    spelled, lows = [], []
+    if plain:
+        letters = {w: chr(n) for w, n in letters.items()}
+    spelled, lows, often = [], [], []
     owner: dict[str | tuple, int] = {}
     several: set[str | tuple] = set()
-    for text, members in same.items():
+    shared: set[str | tuple] = set()  # windows that start more than once in the distinct texts
+    for words, members in zip(split, same.values()):
         docs = {units[k][0] for k in members}
         low = min(docs)
-        numbers = [letters[w] for w in text.split()]
-        word = "".join(map(chr, numbers)) if plain else tuple(numbers)
+        word = "".join([letters[w] for w in words]) if plain else tuple([letters[w] for w in words])
         spelled.append(word)
         lows.append(low)
+        often.append(len(docs) > 1)
         for i in range(len(word) - window + 1):
             phrase = word[i : i + window]
             before = owner.get(phrase)
             if before is None:
                 owner[phrase] = low
-                if len(docs) > 1:
+                if often[-1]:
                     several.add(phrase)
-            elif before != low or len(docs) > 1:
+                continue
+            shared.add(phrase)
+            if before != low or often[-1]:
                 several.add(phrase)
                 owner[phrase] = min(before, low)
-    automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase in several:
-        automaton.add_word(phrase, owner[phrase])
     if not several:
         return []
+    automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase in shared & several:
+        automaton.add_word(phrase, (window, owner[phrase]))
+    for word, low in itertools.compress(zip(spelled, lows), often):
+        # neighbouring windows of this text alone are one phrase: a fifth of the letters
+        windows = len(word) - window + 1
+        cuts = [i for i in range(windows) if word[i : i + window] in shared] if shared else []
+        for a, b in itertools.pairwise((-1, *cuts, windows)):
+            if b - a > 1:
+                automaton.add_word(word[a + 1 : b - 1 + window], (b - a - 2 + window, low))
     automaton.make_automaton()
 
     found = []
     for word, low, members in zip(spelled, lows, same.values()):
-        hits = [(end - window + 1, end + 1, first) for end, first in automaton.iter(word)]
+        hits = [(end - length + 1, end + 1, first) for end, (length, first) in automaton.iter(word)]
         if not hits:
             continue
         later, earlier = _joined(hits), _joined([h for h in hits if h[2] < low])
