@@ -50,3 +50,12 @@ def test_small_sums_are_compressed_and_large_ones_whole():
     for sums in (rng.poisson(1, (300, 50)), rng.integers(0, 1 << 40, (3, 50)), np.zeros((2, 50), np.int64)):
         kind, raw = rs._packed_sums(sums)
         assert (rs._unpacked_sums(kind, raw, 50) == sums).all()
+
+
+def test_draws_travel_in_less_than_five_bits(spark):
+    people = spark.range(40_000).select(F.col("id").alias("person_id"), F.lit(1).alias("y"))
+    ranked = rs.ranked_persons(people, [], 3)
+    draws = rs._draws(ranked, [], rs._in_blocks(200), 3).toPandas()
+    assert draws["_gaps"].map(len).sum() < 40_000 * 200 * 5 / 8  # eight bits a draw before
+    counts = [rs._drawn_counts(part, 1, 200) for _, part in draws.groupby("_block")]
+    assert sum(int(c.sum(dtype=np.int64)) for c in counts) == 40_000 * 200
