@@ -59,3 +59,32 @@ def test_draws_travel_in_less_than_five_bits(spark):
     assert draws["_gaps"].map(len).sum() < 40_000 * 200 * 5 / 8  # eight bits a draw before
     counts = [rs._drawn_counts(part, 1, 200) for _, part in draws.groupby("_block")]
     assert sum(int(c.sum(dtype=np.int64)) for c in counts) == 40_000 * 200
+
+
+def test_a_draw_takes_two_bits_in_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(rs, "_CELLS", 400_000)  # a task draws for the whole of the larger group, in few replicates at once
+    bits = []
+    for size in (10_000, 150_000):
+        ranked = rs.ranked_persons(spark.range(size).select(F.col("id").alias("person_id"), F.lit(1).alias("y")), [], 3)
+        draws = rs._draws(ranked, [], rs._in_blocks(20), 3).toPandas()
+        bits.append(draws["_gaps"].map(len).sum() * 8 / (size * 20))
+        hits = [rs._drawn_counts(part, 1, 20).sum(axis=0, dtype=np.int64) for _, part in draws.groupby("_block")]
+        assert (np.sum(hits, axis=0) == size).all()
+    assert max(bits) < 2.2, bits  # a bit more for every doubling of the group before
+
+
+def test_draws_of_a_group_larger_than_a_task_are_the_same(spark, monkeypatch):
+    people = spark.range(9000).select(F.col("id").alias("person_id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    ranked = rs.ranked_persons(people, [], 3)
+
+    def counted():
+        parts = rs._draws(ranked, [], [(1, 30), (31, 35)], 3).toPandas().groupby(["stratum", "_block"])
+        return {(k, first): rs._drawn_counts(p, first, last) for k, p in parts for first, last in ((1, 30), (31, 35))}
+
+    whole = counted()
+    monkeypatch.setattr(rs, "_CELLS", 1000)
+    cut = counted()
+    assert whole.keys() == cut.keys() and len(whole) == 6
+    assert all((whole[k] == cut[k]).all() for k in whole)
+    drawn = rs.below(*rs.draw62_numpy(np.arange(1, 3001) * 2 + 1, np.arange(31, 36), 3), 3000)
+    assert (whole[(1, 0), 31][:3000] == np.stack([np.bincount(c, minlength=3000) for c in drawn.T], axis=1)).all()
