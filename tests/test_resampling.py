@@ -88,3 +88,16 @@ def test_draws_of_a_group_larger_than_a_task_are_the_same(spark, monkeypatch):
     assert all((whole[k] == cut[k]).all() for k in whole)
     drawn = rs.below(*rs.draw62_numpy(np.arange(1, 3001) * 2 + 1, np.arange(31, 36), 3), 3000)
     assert (whole[(1, 0), 31][:3000] == np.stack([np.bincount(c, minlength=3000) for c in drawn.T], axis=1)).all()
+
+
+def test_checks_join_the_large_tables_once(spark):
+    from tidemark.plans import metric_queries, region_queries, summary_queries
+    from tidemark.sources.binding import Bound
+
+    r = Bound(spark, "/root/testdata/sf0.001")
+    whole = metric_queries.scores(r).where("split = 'valid'")
+    rows = metric_queries.scored(r, "valid")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, whole.drop("sample_id").collect()))
+    tables = [rows, metric_queries.dataset_entries(r, "valid"), region_queries.checked_scores(r), summary_queries.task_rows(r)]
+    assert not any("lineitem" in file for table in tables for file in table.inputFiles())
+    assert {row.split for row in tables[3].select("split").distinct().collect()} == {"valid", "test"}
