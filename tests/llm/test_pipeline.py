@@ -7,7 +7,7 @@ from test_jaccard import smallest_by_hand
 from test_native import lines_by_hand, targets_by_hand
 
 import corpus_pipeline
-from tidemark.llm import decontamination, quality_crf
+from tidemark.llm import decontamination, jaccard, quality_crf
 from tidemark.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +76,15 @@ def test_odd_rows_and_empty_tables_pass_through(spark):
             docs = materialize(stage(spark, docs, FOLDER))
         assert docs.count() == count
         assert docs.where(F.col("taken").isNull()).count() == 0
+
+
+def test_near_copies_by_fingerprint_are_one_group_with_those_by_sets(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    tail = [" ".join(f"{mark}{i}" for i in range(12)) for mark in "abc"]
+    mostly_one_word = ["go " * 200 + t for t in tail[:2]]  # one fingerprint, sets far apart
+    long_text = " ".join(f"w{i}" for i in range(100))
+    texts = [mostly_one_word[0], mostly_one_word[1], mostly_one_word[1].upper(), tail[2], long_text, long_text.replace("w50", "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts, 1)] + [(None, texts[0], "en", "s", 1)], schema)
+    assert jaccard.SIMILARITY > 0.5 > len(set(jaccard.shingle_set(texts[0].encode())) & set(jaccard.shingle_set(texts[1].encode()))) / 20
+    kept = corpus_pipeline.near_copies(spark, docs, FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5]
