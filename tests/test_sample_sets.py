@@ -85,3 +85,47 @@ def test_robust_sets_are_cut_from_the_vectors_and_every_year_is_inferred_once(sp
     monkeypatch.setattr(models, "inferential_logreg", lambda train, names: inferred.append(1) or seen(train, names))
     found = QUERIES["x21_robust_feature_retrain"](None).collect()
     assert len(inferred) == 3 and {r.year for r in found} == {1998, 1999} and {"all", "stable"} <= {r.feature_set for r in found}
+
+
+def test_sets_of_persons_over_many_batches(spark):
+    """Persons that fill several batches, rows without person or date, repeated samples, and keys of text."""
+    start = dt.date(2020, 1, 1)
+    events = [(p, f"f{k % 7}", start + dt.timedelta(k * 11 % 800)) for p in ("a", "b", "c") for k in range(90)]
+    events += [(None, "f0", start), ("a", None, start), ("b", "f1", None)]
+    dates = [dt.date(2020 + m // 12, m % 12 + 1, 1) for m in range(30)]
+    samples = [(p, d, n) for p in ("a", "b", "z", None) for d in (*dates, None) for n in range(2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        sets = features.sample_sets(
+            spark.createDataFrame(samples, "person_id string, end_date date, n int"), spark.createDataFrame(events, "person_id string, feature string, event_date date"), (365, 30)
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def expected(p, d):
+        return sorted({f"{f} - {w} days" for q, f, e in events for w in (30, 365) if p and d and e and f and q == p and 1 <= (d - e).days <= w})
+
+    assert sorted(map(str, ((r.person_id, r.end_date, r.n) for r in sets))) == sorted(map(str, samples))
+    assert all(sorted(r.present) == expected(r.person_id, r.end_date) for r in sets)
+
+
+def test_features_of_a_sample_are_picked_without_testing_all_events_of_the_person(spark):
+    sampled = spark.createDataFrame([(1, dt.date(2020, 2, 1))], "person_id int, end_date date")
+    events = spark.createDataFrame([(1, "a", dt.date(2020, 1, 5))], "person_id int, feature string, event_date date")
+    plan = features.sample_sets(sampled, events, (30,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Join" not in plan
+
+
+def test_subpopulations_are_cut_from_the_arrays_of_the_samples(spark):
+    from tidemark.operators import shift
+
+    present = {0: [], 1: ["a"], 2: ["a", "b"], 3: ["b", "c"], 4: ["c", "b", "a"]}
+    sets = spark.createDataFrame([(p, 0, f) for p, f in present.items()], "person_id int, end_date int, present array<string>")
+    long = features.one_per_feature(sets)
+    for asked in (("a", "b"), ("c",), ("a", "a"), ("x", "a")):
+        for relation in ("AND", "OR"):
+            for complement in (False, True):
+                cut, joined = (
+                    sorted(r.person_id for r in shift.subpopulation_filter(sets, rows, asked, relation, complement=complement).collect()) for rows in (None, long)
+                )
+                assert cut == joined

@@ -9,11 +9,16 @@ shuffle, and repeated events collapse before dates are multiplied.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.expressions import age_band, month_starts
 from tidemark.functions.ranking import exact_percentiles, hash_rank
@@ -27,6 +32,8 @@ TREND_NAMES = ("increasing", "decreasing")
 RANGE_NAMES = ("below range", "in range", "above range")
 ORDERED_NAME = "ordered"
 
+_NO_DAY = -(1 << 30)  # days since 1970, earlier than any date
+
 
 # ----------------------------------------------------------- dated events
 
@@ -305,26 +312,79 @@ def sample_features(samples: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def sample_sets(samples: DataFrame, events: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Samples with ``present``: an array of their windowed feature names. Their ``end_date`` are month starts.
+    """Samples with ``present``: an array of their windowed feature names.
 
-    The serving events of a person meet the person's samples once, as one array, and each
-    sample picks those that serve its date: dates multiply no rows, and only events and samples
-    travel, to their person. The array is bounded by the months and features of one person.
+    Samples and the latest event of each month and feature travel once, to their person, as plain
+    rows. There an event finds the run of the person's dates it serves by two binary searches, so the
+    work follows the features that are present, and names are composed once per block of rows.
+    A person's rows are held together; they are bounded by the months and features of one person.
     """
-    longest, date = max(windows), F.col("end_date")
-    serving = serving_events(events.where(F.col("feature").isNotNull()), longest)
-    # the names are composed once per event, not per sample
-    names = [F.concat("feature", F.lit(f"{SEPARATOR}{w} days")).alias(f"n{w}") for w in windows]
-    entries = serving.groupBy("person_id").agg(F.collect_list(F.struct("event_date", "until", *names)).alias("_events"))
-    reached = F.filter("_events", lambda e: (e["event_date"] < date) & (date <= e["until"]))
-
-    def named(days: int) -> Column:
-        near = F.col("_reached") if days == longest else F.filter("_reached", lambda e: date <= F.date_add(e["event_date"], days))
-        return near[f"n{days}"]
-
-    none = F.array().cast("array<string>")
-    joined = samples.join(entries, "person_id", "left").withColumn("_reached", reached)
-    return joined.withColumn("present", F.coalesce(F.concat(*[named(w) for w in windows]), none)).drop("_events", "_reached")
+    known = F.col("person_id").isNotNull() & F.col("feature").isNotNull() & F.col("event_date").isNotNull()
+    latest = events.where(known).groupBy("person_id", "feature", F.trunc("event_date", "month").alias("_month")).agg(F.max("event_date").alias("_date"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in samples.schema.fields if f.name != "person_id"]
+    dates = latest.select("person_id", *blank, F.unix_date("_date").alias("_day"), F.col("feature").alias("_feature"))
+    asked = samples.withColumns({"_day": F.unix_date("end_date"), "_feature": F.lit(None).cast("string")})
+    rows = asked.unionByName(dates).repartition("person_id").sortWithinPartitions("person_id")
+    schema = T.StructType([*samples.schema.fields, T.StructField("present", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(functools.partial(_with_present, windows=tuple(windows), columns=tuple(samples.columns)), schema)
+
+
+def _with_present(batches: Iterator[pa.RecordBatch], windows: Sequence[int], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by person: the samples of whole persons, a block at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        person = batch.column("person_id")
+        if held and held[-1].column("person_id")[-1] != person[0]:
+            yield from _block_present(held, windows, columns)
+            held = []
+        # the last person may go on in the next batch; rows without a person belong to none
+        whole = pc.index(person, person[-1]).as_py() if person[-1].is_valid else batch.num_rows
+        if whole:
+            yield from _block_present([*held, batch.slice(0, whole)], windows, columns)
+            held = []
+        if whole < batch.num_rows:
+            held.append(batch.slice(whole))
+    if held:
+        yield from _block_present(held, windows, columns)
+
+
+def _block_present(batches: list[pa.RecordBatch], windows: Sequence[int], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The samples among the rows with the features of the events that serve their date."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    person, feature = (pc.cast(rows[name], rows[name].type).combine_chunks() for name in ("person_id", "_feature"))
+    differs = pc.fill_null(pc.not_equal(person.slice(1), person.slice(0, len(person) - 1)), True)
+    rank = np.concatenate(([0], np.cumsum(differs.to_numpy(zero_copy_only=False)))) << 32
+    day = pc.fill_null(rows["_day"], _NO_DAY).to_numpy().astype(np.int64) - _NO_DAY  # a sample without a date comes before all events
+    is_event = feature.is_valid().to_numpy(zero_copy_only=False)
+    asked, served = np.flatnonzero(~is_event), np.flatnonzero(is_event)
+    if not len(asked):
+        return
+    asked = asked[np.argsort(rank[asked] + day[asked], kind="stable")]
+    dates = rank[asked] + day[asked]
+    coded = feature.take(pa.array(served)).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.lexsort((day[served], codes, rank[served]))
+    start, code = (rank[served] + day[served])[order], codes[order]
+    # an event serves the dates up to the next event of its feature
+    following = np.full(len(start), np.iinfo(np.int64).max)
+    again = (code[1:] == code[:-1]) & (start[1:] >> 32 == start[:-1] >> 32)
+    following[:-1][again] = start[1:][again]
+    first = np.searchsorted(dates, start, "right")
+    places, found, names = [], [], []
+    for i, days in enumerate(windows):
+        runs = np.searchsorted(dates, np.minimum(start + days, following), "right") - first
+        runs = np.maximum(runs, 0)
+        ends = np.cumsum(runs)
+        places.append(np.repeat(first - (ends - runs), runs) + np.arange(runs.sum()))
+        found.append(np.repeat(code + i * len(coded.dictionary), runs))
+        names.append(pc.binary_join_element_wise(coded.dictionary, f"{SEPARATOR}{days} days", ""))
+    place = np.concatenate(places).astype(np.uint16 if len(asked) <= 1 << 16 else np.int64)  # short numbers are sorted by digits
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(asked)))))
+    listed = pa.concat_arrays(names).take(pa.array(np.concatenate(found)[np.argsort(place, kind="stable")]))
+    present = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), listed)
+    yield from rows.select(columns).take(pa.array(asked)).append_column("present", present).to_batches()
 
 
 def one_per_feature(sets: DataFrame) -> DataFrame:
@@ -339,7 +399,8 @@ def frequent_features(long: DataFrame, min_count: int) -> DataFrame:
 
 
 def keep_features(long: DataFrame, features: DataFrame) -> DataFrame:
-    return long.join(features.select("feature"), "feature", "left_semi")
+    """The rows of the given features; these are a table of their own, so that its size is known before the rows are joined."""
+    return long.join(materialize(features.select("feature")), "feature", "left_semi")
 
 
 def age_scaling(samples: DataFrame) -> DataFrame:

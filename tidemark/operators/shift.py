@@ -239,14 +239,20 @@ def outcomes_by_age_band(samples: DataFrame, by: Sequence[str] = ("year",)) -> D
 
 def subpopulation_filter(
     samples: DataFrame,
-    long: DataFrame,
+    long: DataFrame | None,
     features: Sequence[str],
     relation: str,
     keys: Sequence[str] = SAMPLE,
     complement: bool = False,
 ) -> DataFrame:
-    """Samples with all (AND) or any (OR) of the features, or the other samples."""
+    """Samples with all (AND) or any (OR) of the features, or the other samples.
+
+    Without ``long`` the samples have their features themselves, as the array ``present``.
+    """
     need = len(set(features)) if relation == "AND" else 1
+    if long is None:
+        inside = F.size(F.array_intersect("present", F.array(*map(F.lit, features)))) >= need
+        return samples.where(~inside if complement else inside)
     hits = long.where(F.col("feature").isin(*features)).groupBy(*keys).agg(F.countDistinct("feature").alias("_n"))
     members = hits.where(F.col("_n") >= need).select(*keys)
     return samples.join(members, list(keys), "left_anti" if complement else "left_semi")

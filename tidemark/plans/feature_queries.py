@@ -332,8 +332,13 @@ def long_samples(r, windows=WINDOWS, sampled=None):
     return features.one_per_feature(sample_sets(r, windows, sampled))
 
 
+def stored_long(r, windows=WINDOWS, sampled=None):
+    """The same rows for steps that read them more than once: what is stored is one row per sample, with its features as an array."""
+    return features.one_per_feature(materialize(sample_sets(r, windows, sampled)))
+
+
 def dataset(r):
-    rows = materialize(long_samples(r))
+    rows = stored_long(r)
     return features.keep_features(rows, features.frequent_features(rows, 300))
 
 

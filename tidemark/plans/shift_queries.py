@@ -20,6 +20,8 @@ from tidemark.plans.feature_queries import (
     long_samples,
     measured,
     named_events,
+    sample_sets,
+    stored_long,
 )
 from tidemark.plans.metric_queries import (
     REPLICATES,
@@ -356,10 +358,12 @@ SQL_SUBPOPS = (
 
 def members(r, rows=None, complement=False):
     rows = samples(r) if rows is None else rows
-    long = long_samples(r, sampled=rows)
-    both = shift.subpopulation_filter(rows, long, _AND, "AND", complement=complement).withColumn("subpopulation", F.lit("both"))
-    any_of = shift.subpopulation_filter(rows, long, _OR, "OR", complement=complement).withColumn("subpopulation", F.lit("any"))
-    return both.unionByName(any_of)
+    # both groups are cut from the samples' own arrays, of which only the features they ask for are stored
+    asked = F.array_intersect("present", F.array(*map(F.lit, (*_AND, *_OR))))
+    sets = materialize(sample_sets(r, sampled=rows).withColumn("present", asked))
+    both = shift.subpopulation_filter(sets, None, _AND, "AND", complement=complement).withColumn("subpopulation", F.lit("both"))
+    any_of = shift.subpopulation_filter(sets, None, _OR, "OR", complement=complement).withColumn("subpopulation", F.lit("any"))
+    return both.unionByName(any_of).drop("present")
 
 
 @query(
@@ -490,7 +494,7 @@ def _(r):
 )
 def _(r):
     rows = samples(r)
-    every = long_samples(r, sampled=rows)
+    every = stored_long(r, sampled=rows)
     kept = features.keep_features(every, features.frequent_features(every, 300))
     return shift.chi2_select(kept.where("split = 'train'"), rows.where("split = 'train'"), 10)
 
@@ -690,7 +694,7 @@ def _sql_gain(days: int) -> tuple[str, ...]:
 def _(r):
     """Two models a year, one of the log odds of the 30-day features and one of the 365-day features."""
     rows = materialize(samples(r))
-    every = long_samples(r, sampled=rows)
+    every = stored_long(r, sampled=rows)
     long = materialize(features.keep_features(every, features.frequent_features(every, 300)))
     table = materialize(log_odds(r, rows=long, sampled=rows))
     test = rows.where("split = 'test'")
