@@ -98,3 +98,27 @@ def test_robust_features_for_every_two_years(spark, monkeypatch):
     assert {(r.year, r.feature_set, r.pair) for r in found} == {
         (y, f, p) for y in (1998, 1999) for f in ("all", "stable") for p in ("old on old", "old on new", "new on new")
     }
+
+
+def test_deep_trees_keep_the_node_of_each_row_and_are_the_same_trees(spark, asked):
+    rows = [(float(i % 2 == 0 or i % 3 == 0 or i % 31 == 0), 1.0 + i % 2, Vectors.dense([float(i % k == 0) for k in (2, 3, 5, 7, 11)])) for i in range(800)]
+    train = spark.createDataFrame(rows, ["y", "weight", "features"])
+    for name in ("m02_train_decision_tree", "m18_tree_leaf_counts", "m03_train_forest"):
+        candidates = asked(name)
+        assert all(e.getCacheNodeIds() for e in candidates)
+        first = candidates[0]
+        kept, walked = first.fit(train), first.copy({first.cacheNodeIds: False}).fit(train)
+        assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:] and "If" in kept.toDebugString
+
+
+def test_all_years_are_fitted_side_by_side(spark):
+    import threading
+
+    years = spark.range(1996, 2001).selectExpr("CAST(id AS INT) AS year", "'train' AS split")
+    together = threading.Barrier(5, timeout=60)
+
+    def build(train, valid, test, year):
+        together.wait()  # breaks unless all five are here at once
+        return train
+
+    assert model_queries.each_year(years, build).count() == 5
