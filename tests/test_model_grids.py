@@ -122,3 +122,21 @@ def test_all_years_are_fitted_side_by_side(spark):
         return train
 
     assert model_queries.each_year(years, build).count() == 5
+
+
+def test_models_and_regions_of_all_years_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    rows = [(year, split, i % 2) for year in (1997, 1998, 1999) for split in ("train", "valid") for i in range(40)] + [(2000, "valid", 0)] * 40
+    data = spark.createDataFrame(rows, "year int, split string, y int")
+    together = threading.Barrier(3, timeout=60)  # breaks unless all three are here at once
+
+    def fit(train, valid):
+        together.wait()
+        return train.first()["year"], 0, 0.5
+
+    # the last year has no positives and gets no model
+    assert models.models_per_year(data, [1997, 1998, 1999, 2000], fit) == {1997: 1997, 1998: 1998, 1999: 1999}
+    monkeypatch.setattr(model_queries, "region_pool", lambda rows, year: None if year == 2000 else rows.where(f"year = {year}"))
+    monkeypatch.setattr(models, "train_decision_tree", fit)
+    assert list(model_queries.fit_regions(data)) == [1997, 1998, 1999]
